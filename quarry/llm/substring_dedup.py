@@ -102,7 +102,7 @@ def _candidates(table, window: int, gram: int, bits: int):
     first of equals in a slice, and (0, 0, doc, start, number) for runs of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=32 << 20):
+        for batch in slices(batches, most=6 << 20):
             w = Words(batch.column("text"))
             h, counts = w.hashes(), w.counts()
             starts, at, grams = _anchors(h, counts, window, gram)
