@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .jaccard_join import near_duplicates
+from .license_scan import scan
 from .quality_rules import measure
 from .substring_dedup import remove_repeats
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(table(spark, sf_dir, "documents"))
 
