@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import contamination
 from .jaccard_join import near_duplicates
 from .license_scan import scan
+from .pii import find
 from .quality_rules import measure
 from .substring_dedup import remove_repeats
 
@@ -27,6 +28,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
