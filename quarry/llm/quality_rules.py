@@ -22,6 +22,8 @@ table gives an empty result.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,9 @@ BOILERPLATE = (
     "|click here|read more|share (this|on)|back to top|previous (post|page)|next (post|page)|lorem ipsum"
 )
 
+#: One of these stands in each text that has such a phrase.
+BOILERPLATE_KEYS = ("cookie", "privacy policy", "terms ", "rights reserved", "javascript", "skip to", "sign in ", "sign up ", "log in to", "login to", "subscribe to", "click here", "read more", "share ", "back to top", "previous p", "next p", "lorem ipsum")
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -54,8 +59,9 @@ def _count(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def _word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
+def _gaps(text: Column) -> Column:
+    """Words of a trimmed text; more where several white space characters stand together."""
+    return F.when(text == "", 0).otherwise(_count(text, SPACE_CHARS) + 1)
 
 
 def words_of(text: Column) -> Column:
@@ -68,10 +74,14 @@ def _shifted(a: Column, by: int, keep: Column) -> Column:
 
 
 def window_hashes(words: Column, window: int) -> Column:
-    """Hashes of all runs of `window` words (a power of two), for arrays that are as long."""
-    hashes, size = F.transform(words, lambda w: F.xxhash64(w)), 1
+    """Hashes of all runs of `window` words; window is a power of two."""
+    return _run_hashes(F.transform(words, lambda w: F.xxhash64(w)), F.size(words), window)
+
+
+def _run_hashes(hashes: Column, words: Column, window: int) -> Column:
+    size = 1
     while size < window:
-        n = F.greatest(F.size(words) - (2 * size - 1), F.lit(0))
+        n = F.greatest(words - (2 * size - 1), F.lit(0))
         hashes = F.zip_with(_shifted(hashes, 0, n), _shifted(hashes, size, n), lambda a, b: F.xxhash64(a, b))
         size *= 2
     return hashes
@@ -90,46 +100,56 @@ def _repeated_words(hashes: Column, window: int) -> Column:
     return F.aggregate(gaps, F.lit(window).cast("int"), lambda x, g: x + g)
 
 
-def _failing(line: Column, n: Column, rules: Rules) -> Column:
-    letters = F.regexp_replace(line, r"[^\p{L}]+", "")
+def _failing(line: Column, n: Column, stutters: Column, phrases: Column, rules: Rules) -> Column:
     shouting = (n >= rules.shout_words) & (_count(line, "!") > n * rules.shouts)
-    capitals = (n >= rules.shout_words) & (F.length(letters) > 0) & (letters == F.upper(letters)) & (letters != F.lower(letters))
+    capitals = (n >= rules.shout_words) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}")
+    stutter = stutters & (F.length(F.regexp_replace(line, STUTTER, "")) * 100 < F.length(line) * (100 - rules.stutter_percent))
     run_on = (n >= rules.run_on_words) & ~line.rlike(r"[.!?;:,…。]")
-    once = F.regexp_replace(line, STUTTER, "")
-    stutter = F.length(once) * 100 < F.length(line) * (100 - rules.stutter_percent)
-    return (_count(line, SYMBOLS) > n * rules.symbols) | shouting | stutter | run_on | F.lower(line).rlike(BOILERPLATE) | capitals
+    return (_count(line, SYMBOLS) > n * rules.symbols) | shouting | capitals | run_on | stutter | (phrases & F.lower(line).rlike(BOILERPLATE))
 
 
 def _measured(docs: DataFrame, rules: Rules) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("text"), _word_count(x).alias("n")))
+    low = F.lower(text)
     first = docs.select(
         "*",
         F.struct(
             words_of(text).alias("words"),
-            F.filter(lines, lambda x: x["n"] > 0).alias("lines"),
-            F.length(F.regexp_replace(text, f"[{SPACE}]+", "")).alias("word_chars"),
+            F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "").alias("lines"),
+            F.length(F.translate(text, SPACE_CHARS, "")).alias("word_chars"),
             _count(text, SYMBOLS).alias("n_symbols"),
+            reduce(or_, [F.contains(low, F.lit(k)) for k in BOILERPLATE_KEYS]).alias("phrases"),
         ).alias("_1"),
     )
     m = first["_1"]
-    second = first.select("*", F.struct(F.size(m["words"]).alias("n"), window_hashes(m["words"], rules.window).alias("hashes")).alias("_2"))
+    hashed = first.select("*", F.transform(m["words"], lambda w: F.xxhash64(w)).alias("_h"))
+    h, size = hashed["_h"], F.size(hashed["_h"])
+    again = F.zip_with(_shifted(h, 0, F.greatest(size - 1, F.lit(0))), _shifted(h, 1, F.greatest(size - 1, F.lit(0))), lambda a, b: a == b)
+    second = hashed.select(
+        "*",
+        F.struct(size.alias("n"), _run_hashes(h, size, rules.window).alias("hashes"), F.size(F.filter(again, lambda x: x)).alias("n_again")).alias("_2"),
+    )
     w = second["_2"]
+    stutters = w["n_again"] * 200 > w["n"] * rules.stutter_percent
     third = second.select(
         "*",
         F.when(F.size(F.array_distinct(w["hashes"])) == F.size(w["hashes"]), 0).otherwise(_repeated_words(w["hashes"], rules.window)).alias("_3"),
-        F.aggregate(m["lines"], F.lit(0), lambda lost, x: lost + F.when(_failing(x["text"], x["n"], rules), x["n"]).otherwise(0)).alias("_4"),
+        F.aggregate(
+            F.transform(m["lines"], lambda x: F.struct(x.alias("text"), _gaps(F.btrim(x, F.lit(SPACE_CHARS))).alias("n"))),
+            F.struct(F.lit(0).alias("all"), F.lit(0).alias("lost")),
+            lambda sums, x: F.struct((sums["all"] + x["n"]).alias("all"), (sums["lost"] + F.when(_failing(x["text"], x["n"], stutters, m["phrases"], rules), x["n"]).otherwise(0)).alias("lost")),
+        ).alias("_4"),
     )
     n, base = w["n"], (w["n"] < rules.min_words) | (100 * third["_3"] > rules.repeat_percent * w["n"])
     measures = F.struct(
         n.cast("long").alias("n_words"),
         m["word_chars"].cast("long").alias("word_chars"),
         m["n_symbols"].cast("long").alias("n_symbols"),
-        (F.size(m["lines"]) - F.size(F.array_distinct(m["lines"]["text"]))).cast("long").alias("n_dup_lines"),
+        (F.size(m["lines"]) - F.size(F.array_distinct(m["lines"]))).cast("long").alias("n_dup_lines"),
         third["_3"].cast("long").alias("n_repeat_words"),
-        third["_4"].cast("long").alias("n_lost_words"),
         base.alias("base_failed"),
-        (~base & (100 * third["_4"] <= rules.lost_percent * n)).alias("kept"),
+        (~base & (100 * third["_4"]["lost"] <= rules.lost_percent * third["_4"]["all"])).alias("kept"),
+        F.when(third["_4"]["all"] > 0, third["_4"]["lost"] / third["_4"]["all"]).otherwise(0.0).alias("lost_share"),
     )
     return third.select(*(F.col(f"`{c}`") for c in docs.columns), measures.alias("_quality"))
 
