@@ -12,10 +12,12 @@ documents share hardly get into prefixes. The shares, subsets or elements, are k
 inverted lists.
 
 A list is never expanded into all its pairs. Exact copies are put together first. Then
-each member of a list is compared with the list's first member and with the one before it,
-and what these links connect becomes a component. Only members of a list that are in
-different components by then are compared with each other. So all pairs of a list are in
-the end compared, or known to be connected; components are exact.
+each document is compared with the one that leads most of its lists, and what these links
+connect becomes a component. Only members of a list that are in different components by
+then are compared with each other. So all pairs of a list are in the end compared, or
+known to be connected; components are exact. Of these pairs most have little in common:
+16 bits of each element, which can only overstate the common part, rule them out before
+whole sets are compared.
 
 The set of frequent elements is broadcast. An element is in it if it stands in `frequent`
 of all documents, so that there are at most mean set size / `frequent` of them, whatever
@@ -37,10 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bits import bit_table, holds
 from .common import slices, written
 from .textnum import Words, mix, place, runs
 
-WORDS, PERCENT, FREQUENT, SUBSETS = 5, 80, 0.001, 64
+WORDS, PERCENT, FREQUENT, SUBSETS, BITS = 5, 80, 0.001, 64, 1 << 24
 _U = np.uint64
 
 
@@ -155,41 +158,30 @@ def _shares(hot, words: int, percent: int, light: int):
     return run
 
 
-def _lists(percent: int):
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key, n and id, the lists of at least two members: each member
-    with the list's first, and the one before it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, lead = None, None
-        for batch in batches:
-            key, i, n, at = (batch.column(c).to_numpy() for c in ("key", "id", "n", "at"))
-            if rest is not None:  # the last row may begin a list
-                key, i, n, at = (np.concatenate([a, b]) for a, b in zip(rest, (key, i, n, at)))
-            begins = np.ones(len(key), bool)
-            begins[1:] = key[1:] != key[:-1]
-            where = np.maximum.accumulate(np.where(begins, np.arange(len(key)), 0))
-            if lead is not None and key[0] != lead[0]:
-                lead = None
-            l_id, l_n = i[where], n[where]
-            if lead is not None:
-                first_run = where == 0
-                l_id, l_n = np.where(first_run, lead[1], l_id), np.where(first_run, lead[2], l_n)
-            at_prev = np.maximum(np.arange(len(key)) - 1, 0)
-            follows = ~begins
-            leads = np.zeros(len(key), bool)
-            leads[:-1] = begins[:-1] & follows[1:]
-            if lead is not None:
-                leads[0] = False  # given before
-            out = follows | leads
-            if out.any():
-                yield _batch(key=key[out], id=i[out], n=n[out], at=at[out], lead=l_id[out], lead_n=l_n[out], before=np.where(begins, i, i[at_prev])[out], before_n=np.where(begins, n, n[at_prev])[out])
-            rest = tuple(a[-1:] for a in (key, i, n, at))
-            if begins[-1] and not (lead is not None and len(key) == 1):
-                lead = None
-            else:
-                lead = (key[-1], l_id[-1], l_n[-1])
-
-    return run
+    with the list's first, its lead."""
+    columns = ("key", "id", "n", "at")
+    rest, lead = None, None
+    for batch in batches:
+        key, i, n, at = (batch.column(c).to_numpy() for c in columns)
+        if rest is not None:  # the last row may begin a list
+            key, i, n, at = (np.concatenate([a, b]) for a, b in zip(rest, (key, i, n, at)))
+        begins = np.ones(len(key), bool)
+        begins[1:] = key[1:] != key[:-1]
+        where = np.maximum.accumulate(np.where(begins, np.arange(len(key)), 0))
+        leads = np.zeros(len(key), bool)
+        leads[:-1] = begins[:-1] & ~begins[1:]
+        own = [i[where], n[where], at[where]]
+        if lead is not None:
+            leads[0] = False  # given before
+            own = [np.where(where == 0, x, o) for x, o in zip(lead, own)]
+        out = ~begins | leads
+        if out.any():
+            yield _batch(key=key[out], id=i[out], n=n[out], at=at[out], lead=own[0][out], lead_n=own[1][out], lead_at=own[2][out])
+        rest = tuple(a[-1:] for a in (key, i, n, at))
+        going_on = not begins[-1] or (lead is not None and len(key) == 1)
+        lead = tuple(o[-1] for o in own) if going_on else None
 
 
 def _across(percent: int, most: int = 4096):
@@ -234,24 +226,39 @@ def _across(percent: int, most: int = 4096):
     return run
 
 
-def _blobs(words: int):
+def _blobs(words: int, table):
+    """(id, elements, short) for documents whose id may be in the bit table; short: 16 bits
+    of each element."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=8 << 20):
+            batch = batch.filter(pa.array(holds(table.value, batch.column("doc_id").to_numpy().view(_U))))
             value, first = _sets(batch.column("text"), words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([value[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], ["id", "elements"])
+            short = (value >> _U(48)).astype(np.uint16)
+            ends = list(zip(first[:-1], first[1:]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([value[a:b].tobytes() for a, b in ends], pa.binary()), pa.array([short[a:b].tobytes() for a, b in ends], pa.binary())], ["id", "elements", "short"])
 
     return run
 
 
-def _verify(percent: int):
-    """Pairs (a, b, left, right) whose sets link."""
+def _common_short(x: np.ndarray, y: np.ndarray) -> int:
+    """The common part of two sorted arrays in which values can repeat."""
+    a, n = np.unique(x, return_counts=True)
+    b, m = np.unique(y, return_counts=True)
+    _, i, k = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[k]).sum())
+
+
+def _verify(percent: int, short: bool):
+    """Pairs (a, b, left, right) whose sets link, or may link by their short elements."""
+    kind = np.uint16 if short else _U
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("left"), batch.column("right")):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
+                both = _common_short(x, y) if short else len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             batch = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"])
@@ -259,13 +266,22 @@ def _verify(percent: int):
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) that link, by comparing their sets."""
+def _compared(pairs: DataFrame, sets: DataFrame, column: str, percent: int) -> DataFrame:
+    left = sets.select(F.col("id").alias("a"), F.col(column).alias("left"))
+    right = sets.select(F.col("id").alias("b"), F.col(column).alias("right"))
+    return written(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(percent, column == "short"), "a long, b long"))
+
+
+def _links(docs: DataFrame, pairs: DataFrame, words: int, percent: int, bits: int, sieve: bool) -> DataFrame:
+    """Those of pairs (a, b) that link, by comparing their sets; with sieve, short elements
+    first. Sets are made where documents are read, for those that a bit table lets through."""
     pairs = written(pairs.filter("a < b").distinct())
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_blobs(words), "id long, elements binary"))
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("right")), "b")
-    return written(joined.mapInArrow(_verify(percent), "a long, b long").distinct())
+    ids = pairs.select(F.col("a").alias("anchor")).union(pairs.select("b")).distinct()
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(ids, bits))
+    sets = written(docs.mapInArrow(_blobs(words, table), "id long, elements binary, short binary"))
+    if sieve:
+        pairs = _compared(pairs, sets, "short", percent)
+    return _compared(pairs, sets, "elements", percent).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -284,12 +300,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: float = FREQUENT, subsets: int = SUBSETS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: float = FREQUENT, subsets: int = SUBSETS, bits: int = BITS) -> DataFrame:
     """Per row doc_id, n_shingles and component_id, the smallest doc_id that links reach.
 
     words: of a shingle; percent: the similarity from which sets link; frequent: share of
     the documents from which an element counts as frequent; subsets: what a light set may
-    list at most.
+    list at most; bits: of the tables that let through documents whose sets are compared.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -309,19 +325,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     shares = known.mapInArrow(_shares(hot, words, percent, light), "key long, id long, n int, at int")
     sorted_shares = shares.repartition("key").sortWithinPartitions("key", "n", "id")
-    kind = "key long, id long, n int, at int, lead long, lead_n int, before long, before_n int"
-    lists = written(sorted_shares.mapInArrow(_lists(percent), kind))
-
-    fits = lambda other: F.col(other) * 100 >= F.col("n") * percent  # noqa: E731  members before have fewer elements
-    pair = lambda x: (F.least("id", x).alias("a"), F.greatest("id", x).alias("b"))
-    first = lists.filter(fits("lead_n")).select(*pair("lead")).union(lists.filter(fits("before_n")).select(*pair("before")))
-    links = _links(known, first, words, percent).union(copies)
+    kind = "key long, id long, n int, at int, lead long, lead_n int, lead_at int"
+    lists = written(sorted_shares.mapInArrow(_lists, kind))
+
+    # the first common element tells how much can still be common; the lead is no larger
+    after = F.when(F.col("at") < 0, F.col("lead_n")).otherwise(F.least(F.col("n") - F.col("at"), F.col("lead_n") - F.col("lead_at")))
+    fits = (F.col("lead_n") * 100 >= F.col("n") * percent) & (after * (100 + percent) >= percent * (F.col("n") + F.col("lead_n")))
+    led = lists.filter(fits & (F.col("id") != F.col("lead"))).groupBy("id", "lead").count()
+    first = led.groupBy("id").agg(F.max(F.struct("count", "lead")).alias("x")).select(F.least("id", "x.lead").alias("a"), F.greatest("id", "x.lead").alias("b"))
+    links = _links(known, first, words, percent, bits, False).union(copies)
     labels = components(links)
 
     labelled = lists.select("key", "id", "n", "at").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     rest = labelled.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key", "n", "id")
-    more = _links(known, rest.mapInArrow(_across(percent), "a long, b long"), words, percent)
+    more = _links(known, rest.mapInArrow(_across(percent), "a long, b long"), words, percent, bits, True)
     # what is linked anew connects components
     joined = more.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     merged = components(joined)
