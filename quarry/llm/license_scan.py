@@ -22,8 +22,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
-
 #: The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -124,8 +122,9 @@ def rules() -> list[Rule]:
 
 
 def _spaced(text: Column) -> Column:
-    """The words of a text, each between single spaces."""
-    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
+    """The words of a text, each between single spaces. Other letters than A-Z may be
+    changed too, but to none that a rule has, and words stay words."""
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
 
 
 def _spaces(c: Column) -> Column:
