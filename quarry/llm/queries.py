@@ -12,6 +12,7 @@ from .decontaminate import contamination
 from .html_extract import extract
 from .jaccard_join import near_duplicates
 from .license_scan import scan
+from .packing import pack
 from .pii import find
 from .quality_rules import measure
 from .substring_dedup import remove_repeats
@@ -31,6 +32,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
