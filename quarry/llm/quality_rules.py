@@ -55,13 +55,12 @@ class Rules:
     lost_percent: int = 40
 
 
-def _count(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+def _symbols(text: Column) -> Column:
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))
 
 
-def _gaps(text: Column) -> Column:
-    """Words of a trimmed text; more where several white space characters stand together."""
-    return F.when(text == "", 0).otherwise(_count(text, SPACE_CHARS) + 1)
+def _count(text: Column, character: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(character), F.lit("")))
 
 
 def words_of(text: Column) -> Column:
@@ -100,12 +99,14 @@ def _repeated_words(hashes: Column, window: int) -> Column:
     return F.aggregate(gaps, F.lit(window).cast("int"), lambda x, g: x + g)
 
 
-def _failing(line: Column, n: Column, stutters: Column, phrases: Column, rules: Rules) -> Column:
-    shouting = (n >= rules.shout_words) & (_count(line, "!") > n * rules.shouts)
+def _failing(line: Column, n: Column, marks: Column, stutters: Column, rules: Rules) -> Column:
+    """marks tells what stands anywhere in the text, so that most lines are spared tests."""
+    shouting = marks["shouts"] & (n >= rules.shout_words) & (_count(line, "!") > n * rules.shouts)
     capitals = (n >= rules.shout_words) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}")
     stutter = stutters & (F.length(F.regexp_replace(line, STUTTER, "")) * 100 < F.length(line) * (100 - rules.stutter_percent))
     run_on = (n >= rules.run_on_words) & ~line.rlike(r"[.!?;:,…。]")
-    return (_count(line, SYMBOLS) > n * rules.symbols) | shouting | capitals | run_on | stutter | (phrases & F.lower(line).rlike(BOILERPLATE))
+    symbols = (marks["n_symbols"] > 0) & (_symbols(line) > n * rules.symbols)
+    return symbols | shouting | capitals | run_on | stutter | (marks["phrases"] & F.lower(line).rlike(BOILERPLATE))
 
 
 def _measured(docs: DataFrame, rules: Rules) -> DataFrame:
@@ -116,8 +117,8 @@ def _measured(docs: DataFrame, rules: Rules) -> DataFrame:
         F.struct(
             words_of(text).alias("words"),
             F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "").alias("lines"),
-            F.length(F.translate(text, SPACE_CHARS, "")).alias("word_chars"),
-            _count(text, SYMBOLS).alias("n_symbols"),
+            _symbols(text).alias("n_symbols"),
+            F.contains(text, F.lit("!")).alias("shouts"),
             reduce(or_, [F.contains(low, F.lit(k)) for k in BOILERPLATE_KEYS]).alias("phrases"),
         ).alias("_1"),
     )
@@ -135,15 +136,15 @@ def _measured(docs: DataFrame, rules: Rules) -> DataFrame:
         "*",
         F.when(F.size(F.array_distinct(w["hashes"])) == F.size(w["hashes"]), 0).otherwise(_repeated_words(w["hashes"], rules.window)).alias("_3"),
         F.aggregate(
-            F.transform(m["lines"], lambda x: F.struct(x.alias("text"), _gaps(F.btrim(x, F.lit(SPACE_CHARS))).alias("n"))),
+            F.transform(m["lines"], lambda x: F.struct(x.alias("text"), (_count(x, " ") + 1).alias("n"))),
             F.struct(F.lit(0).alias("all"), F.lit(0).alias("lost")),
-            lambda sums, x: F.struct((sums["all"] + x["n"]).alias("all"), (sums["lost"] + F.when(_failing(x["text"], x["n"], stutters, m["phrases"], rules), x["n"]).otherwise(0)).alias("lost")),
+            lambda sums, x: F.struct((sums["all"] + x["n"]).alias("all"), (sums["lost"] + F.when(_failing(x["text"], x["n"], m, stutters, rules), x["n"]).otherwise(0)).alias("lost")),
         ).alias("_4"),
     )
     n, base = w["n"], (w["n"] < rules.min_words) | (100 * third["_3"] > rules.repeat_percent * w["n"])
     measures = F.struct(
         n.cast("long").alias("n_words"),
-        m["word_chars"].cast("long").alias("word_chars"),
+        F.length(F.array_join(m["words"], "")).cast("long").alias("word_chars"),
         m["n_symbols"].cast("long").alias("n_symbols"),
         (F.size(m["lines"]) - F.size(F.array_distinct(m["lines"]))).cast("long").alias("n_dup_lines"),
         third["_3"].cast("long").alias("n_repeat_words"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination
 from .html_extract import extract
+from .importance import select
 from .jaccard_join import near_duplicates
 from .license_scan import scan
 from .packing import pack
@@ -32,6 +33,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
