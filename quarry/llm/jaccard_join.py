@@ -347,3 +347,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     alone = merged.join(labels, "id", "left_anti").select("id", F.col("component").alias("component_id"))
     final = final.union(alone).withColumnRenamed("id", "doc_id")
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of documents without near duplicates, and of each group of these the row
+    with the smallest doc_id; of rows that share it one, and all rows without a doc_id."""
+    found = near_duplicates(docs, **parameters)
+    gone = written(found.filter("component_id <> doc_id").select("doc_id").distinct())
+    kept = docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
