@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import relational
+from quarry.plans import relational, retrieval
 
-MODULES = [relational]
+MODULES = [relational, retrieval]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
