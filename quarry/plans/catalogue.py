@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import relational, retrieval
+from quarry.plans import documents_json, relational, retrieval
 
-MODULES = [relational, retrieval]
+MODULES = [relational, retrieval, documents_json]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
