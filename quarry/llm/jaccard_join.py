@@ -13,15 +13,17 @@ inverted lists.
 
 A list is never expanded into all its pairs. Exact copies are put together first. Then
 each document is compared with the one that leads most of its lists, and what these links
-connect becomes a component. Only members of a list that are in different components by
-then are compared with each other. So all pairs of a list are in the end compared, or
+connect becomes a component; then components that meet in lists are compared by one pair,
+a few times over. Only members of a list that are in different components by then are
+compared with each other. So all pairs of a list are in the end compared, or
 known to be connected; components are exact. Of these pairs most have little in common:
 16 bits of each element, which can only overstate the common part, rule them out before
 whole sets are compared.
 
-The set of frequent elements is broadcast. An element is in it if it stands in `frequent`
-of all documents, so that there are at most mean set size / `frequent` of them, whatever
-the number of documents.
+How frequent elements are is told by a table of 2 ** `sketch_bits` counters that elements
+share by their hash; it has that size whatever the number of documents, and is broadcast.
+Its counts only order elements, in the same way for all sets, so that a crowded counter
+can cost time and not results.
 
 Null texts and texts without words have no set and link with nothing. Rows that repeat a
 doc_id count as one document that has the links of all its rows; rows with a null doc_id
@@ -31,19 +33,24 @@ link with nothing. Extra columns are ignored. An empty table gives an empty resu
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bits import bit_table, holds
 from .common import slices, written
 from .textnum import Words, mix, place, runs
 
-WORDS, PERCENT, FREQUENT, SUBSETS, BITS = 5, 80, 0.001, 64, 1 << 24
+WORDS, PERCENT, SUBSETS, BITS, SKETCH_BITS, ROUNDS = 5, 80, 64, 1 << 24, 24, 2
+#: Pairs that are compared for two components in a round.
+TRIES = 4
+#: Counters that go together, and times the mean count from which elements come late.
+CHUNK, LATE = 1 << 16, 4
 _U = np.uint64
 
 
@@ -81,9 +88,15 @@ def _sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
         if len(short):
             values.append(mix(runs(h, k)[w.first[short]] + _U(k)))
             rows.append(short)
-    value, row = np.concatenate(values), np.concatenate(rows)
-    order = np.lexsort((value, row))
-    value, row = value[order], row[order]
+    value, row = values[0], rows[0]
+    if len(values) > 1:
+        row = np.concatenate(rows)
+        order = np.argsort(row, kind="stable")
+        value, row = np.concatenate(values)[order], row[order]
+    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+    value = value.copy()
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        value[a:b].sort()
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
     value, row = value[new], row[new]
@@ -100,26 +113,55 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
 
-def _describe(words: int, frequent: float):
-    """Rows of kind 0: doc_id, n, f1, f2 (the set's size and digests); of kind 1: a shingle
-    that is frequent in one slice, and in how many of its documents it is."""
+def _describe(words: int, sketch_bits: int):
+    """For each row doc_id, n, f1 and f2, its set's size and digests. At a task's end rows
+    (chunk, counts) with its counters, deflated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(1 << sketch_bits, np.uint32)
+        names = ["doc_id", "n", "f1", "f2", "chunk", "counts"]
         for batch in slices(batches, most=8 << 20):
             value, first = _sets(batch.column("text"), words)
-            n = np.diff(first)
-            zero = np.zeros(len(n), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(zero), batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(place(_digest(value, first, 1))), pa.array(place(_digest(value, first, 2)))], ["kind", "doc_id", "n", "f1", "f2"])
-            found, times = np.unique(value, return_counts=True)
-            many = times >= max(4, frequent * len(n))
-            if many.any():
-                f = place(found[many])
-                yield _batch(kind=np.ones(len(f), np.int32), doc_id=np.zeros(len(f), np.int64), n=times[many].astype(np.int64), f1=f, f2=f)
+            at, times = np.unique(_counter(value, sketch_bits), return_counts=True)
+            counters[at] += times.astype(np.uint32)
+            n, nothing = np.diff(first), [None] * batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(place(_digest(value, first, 1))), pa.array(place(_digest(value, first, 2))), pa.array(nothing, pa.int32()), pa.array(nothing, pa.binary())], names)
+        if counters.any():
+            parts = [zlib.compress(x.tobytes(), 1) for x in counters.reshape(-1, CHUNK)]
+            empty = pa.array([None] * len(parts), pa.int64())
+            yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary())], names)
 
     return run
 
 
-def _shares(hot, words: int, percent: int, light: int):
+def _counter(value: np.ndarray, sketch_bits: int) -> np.ndarray:
+    return (value >> _U(64 - sketch_bits)).astype(np.int64)
+
+
+def _add_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of each chunk, as one byte for each counter: 0 or the logarithm's digits."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
+            own = np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint32)
+            sums[chunk] = sums.get(chunk, 0) + own.astype(np.int64)
+    for chunk, own in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([own.sum()], pa.int64()), pa.array([np.round(4 * np.log2(own + 1)).astype(np.uint8).tobytes()], pa.binary())], ["chunk", "total", "levels"])
+
+
+def _levels(parts: DataFrame, sketch_bits: int) -> np.ndarray:
+    """For each counter 0, or a number that grows with its count where that is over `LATE`
+    times the mean. One byte for each counter comes to the driver."""
+    rows = parts.repartition("chunk").mapInArrow(_add_counters, "chunk int, total long, levels binary").toArrow()
+    out = np.zeros(1 << sketch_bits, np.uint8)
+    for chunk, levels in zip(rows["chunk"].to_pylist(), rows["levels"]):
+        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(levels.as_buffer(), np.uint8)
+    mean = sum(rows["total"].to_pylist()) / len(out)
+    out[out < round(4 * math.log2(LATE * mean + 8))] = 0
+    return out
+
+
+def _shares(levels, words: int, percent: int, light: int):
     """(key, id, n, at): the keys of each set, once for equal sets in a task; at: where the
     key's element stands in the set's order, or -1 for subsets."""
 
@@ -132,15 +174,19 @@ def _shares(hot, words: int, percent: int, light: int):
             n = np.diff(first)
             new = np.array([bool(s) and d not in seen and not seen.add(d) for s, d in zip(n, digest)], bool)
             row = np.repeat(np.arange(len(n)), n)
-            late = np.zeros(len(value), bool)
-            if len(hot.value):
-                at = np.minimum(np.searchsorted(hot.value, value), len(hot.value) - 1)
-                late = hot.value[at] == value
-            order = np.lexsort((value, late, row))
-            value = value[order]
-            at = np.arange(len(value)) - first[row]
+            late = levels.value[_counter(value, len(levels.value).bit_length() - 1)]
+            # a set's order: elements that aren't frequent by their hash, then the others
             prefix = n - (-(-percent * n // 100)) + 1
-            take = new[row] & (at < prefix[row]) & (n[row] > least(light + 1, percent) - 1)
+            early = late == 0
+            at = np.cumsum(early) - early
+            at -= at[np.minimum(first[:-1], max(len(at) - 1, 0))][row] if len(at) else 0
+            several = np.bincount(row[early], minlength=len(n)) < prefix
+            for i in np.flatnonzero(several & new):
+                a, b = first[i], first[i + 1]
+                own = np.lexsort((value[a:b], late[a:b]))
+                at[a:b][own] = np.arange(b - a)
+                early[a:b] = True
+            take = early & new[row] & (at < prefix[row]) & (n[row] >= least(light + 1, percent))
             if take.any():
                 yield _batch(key=place(value[take]), id=ids[row[take]], n=n[row[take]].astype(np.int32), at=at[take].astype(np.int32))
             keys, owners = [], []
@@ -158,48 +204,60 @@ def _shares(hot, words: int, percent: int, light: int):
     return run
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fits(n: np.ndarray, at: np.ndarray, m: np.ndarray, there: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n elements can link with sets of m >= n, if the first element that is
+    common to both stands at these places (-1: unknown)."""
+    n, m = n.astype(np.int64), m.astype(np.int64)
+    most = np.where((at < 0) | (there < 0), n, np.minimum(n - at, m - there))
+    return (n * 100 >= m * percent) & (most * (100 + percent) >= percent * (n + m))
+
+
+def _lists(percent: int):
     """From rows sorted by key, n and id, the lists of at least two members: each member
     with the list's first, its lead."""
-    columns = ("key", "id", "n", "at")
-    rest, lead = None, None
-    for batch in batches:
-        key, i, n, at = (batch.column(c).to_numpy() for c in columns)
-        if rest is not None:  # the last row may begin a list
-            key, i, n, at = (np.concatenate([a, b]) for a, b in zip(rest, (key, i, n, at)))
-        begins = np.ones(len(key), bool)
-        begins[1:] = key[1:] != key[:-1]
-        where = np.maximum.accumulate(np.where(begins, np.arange(len(key)), 0))
-        leads = np.zeros(len(key), bool)
-        leads[:-1] = begins[:-1] & ~begins[1:]
-        own = [i[where], n[where], at[where]]
-        if lead is not None:
-            leads[0] = False  # given before
-            own = [np.where(where == 0, x, o) for x, o in zip(lead, own)]
-        out = ~begins | leads
-        if out.any():
-            yield _batch(key=key[out], id=i[out], n=n[out], at=at[out], lead=own[0][out], lead_n=own[1][out], lead_at=own[2][out])
-        rest = tuple(a[-1:] for a in (key, i, n, at))
-        going_on = not begins[-1] or (lead is not None and len(key) == 1)
-        lead = tuple(o[-1] for o in own) if going_on else None
-
-
-def _across(percent: int, most: int = 4096):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ("key", "id", "n", "at")
+        rest, lead = None, None
+        for batch in batches:
+            key, i, n, at = (batch.column(c).to_numpy() for c in columns)
+            if rest is not None:  # the last row may begin a list
+                key, i, n, at = (np.concatenate([a, b]) for a, b in zip(rest, (key, i, n, at)))
+            begins = np.ones(len(key), bool)
+            begins[1:] = key[1:] != key[:-1]
+            where = np.maximum.accumulate(np.where(begins, np.arange(len(key)), 0))
+            leads = np.zeros(len(key), bool)
+            leads[:-1] = begins[:-1] & ~begins[1:]
+            own = [i[where], n[where], at[where]]
+            if lead is not None:
+                leads[0] = False  # given before
+                own = [np.where(where == 0, x, o) for x, o in zip(lead, own)]
+            out = ~begins | leads
+            # of lists of two that end here, those whose members cannot link go
+            pair = np.flatnonzero(leads[:-2] & ~begins[1:-1] & begins[2:]) if len(key) > 2 else np.zeros(0, np.int64)
+            hopeless = pair[~fits(n[pair], at[pair], n[pair + 1], at[pair + 1], percent)]
+            out[hopeless] = out[hopeless + 1] = False
+            if out.any():
+                yield _batch(key=key[out], id=i[out], n=n[out], at=at[out], lead=own[0][out], lead_n=own[1][out], lead_at=own[2][out])
+            rest = tuple(a[-1:] for a in (key, i, n, at))
+            going_on = not begins[-1] or (lead is not None and len(key) == 1)
+            lead = tuple(o[-1] for o in own) if going_on else None
+
+    return run
+
+
+def _across(percent: int, most: int = 1 << 16):
     """From lists sorted by key, n and id, pairs of members in different components whose
     sizes and places let them link."""
 
-    def pairs(members: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        i, n, at, comp = (np.concatenate(x) for x in zip(*members))
+    def pairs(i, n, at, comp) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
         for a in range(len(i)):
             # members are sorted by n, so partners that come later have up to n / t
-            stop = int(np.searchsorted(n, n[a] * 100 // percent, "right"))
+            stop = int(np.searchsorted(n, int(n[a]) * 100 // percent, "right"))
             b = np.arange(a + 1, stop)
             b = b[comp[b] != comp[a]]
-            if not len(b):
-                continue
-            common = np.where((at[a] < 0) | (at[b] < 0), np.minimum(n[a], n[b]), 1 + np.minimum(n[a] - at[a] - 1, n[b] - at[b] - 1))
-            b = b[common >= -(-percent * (n[a] + n[b]) // (100 + percent))]
+            b = b[fits(n[a : a + 1], at[a : a + 1], n[b], at[b], percent)]
             if len(b):
                 found.append((np.minimum(i[a], i[b]), np.maximum(i[a], i[b])))
                 size += len(b)
@@ -210,22 +268,56 @@ def _across(percent: int, most: int = 4096):
             yield _batch(a=np.concatenate([x for x, _ in found]), b=np.concatenate([y for _, y in found]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members = None, []
-        for batch in batches:
-            k, i, n, at, comp = (batch.column(c).to_numpy() for c in ("key", "id", "n", "at", "component"))
-            cuts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]]) if len(k) else [0]
-            for low, high in zip(cuts[:-1], cuts[1:]):
-                if key != k[low] and members:
-                    yield from pairs(members)
-                    members = []
-                key = k[low]
-                members.append((i[low:high], n[low:high].astype(np.int64), at[low:high], comp[low:high]))
-        if members:
-            yield from pairs(members)
+        for _, members in _runs(batches):
+            yield from pairs(*members)
 
     return run
 
 
+def _between(percent: int, turn: int):
+    """From lists sorted by key, n and id, pairs of members of a list's components: one
+    member of each, told by key and turn, with that of the list's first component and that
+    of the component before it."""
+
+    def pairs(key: int, i, n, at, comp) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(comp, kind="stable")
+        begins = np.flatnonzero(np.diff(comp[order], prepend=comp[order[0]] - 1))
+        sizes = np.diff(np.append(begins, len(order)))
+        draw = mix(comp[order[begins]].view(_U) ^ _U(key & 0xFFFFFFFFFFFFFFFF) ^ _U(turn << 7))
+        own = order[begins + (draw % sizes.astype(_U)).astype(np.int64)]
+        x, y = np.concatenate([np.full(len(own) - 1, own[0]), own[1:-1]]), np.concatenate([own[1:], own[2:]])
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        good = fits(n[x], at[x], n[y], at[y], percent)
+        x, y = x[good], y[good]
+        return i[x], i[y], comp[x], comp[y]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, members in _runs(batches):
+            if (members[3] != members[3][0]).any():
+                a, b, ca, cb = pairs(key, *members)
+                if len(a):
+                    swap = ca > cb
+                    yield _batch(a=np.where(swap, b, a), b=np.where(swap, a, b), ca=np.where(swap, cb, ca), cb=np.where(swap, ca, cb))
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """The key and the members (id, n, at, component) of each list, of rows sorted by key."""
+    key, members = None, []
+    for batch in batches:
+        k, *rest = (batch.column(c).to_numpy() for c in ("key", "id", "n", "at", "component"))
+        cuts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]]) if len(k) else [0]
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            if key != k[low] and members:
+                yield key, tuple(np.concatenate(x) for x in zip(*members))
+                members = []
+            key = int(k[low])
+            members.append(tuple(x[low:high] for x in rest))
+    if members:
+        yield key, tuple(np.concatenate(x) for x in zip(*members))
+
+
 def _blobs(words: int, table):
     """(id, elements, short) for documents whose id may be in the bit table; short: 16 bits
     of each element."""
@@ -300,22 +392,29 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: float = FREQUENT, subsets: int = SUBSETS, bits: int = BITS) -> DataFrame:
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after what links (a, b) connect."""
+    ends = links.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left")
+    merged = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    known = labels.join(merged.toDF("component", "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return written(known.union(merged.join(labels, "id", "left_anti").select("id", "component")))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS, subsets: int = SUBSETS, bits: int = BITS, rounds: int = ROUNDS) -> DataFrame:
     """Per row doc_id, n_shingles and component_id, the smallest doc_id that links reach.
 
-    words: of a shingle; percent: the similarity from which sets link; frequent: share of
-    the documents from which an element counts as frequent; subsets: what a light set may
-    list at most; bits: of the tables that let through documents whose sets are compared.
+    words: of a shingle; percent: the similarity from which sets link; sketch_bits: of the
+    number of counters that tell frequent elements, 16 at least; subsets: what a light set may
+    list at most; bits: of the tables that let through documents whose sets are compared;
+    rounds: of comparisons between components by one pair, before all pairs.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.filter("doc_id is not null")
     light = light_size(percent, subsets)
-    rows = written(docs.mapInArrow(_describe(words, frequent), "kind int, doc_id long, n long, f1 long, f2 long"))
-    sets = rows.filter("kind = 0")
-    total = sets.count()
-    hot = rows.filter("kind = 1").groupBy("f1").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(16, frequent * total)).select("f1").toArrow()["f1"].to_numpy()
-    hot = spark.sparkContext.broadcast(np.sort(hot.view(_U)))
+    rows = written(docs.mapInArrow(_describe(words, sketch_bits), "doc_id long, n long, f1 long, f2 long, chunk int, counts binary"))
+    sets = rows.filter("chunk is null").select("doc_id", "n", "f1", "f2")
+    levels = spark.sparkContext.broadcast(_levels(rows.filter("chunk is not null").select("chunk", "counts"), sketch_bits))
 
     # equal sets count as their smallest doc_id; also rows that share a doc_id
     full = sets.filter("n > 0 and doc_id is not null")
@@ -323,29 +422,35 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     copies = full.join(same, ["n", "f1", "f2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     copies = written(copies)
 
-    shares = known.mapInArrow(_shares(hot, words, percent, light), "key long, id long, n int, at int")
+    shares = known.mapInArrow(_shares(levels, words, percent, light), "key long, id long, n int, at int")
     sorted_shares = shares.repartition("key").sortWithinPartitions("key", "n", "id")
     kind = "key long, id long, n int, at int, lead long, lead_n int, lead_at int"
-    lists = written(sorted_shares.mapInArrow(_lists, kind))
+    lists = written(sorted_shares.mapInArrow(_lists(percent), kind))
 
     # the first common element tells how much can still be common; the lead is no larger
     after = F.when(F.col("at") < 0, F.col("lead_n")).otherwise(F.least(F.col("n") - F.col("at"), F.col("lead_n") - F.col("lead_at")))
-    fits = (F.col("lead_n") * 100 >= F.col("n") * percent) & (after * (100 + percent) >= percent * (F.col("n") + F.col("lead_n")))
-    led = lists.filter(fits & (F.col("id") != F.col("lead"))).groupBy("id", "lead").count()
+    fit = (F.col("lead_n") * 100 >= F.col("n") * percent) & (after * (100 + percent) >= percent * (F.col("n") + F.col("lead_n")))
+    led = lists.filter(fit & (F.col("id") != F.col("lead"))).groupBy("id", "lead").count()
     first = led.groupBy("id").agg(F.max(F.struct("count", "lead")).alias("x")).select(F.least("id", "x.lead").alias("a"), F.greatest("id", "x.lead").alias("b"))
-    links = _links(known, first, words, percent, bits, False).union(copies)
-    labels = components(links)
-
-    labelled = lists.select("key", "id", "n", "at").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    rest = labelled.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key", "n", "id")
-    more = _links(known, rest.mapInArrow(_across(percent), "a long, b long"), words, percent, bits, True)
-    # what is linked anew connects components
-    joined = more.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    merged = components(joined)
-    final = labels.join(merged.toDF("component", "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component_id"))
-    alone = merged.join(labels, "id", "left_anti").select("id", F.col("component").alias("component_id"))
-    final = final.union(alone).withColumnRenamed("id", "doc_id")
+    labels = components(_links(known, first, words, percent, bits, False).union(copies))
+
+    def rest() -> DataFrame:
+        """Lists with members of several components, by key."""
+        own = lists.select("key", "id", "n", "at").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+        return own.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key", "n", "id")
+
+    for turn in range(rounds):
+        # of pairs between the same two components some that share the most lists
+        some = rest().mapInArrow(_between(percent, turn), "a long, b long, ca long, cb long").groupBy("a", "b", "ca", "cb").count()
+        best = Window.partitionBy("ca", "cb").orderBy(F.desc("count"), F.xxhash64("a", "b"))
+        some = some.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= TRIES).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = _links(known, some, words, percent, bits, True)
+        if more.isEmpty():
+            break
+        labels = _merged(labels, more)
+    last = _links(known, rest().mapInArrow(_across(percent), "a long, b long"), words, percent, bits, True)
+    final = _merged(labels, last).select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
