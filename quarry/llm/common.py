@@ -78,3 +78,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 def ascii_lower(c: Column) -> Column:
     """A-Z to lower case, other letters unchanged."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def bounded(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """All rows if there are at most `most`; else a sample of about so many, by a hash of
+    the key, which is the same in each run. Small enough to be broadcast."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(0.98 * most / n * (1 << 30)))

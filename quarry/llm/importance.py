@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import bounded, slices, written
 from .textnum import Words, runs
 
-BUCKETS, SEED, BINS = 1 << 16, 1, 1024
+BUCKETS, SEED, BINS, LABELLED = 1 << 16, 1, 1024, 1_000_000
 _U = np.uint64
 
 
@@ -72,10 +72,11 @@ def _weigh(ratios, buckets: int):
     return run
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """log(target / raw) for each bucket, from all documents."""
-    marks = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(True))
-    rows = docs.select("doc_id", "text").join(marks, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled: int = LABELLED) -> np.ndarray:
+    """log(target / raw) for each bucket: raw from all documents, target from those that are
+    labelled as good, at most about `labelled` of them."""
+    marks = bounded(labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct(), "doc_id", labelled)
+    rows = docs.select("doc_id", "text").join(F.broadcast(marks.withColumn("good", F.lit(True))), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     sums = rows.mapInArrow(_count(buckets), "bucket int, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow()
     target, raw = np.ones(buckets), np.ones(buckets)
     at = sums["bucket"].to_numpy()

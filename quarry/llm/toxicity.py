@@ -4,7 +4,8 @@ context windows.
 1. Words and word beginnings of labelled rows (not the held-out ones) are counted by label;
    those that favour toxic rows beyond chance (log-likelihood ratio above a bound that
    grows with the number of terms tested) are the lexicon, beside a few seed terms. It has
-   `terms` terms at most, by their ratio: it is the model's size and doesn't grow with data.
+   `terms` terms at most, by their ratio, and is learned from `labelled` rows at most, by
+   a hash of doc_id: these are the model's size and don't grow with the data.
 2. The terms stand in a trie. Levenshtein automata of all terms run together with it: a
    state is the set of trie nodes with the errors on the way to them, and states are made
    when first met, so that a word costs a table look-up for each letter. Short terms match
@@ -26,6 +27,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import bounded, slices, written
 from .textnum import Words
 
-TERMS = 4096
+TERMS, LABELLED = 4096, 200_000
 #: Terms that count without any labels.
 SEEDS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "imbecile", "scumbag")
 SEED_WEIGHT = 4.0
@@ -60,8 +62,10 @@ class Lexicon:
     prior: float = -2.0
     slope: float = 1.0
 
-    def terms(self) -> list[tuple[str, int]]:
-        return sorted({(t, 2 if kind == 2 else 0) for t, kind in self.weights})
+    def terms(self) -> list[tuple[str, int, int]]:
+        """(term, kind, errors): terms whose misspelled matches weigh nothing allow none."""
+        near = {t for t, kind in self.weights if kind == 1}
+        return sorted({(t, 2, 0) if kind == 2 else (t, 0, errors_for(t) if t in near else 0) for t, kind in self.weights})
 
 
 def errors_for(term: str) -> int:
@@ -71,13 +75,14 @@ def errors_for(term: str) -> int:
 class Matcher:
     """Levenshtein automata of all terms over one trie, made deterministic as words come."""
 
-    def __init__(self, terms: list[tuple[str, int]]):
+    def __init__(self, terms: list[tuple[str, int, int]]):
         self.children: list[dict[str, int]] = [{}]
         self.whole: list[str | None] = [None]
         self.begin: list[str | None] = [None]
         self.most = [0]  # the errors that the longest term below a node may have
-        for term, kind in terms:
-            node, k = 0, errors_for(term) if kind == 0 else 0
+        self.errors = {term: k for term, kind, k in terms if kind == 0}
+        for term, kind, k in terms:
+            node = 0
             self.most[0] = max(self.most[0], k)
             for letter in term:
                 if letter not in self.children[node]:
@@ -113,7 +118,7 @@ class Matcher:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.next.append({})
-            self.accepts.append([(t, min(e, 1)) for n, e in key if (t := self.whole[n]) and e <= errors_for(t)])
+            self.accepts.append([(t, min(e, 1)) for n, e in key if (t := self.whole[n]) and e <= self.errors[t]])
             self.starts.append([(t, 2) for n, e in key if e == 0 and (t := self.begin[n])])
         return self.states[key]
 
@@ -267,10 +272,23 @@ def _ratio(clean: Column, toxic: Column, n_clean: int, n_toxic: int) -> Column:
     return F.when(toxic > with_term * share, g).otherwise(0.0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, terms: int = TERMS) -> Lexicon:
-    """The lexicon from labelled rows that aren't held out; at most `terms` come to the driver."""
+def _pruned(weights: dict[tuple[str, int], float]) -> dict[tuple[str, int], float]:
+    """Without words and beginnings that a shorter beginning of about their weight covers:
+    they add nothing, and the automaton stays small."""
+    out = {}
+    for (term, kind), weight in sorted(weights.items(), key=lambda x: (len(x[0][0]), x[0])):
+        covered = any(out.get((term[:k], 2), 0.0) >= 0.7 * weight for k in PREFIXES if k < len(term))
+        if not covered or (term in SEEDS and kind == 0):
+            out[term, kind] = weight
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame, terms: int = TERMS, labelled: int = LABELLED) -> Lexicon:
+    """The lexicon from labelled rows that aren't held out, at most `labelled` of them; at
+    most `terms` come to the driver."""
     marks = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = written(docs.select("doc_id", "text").join(marks, "doc_id").select("text", "toxic").filter("toxic in (0, 1)"))
+    marks = bounded(marks.filter("toxic in (0, 1)"), "doc_id", labelled)
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "toxic"))
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
     prior = math.log((n_toxic + 1) / (n_clean + 10)) if n_toxic else -2.0
@@ -284,8 +302,14 @@ def learn(docs: DataFrame, labels: DataFrame, terms: int = TERMS) -> Lexicon:
     bound = 2 * math.log(1000 * (n_clean + n_toxic)) + 2
     weight = lambda clean, toxic: math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
     chosen = counted.filter(F.col("ratio") >= bound).filter(F.col("toxic") * n_clean > 4 * F.col("clean") * n_toxic)
-    for r in chosen.orderBy(F.desc("ratio"), "term", "kind").limit(terms).collect():
-        lexicon.weights[r["term"], r["kind"]] = weight(r["clean"], r["toxic"])
+    found = {(r["term"], r["kind"]): r for r in chosen.orderBy(F.desc("ratio"), "term", "kind").limit(terms).collect()}
+    whole = sorted((t, r["toxic"]) for (t, kind), r in found.items() if kind == 0)
+    for (term, kind), r in found.items():
+        # a beginning has to stand for more words than one
+        one = max((n for t, n in whole[bisect_left(whole, (term, 0)) : bisect_left(whole, (term + "\U0010ffff", 0))]), default=0)
+        if kind == 0 or 10 * r["toxic"] > 11 * one:
+            lexicon.weights[term, kind] = weight(r["clean"], r["toxic"])
+    lexicon.weights = _pruned(lexicon.weights)
     for term, kind in list(lexicon.weights):
         if kind == 0 and errors_for(term):
             lexicon.weights[term, 1] = 0.0
@@ -298,6 +322,8 @@ def learn(docs: DataFrame, labels: DataFrame, terms: int = TERMS) -> Lexicon:
             # a neighbour that never came: trust it by its term's weight, less if toxic rows are few
             own = lexicon.weights[term, 0]
             lexicon.weights[key] = min(own, 0.7 * own) if clean == 0 else max(0.0, min(0.7 * own, weight(clean, toxic)))
+            if lexicon.weights[key] <= 0.0:
+                del lexicon.weights[key]
         elif term in SEEDS and kind == 0:
             lexicon.weights[key] = max(0.0, weight(clean, toxic)) if clean + toxic else SEED_WEIGHT
     bins = rows.mapInArrow(_binned(lexicon), "bin int, clean long, toxic long").groupBy("bin").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
