@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import documents_json, graphs, relational, retrieval
+from quarry.plans import changes, documents_json, graphs, relational, retrieval
 
-MODULES = [relational, retrieval, documents_json, graphs]
+MODULES = [relational, retrieval, documents_json, graphs, changes]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
