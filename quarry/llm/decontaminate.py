@@ -136,5 +136,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, solid: int = SOLID, hits: int = HITS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of documents that contain no item, unchanged."""
     found = written(_matches(docs, benchmark, window, solid, hits, broadcast_rows).select("id", "copy").distinct())
-    rows = docs.withColumn("_copy", F.xxhash64("text"))
-    return rows.join(found, rows["doc_id"].eqNullSafe(found["id"]) & (rows["_copy"] == found["copy"]), "left_anti").drop("_copy")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_copy"))
+    return rows.join(found, rows["_id"].eqNullSafe(found["id"]) & (rows["_copy"] == found["copy"]), "left_anti").select("_row.*")

@@ -162,5 +162,7 @@ def measure(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of documents that aren't rejected, unchanged."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return _measured(docs, rules).filter("_quality.kept").select(*columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text"))
+    # an explode and no filter: a filter would be moved below the measures, and repeat them
+    kept = _measured(rows, rules).select("_row", F.explode(F.when(F.col("_quality.kept"), F.array(F.lit(0)))).alias("_kept"))
+    return kept.select("_row.*")
