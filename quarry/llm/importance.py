@@ -65,7 +65,7 @@ def _weigh(ratios, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             bucket, row = _grams(batch.column("text"), buckets)
-            sums = np.bincount(row, ratios.value[bucket], minlength=batch.num_rows)
+            sums = np.bincount(row, ratios.value[bucket], minlength=batch.num_rows).astype(np.float64)
             n = np.bincount(row, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("noise"), pa.array(sums), pa.array(n.astype(np.int64))], ["doc_id", "noise", "log_weight", "n_grams"])
 

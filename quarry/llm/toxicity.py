@@ -1,7 +1,8 @@
 """Toxicity of documents: a learned lexicon in a trie, matched by Levenshtein automata, with
 context windows.
 
-1. Words and word beginnings of labelled rows (not the held-out ones) are counted by label;
+1. Words and word beginnings of labelled rows (not the held-out ones) are counted by label,
+   in toxic rows by the different words around them, so that copies count once;
    those that favour toxic rows beyond chance (log-likelihood ratio above a bound that
    grows with the number of terms tested) are the lexicon, beside a few seed terms. It has
    `terms` terms at most, by their ratio, and is learned from `labelled` rows at most, by
@@ -27,7 +28,9 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import zlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -153,21 +156,31 @@ def _bare(word: str) -> str:
 
 
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, kind, clean, toxic): in how many rows of a slice a word or beginning stands."""
+    """(term, kind, around, clean): of words and beginnings, in how many clean rows of a
+    slice they stand; and for toxic rows a hash of the words around the first place."""
     for batch in slices(batches):
-        counts: dict[tuple[str, int], list[int]] = {}
+        clean: Counter[tuple[str, int]] = Counter()
+        found: set[tuple[str, int, int]] = set()
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            words = {_bare(w) for w in (text or "").lower().split()}
-            terms = {(w, 0) for w in words if 3 <= len(w) <= 40} | {(w[:k], 2) for w in words for k in PREFIXES if k < len(w) <= 40}
-            for term in terms:
-                counts.setdefault(term, [0, 0])[toxic] += 1
-        if counts:
-            keys = list(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array([counts[k][0] for k in keys], pa.int64()), pa.array([counts[k][1] for k in keys], pa.int64())], ["term", "kind", "clean", "toxic"])
+            words = [_bare(w) for w in (text or "").lower().split()]
+            places: dict[tuple[str, int], int] = {}
+            for i, w in enumerate(words):
+                if 3 <= len(w) <= 40 and (w, 0) not in places:
+                    places[w, 0] = i
+                    for k in PREFIXES:
+                        if k < len(w):
+                            places.setdefault((w[:k], 2), i)
+            if toxic:
+                found.update((t, kind, zlib.crc32(" ".join(words[max(0, i - 1) : i] + words[i + 1 : i + 2]).encode())) for (t, kind), i in places.items())
+            else:
+                clean.update(places.keys())
+        rows = [(t, kind, None, n) for (t, kind), n in clean.items()] + [(t, kind, c, 0) for t, kind, c in found]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["term", "kind", "around", "clean"])
 
 
 def _hits_of(lexicon: Lexicon):
-    """As _terms_of, for matches of the lexicon."""
+    """(term, kind, clean, toxic): in how many rows of a slice the lexicon matches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon.terms())
@@ -296,7 +309,8 @@ def learn(docs: DataFrame, labels: DataFrame, terms: int = TERMS, labelled: int
     if not n_clean or not n_toxic:
         return lexicon
     shape = "term string, kind int, clean long, toxic long"
-    counted = rows.mapInArrow(_terms_of, shape).groupBy("term", "kind").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    seen = rows.mapInArrow(_terms_of, "term string, kind int, around long, clean long").groupBy("term", "kind", "around").agg(F.sum("clean").alias("clean"))
+    counted = seen.groupBy("term", "kind").agg(F.sum("clean").alias("clean"), F.count("around").alias("toxic"))
     counted = counted.withColumn("ratio", _ratio(F.col("clean"), F.col("toxic"), n_clean, n_toxic))
     # beyond chance for all terms that were tested; that are about as many as their rows
     bound = 2 * math.log(1000 * (n_clean + n_toxic)) + 2
