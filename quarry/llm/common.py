@@ -58,6 +58,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the table behind df, which `written` has made, once nothing reads it any more."""
+    spark = df.sparkSession
+    for name in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut into slices with about `most` bytes of text, one row at least, so that
     what numpy derives from a slice stays small whatever the batch size is."""

@@ -43,14 +43,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bits import bit_table, holds
-from .common import slices, written
+from .common import discard, slices, written
 from .textnum import Words, mix, place, runs
 
-WORDS, PERCENT, SUBSETS, BITS, SKETCH_BITS, ROUNDS = 5, 80, 64, 1 << 24, 24, 2
+WORDS, PERCENT, SUBSETS, BITS, SKETCH_BITS, ROUNDS = 5, 80, 64, 1 << 24, 22, 1
 #: Pairs that are compared for two components in a round.
 TRIES = 4
 #: Counters that go together, and times the mean count from which elements come late.
-CHUNK, LATE = 1 << 16, 4
+CHUNK, LATE = 1 << 16, 1
+#: Members of a list up to which each is looked at with each before the list is written.
+NEAR = 64
 _U = np.uint64
 
 
@@ -150,14 +152,14 @@ def _add_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _levels(parts: DataFrame, sketch_bits: int) -> np.ndarray:
-    """For each counter 0, or a number that grows with its count where that is over `LATE`
-    times the mean. One byte for each counter comes to the driver."""
+    """For each counter 0, or a number that grows with its count where that is over the
+    mean by more than chance. One byte for each counter comes to the driver."""
     rows = parts.repartition("chunk").mapInArrow(_add_counters, "chunk int, total long, levels binary").toArrow()
     out = np.zeros(1 << sketch_bits, np.uint8)
     for chunk, levels in zip(rows["chunk"].to_pylist(), rows["levels"]):
         out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(levels.as_buffer(), np.uint8)
     mean = sum(rows["total"].to_pylist()) / len(out)
-    out[out < round(4 * math.log2(LATE * mean + 8))] = 0
+    out[out < round(4 * math.log2(mean + LATE * (4 * mean**0.5 + 4) + 1))] = 0
     return out
 
 
@@ -233,10 +235,21 @@ def _lists(percent: int):
                 leads[0] = False  # given before
                 own = [np.where(where == 0, x, o) for x, o in zip(lead, own)]
             out = ~begins | leads
-            # of lists of two that end here, those whose members cannot link go
-            pair = np.flatnonzero(leads[:-2] & ~begins[1:-1] & begins[2:]) if len(key) > 2 else np.zeros(0, np.int64)
-            hopeless = pair[~fits(n[pair], at[pair], n[pair + 1], at[pair + 1], percent)]
-            out[hopeless] = out[hopeless + 1] = False
+            # members that fit none of the members about them go, if all of those are here
+            keep = np.zeros(len(key), bool)
+            whole = np.flatnonzero(begins)
+            ends = np.append(whole[1:], len(key))
+            sizes = ends - whole
+            open_end = np.repeat((sizes > NEAR) | (ends == len(key)) | ((whole == 0) & (rest is not None)), sizes)
+            x = np.arange(len(key) - 1)
+            for d in range(1, NEAR):
+                x = x[x + d < len(key)]
+                x = x[key[x] == key[x + d]]
+                if not len(x):
+                    break
+                good = x[fits(n[x], at[x], n[x + d], at[x + d], percent)]
+                keep[good] = keep[good + d] = True
+            out &= keep | open_end
             if out.any():
                 yield _batch(key=key[out], id=i[out], n=n[out], at=at[out], lead=own[0][out], lead_n=own[1][out], lead_at=own[2][out])
             rest = tuple(a[-1:] for a in (key, i, n, at))
@@ -318,17 +331,16 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.nda
         yield key, tuple(np.concatenate(x) for x in zip(*members))
 
 
-def _blobs(words: int, table):
-    """(id, elements, short) for documents whose id may be in the bit table; short: 16 bits
-    of each element."""
+def _blobs(words: int, table, short: bool):
+    """(id, elements) for documents whose id may be in the bit table; short: 16 bits of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=8 << 20):
             batch = batch.filter(pa.array(holds(table.value, batch.column("doc_id").to_numpy().view(_U))))
             value, first = _sets(batch.column("text"), words)
-            short = (value >> _U(48)).astype(np.uint16)
-            ends = list(zip(first[:-1], first[1:]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([value[a:b].tobytes() for a, b in ends], pa.binary()), pa.array([short[a:b].tobytes() for a, b in ends], pa.binary())], ["id", "elements", "short"])
+            if short:
+                value = (value >> _U(48)).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([value[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], ["id", "elements"])
 
     return run
 
@@ -358,22 +370,20 @@ def _verify(percent: int, short: bool):
     return run
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, column: str, percent: int) -> DataFrame:
-    left = sets.select(F.col("id").alias("a"), F.col(column).alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col(column).alias("right"))
-    return written(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(percent, column == "short"), "a long, b long"))
-
-
-def _links(docs: DataFrame, pairs: DataFrame, words: int, percent: int, bits: int, sieve: bool) -> DataFrame:
-    """Those of pairs (a, b) that link, by comparing their sets; with sieve, short elements
-    first. Sets are made where documents are read, for those that a bit table lets through."""
+def _links(docs: DataFrame, pairs: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
+    """Those of pairs (a, b) that link, by comparing their sets, short elements first. Sets
+    are made where documents are read, for those that a bit table lets through."""
     pairs = written(pairs.filter("a < b").distinct())
-    ids = pairs.select(F.col("a").alias("anchor")).union(pairs.select("b")).distinct()
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(ids, bits))
-    sets = written(docs.mapInArrow(_blobs(words, table), "id long, elements binary, short binary"))
-    if sieve:
-        pairs = _compared(pairs, sets, "short", percent)
-    return _compared(pairs, sets, "elements", percent).distinct()
+    for short in (True, False):
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        table = docs.sparkSession.sparkContext.broadcast(bit_table(ids, bits))
+        sets = written(docs.mapInArrow(_blobs(words, table, short), "id long, elements binary"))
+        left, right = sets.toDF("a", "left"), sets.toDF("b", "right")
+        found = written(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(percent, short), "a long, b long").distinct())
+        discard(sets)
+        discard(pairs)
+        pairs = found
+    return pairs
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -432,7 +442,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     fit = (F.col("lead_n") * 100 >= F.col("n") * percent) & (after * (100 + percent) >= percent * (F.col("n") + F.col("lead_n")))
     led = lists.filter(fit & (F.col("id") != F.col("lead"))).groupBy("id", "lead").count()
     first = led.groupBy("id").agg(F.max(F.struct("count", "lead")).alias("x")).select(F.least("id", "x.lead").alias("a"), F.greatest("id", "x.lead").alias("b"))
-    labels = components(_links(known, first, words, percent, bits, False).union(copies))
+    labels = components(_links(known, first, words, percent, bits).union(copies))
 
     def rest() -> DataFrame:
         """Lists with members of several components, by key."""
@@ -445,11 +455,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         some = rest().mapInArrow(_between(percent, turn), "a long, b long, ca long, cb long").groupBy("a", "b", "ca", "cb").count()
         best = Window.partitionBy("ca", "cb").orderBy(F.desc("count"), F.xxhash64("a", "b"))
         some = some.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= TRIES).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = _links(known, some, words, percent, bits, True)
+        more = _links(known, some, words, percent, bits)
         if more.isEmpty():
             break
         labels = _merged(labels, more)
-    last = _links(known, rest().mapInArrow(_across(percent), "a long, b long"), words, percent, bits, True)
+    last = _links(known, rest().mapInArrow(_across(percent), "a long, b long"), words, percent, bits)
     final = _merged(labels, last).select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
