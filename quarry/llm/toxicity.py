@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, slices, written
+from .common import bounded, slices
 from .textnum import Words
 
 TERMS, LABELLED = 4096, 200_000
@@ -301,7 +301,7 @@ def learn(docs: DataFrame, labels: DataFrame, terms: int = TERMS, labelled: int
     most `terms` come to the driver."""
     marks = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = bounded(marks.filter("toxic in (0, 1)"), "doc_id", labelled)
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "toxic")
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
     prior = math.log((n_toxic + 1) / (n_clean + 10)) if n_toxic else -2.0
