@@ -1,0 +1,470 @@
+"""The operators of quarry.llm against brute force, and on odd tables."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.llm import decontaminate, html_extract, importance, jaccard_join, license_scan, packing, pii, quality_rules, substring_dedup, toxicity
+from quarry.llm.queries import queries
+from quarry.llm.textnum import Words, runs
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LOWER = {a: a + 32 for a in range(65, 91)}
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def frame(spark, texts, ids=None):
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in zip(ids, texts)], DOCS)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, folder):
+    return spark.read.parquet(f"{folder}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows, ids that repeat, and columns with odd names."""
+    long = " ".join(f"w{i % 977}x{i % 53}" for i in range(60_000))
+    texts = [None, "", " \n\t ", "one", "one", "a b c d e f g h", long, long, "É" * 10, "x\x0by\x1fz", "same text here " * 30]
+    df = frame(spark, texts, [1, 2, 3, 4, 4, None, 6, 7, 8, 9, 9])
+    return df.withColumns({"id": F.lit(5), "key": F.lit("k"), "n": F.lit(1), "copy": F.lit(2), "words": F.lit("w"), "start": F.lit(3), "component_id": F.lit(0), "_1": F.lit(0)})
+
+
+def words_of(text):
+    return WORD.findall(text or "")
+
+
+# --- helpers ----------------------------------------------------------------------------
+
+
+def test_words_and_hashes():
+    texts = ["a b", "", None, " x\ty ", "zé\x0bq", "a", "b", "a b c d e f a b c d e f", "   "]
+    w = Words(pa.array(texts))
+    assert [w.text(i) for i in range(len(w.starts))] == [x for t in texts for x in words_of(t)]
+    assert w.counts().tolist() == [len(words_of(t)) for t in texts]
+    h = w.hashes()
+    names = [w.text(i) for i in range(len(h))]
+    assert len(set(h.tolist())) == len(set(names))
+    for k in (1, 2, 3, 5, 7, 8, 20):
+        r = runs(h, k)
+        groups = defaultdict(set)
+        for i in range(len(h) - k + 1):
+            groups[tuple(names[i : i + k])].add(int(r[i]))
+        assert all(len(x) == 1 for x in groups.values()) and len({next(iter(x)) for x in groups.values()}) == len(groups)
+
+
+# --- 1 ----------------------------------------------------------------------------------
+
+
+def licence_brute(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    at, labels = [], set()
+    for phrase, label in license_scan.BASE.items():
+        p = phrase.split()
+        for k in range(len(w) - len(p) + 1):
+            if w[k : k + len(p)] == p:
+                at.append(k)
+                labels.add(label)
+    return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
+
+
+def test_licences(spark, docs):
+    extra = ["under the MIT License, under the mit license", None, "", "cc-by-nc CC BY NC", "Apache License, Version 2.0; apache license version 2x", "İ ſ K under the mit license"]
+    rows = docs.select("doc_id", "text").union(frame(spark, extra, range(-len(extra), 0)).select("doc_id", "text"))
+    got = {r["doc_id"]: tuple(r)[1:6] for r in license_scan.scan(rows).collect()}
+    assert got == {r["doc_id"]: licence_brute(r["text"]) for r in rows.collect()}
+
+
+def test_licence_rules_and_containment(spark):
+    texts = {
+        "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3",
+        "licensed under the GNU General Public License, version 3.": "gpl-3",
+        "This is released under the terms of the BSD 3-Clause License": "bsd-3-clause",
+        "see the Creative Commons Attribution-ShareAlike 4.0 license": "cc-by-sa",
+        "Mit freundlichen Worten under und mit allem": "",
+        "released into the public domain. Also the MIT license": "mit,public-domain",
+    }
+    got = [r["labels"] for r in license_scan.scan(frame(spark, list(texts))).orderBy("doc_id").collect()]
+    assert got == list(texts.values())
+    assert len(license_scan.rules()) > 200
+
+
+# --- 2 ----------------------------------------------------------------------------------
+
+
+def quality_brute(text):
+    w = words_of(text)
+    seen = defaultdict(list)
+    for k in range(len(w) - 7):
+        seen[tuple(w[k : k + 8])].append(k)
+    covered = {p for v in seen.values() if len(v) > 1 for k in v for p in range(k, k + 8)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered), failed
+
+
+def test_quality_measures(spark, docs, odd):
+    for rows in (docs, odd):
+        got = sorted(tuple(r)[:7] for r in quality_rules.measure(rows).collect() if r["doc_id"] is not None)
+        assert got == sorted((r["doc_id"], *quality_brute(r["text"])) for r in rows.collect() if r["doc_id"] is not None)
+
+
+def test_quality_verdicts(spark, docs, folder):
+    good = " ".join(f"word{i} and more," for i in range(15)) + " to end."
+    bad = ["a1 | b2 | c3 | d4 | e5 | f6 | g7 | h8 | i9 | " * 3, "\n".join(f"BUY{i} THIS{i} NOW{i} CHEAP{i} TODAY{i}" for i in range(10)), "\n".join(f"We use{i} cookies here now; our cookie policy tells{i} more." for i in range(9)), " ".join(f"w{i} w{i} w{i} w{i}" for i in range(20))]
+    got = [r["kept"] for r in quality_rules.measure(frame(spark, [good, *bad])).orderBy("doc_id").collect()]
+    assert got == [True, False, False, False, False]
+    kept = quality_rules.clean(docs)
+    assert kept.columns == docs.columns
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    n = labels.join(quality_rules.measure(docs), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share"))
+    share = {r["quality"]: r["share"] for r in n.collect()}
+    assert share[1] > 0.9 and share[0] < 0.1
+
+
+# --- 3 ----------------------------------------------------------------------------------
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_automata_equal_edit_distance():
+    rng = random.Random(2)
+    terms = ["abcde", "abcabcabc", "bbbbb", "ccc", "aabbccdda"]
+    m = toxicity.Matcher([(t, 0, toxicity.errors_for(t)) for t in terms])
+    for _ in range(4000):
+        w = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 11)))
+        assert {t for t, _ in m.match(w)} == {t for t in terms if edits(w, t) <= toxicity.errors_for(t)}
+    assert toxicity.Matcher([("lowei", 2, 0)]).match("loweichen") == (("lowei", 2),)
+
+
+def test_toxicity_context_and_misspelling(spark):
+    lexicon = toxicity.Lexicon({("idiot", 0): 4.0, ("idiot", 1): 3.0}, -4.0)
+    texts = ["plain words here", "what an idiot", "what an idi0t", 'they wrote the word "idiot" here', "you idiot", None, ""]
+    s = [r["score"] for r in toxicity.score(frame(spark, texts), lexicon).orderBy("doc_id").collect()]
+    assert s[0] == s[5] == s[6] < s[3] < s[2] < s[1] < s[4]
+
+
+def test_toxicity_held_out(spark):
+    folder = "/root/testdata/sf0.01"
+    rows, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = queries()["op3_toxicity"](spark, folder)
+    assert got.count() == rows.count()
+    for r in got.select("doc_id", "held_out").collect():
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+    held = got.filter("held_out").join(labels.filter("toxic is not null"), "doc_id").select("score", "toxic").collect()
+    good, bad = [r["score"] for r in held if r["toxic"]], [r["score"] for r in held if not r["toxic"]]
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
+    assert auc > 0.75
+    assert toxicity.learn(rows, labels.limit(0)).weights.keys() == {(t, 0) for t in toxicity.SEEDS}
+
+
+# --- 4 ----------------------------------------------------------------------------------
+
+
+def test_top_k_equals_sort(spark):
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(i, float(rng.choice([1, 2, 2, 3, rng.random() * 9]))) for i in range(400)], "doc_id long, key double").cache()
+    want = sorted((-r["key"], r["doc_id"]) for r in rows.collect())
+    for k in (0, 1, 37, 250, 400, 999):
+        assert sorted((-r["key"], r["doc_id"]) for r in importance.top_k(rows, k).collect()) == want[:k]
+
+
+def test_importance_weights_and_selection(spark):
+    folder = "/root/testdata/sf0.01"
+    rows, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    good = {r["doc_id"] for r in labels.filter("quality = 1").collect()}
+    buckets = 1 << 10
+    target, raw, grams = np.ones(buckets), np.ones(buckets), {}
+    for r in rows.collect():
+        w = Words(pa.array([r["text"]]), lower=True)
+        g = (np.concatenate([w.hashes(), runs(w.hashes(), 2)]) & np.uint64(buckets - 1)).astype(int)
+        grams[r["doc_id"]] = g
+        np.add.at(raw, g, 1)
+        if r["doc_id"] in good:
+            np.add.at(target, g, 1)
+    ratios = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    assert np.allclose(importance.log_ratios(rows, labels, buckets), ratios)
+    for r in importance.weigh(rows, ratios).collect():
+        assert r["log_weight"] == pytest.approx(ratios[grams[r["doc_id"]]].sum(), abs=1e-6)
+    kept = {r["doc_id"] for r in importance.select(rows, labels).collect()}
+    n = labels.agg(F.avg("quality")).first()[0]
+    assert len(kept) == round(n * rows.count())
+    junk = {r["doc_id"] for r in labels.filter("quality = 0").collect()}
+    assert len(good & kept) / len(good) > 0.95 and len(junk & kept) / len(junk) < 0.3
+
+
+# --- 5 ----------------------------------------------------------------------------------
+
+
+def test_plan_places_all():
+    rng = random.Random(3)
+    for length in (8, 16, 1024):
+        for _ in range(100):
+            histogram = {rng.randint(1, length): rng.randint(1, 50) for _ in range(rng.randint(1, 40))}
+            placed = Counter()
+            for pattern, n in packing.plan(histogram, length):
+                assert sum(pattern) <= length and n > 0
+                for s in pattern:
+                    placed[s] += n
+            assert placed == histogram
+
+
+def check_packed(pieces, texts, length=1024):
+    import public_tokenizers as files
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(files.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for i, x in texts.items()}
+    own, sequences = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        own[p["doc_id"]].append(p)
+        sequences[p["sequence_id"]].append((p["offset"], p["length"]))
+    assert own.keys() == ids.keys()
+    for i, found in own.items():
+        at = 0
+        for p in sorted(found, key=lambda p: p["start"]):
+            assert p["start"] == at and p["doc_tokens"] == len(ids[i]) and p["ids_crc32"] == zlib.crc32(ids[i][at : at + p["length"]].tobytes())
+            at += p["length"]
+        assert at == len(ids[i])
+    for found in sequences.values():
+        at = 0
+        for offset, n in sorted(found):
+            assert offset == at
+            at += n
+        assert at <= length
+    return sum(p["length"] for p in pieces) / (length * len(sequences))
+
+
+def test_packing_round_trip(spark, docs):
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    texts |= {-1: None, -2: "", -3: "<|endoftext|> x", -4: "  \n" * 3000, -5: "a" * 5000}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert check_packed(packing.pack(rows).collect(), texts) > 0.97
+    assert packing.pack(rows.limit(0)).count() == 0
+
+
+# --- 6 ----------------------------------------------------------------------------------
+
+
+def shingles(text, k=5):
+    w = words_of((text or "").translate(LOWER))
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
+def groups_brute(texts):
+    sets = {i: shingles(t) for i, t in texts.items()}
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                up[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), top(i)) for i in sets}
+
+
+def test_jaccard_components(spark, docs):
+    rng = random.Random(11)
+    texts = {r["doc_id"]: r["text"] for r in docs.filter("doc_id < 120").collect()}
+    base = [f"t{rng.randint(0, 50)}" for _ in range(120)]
+    for k in range(60):  # a group of near copies of which many don't link directly
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"new{rng.randint(0, 9999)}"
+        texts[1000 + k] = " ".join(w)
+    for k in range(80):  # light sets about the bounds
+        texts[2000 + k] = " ".join(f"s{x}" for x in range(rng.randint(0, 2), rng.randint(3, 18)))
+    for k in range(30):  # a passage that many share
+        texts[3000 + k] = " ".join(f"p{x}" for x in range(40)) + " " + " ".join(f"u{k}_{x}" for x in range(rng.randint(1, 60)))
+    texts |= {4000: None, 4001: "", 4002: "A b", 4003: "a B", 4004: "a b c"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(rows, sketch_bits=16).collect()}
+    assert got == groups_brute(texts)
+    kept = {r["doc_id"] for r in jaccard_join.one_of_each(rows, sketch_bits=16).collect()}
+    assert kept == {c for _, c in got.values()}
+
+
+def test_light_sets_list_subsets():
+    n = jaccard_join.light_size()
+    assert n >= 5 and sum(math.comb(n, c) for c in range(jaccard_join.least(n), n + 1)) <= jaccard_join.SUBSETS
+    for a in range(1, 30):
+        for b in range(jaccard_join.least(a), a + 1):
+            c = jaccard_join.needed(a, b)
+            assert 100 * c >= 80 * (a + b - c) and 100 * (c - 1) < 80 * (a + b - c + 1)
+            assert jaccard_join.least(a) <= c <= max(b, c)
+
+
+# --- 7 ----------------------------------------------------------------------------------
+
+BASE_PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def spans_brute(text):
+    out = {}
+    for kind, pattern in BASE_PATTERNS.items():
+        out[kind] = []
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+            if {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 13 <= len(digits) <= 19 and luhn, "phone": 9 <= len(digits) <= 15}[kind]:
+                out[kind].append(m.span())
+    return out
+
+
+def test_spans_equal_patterns():
+    rng, automaton = random.Random(1), pii._automaton()
+    parts = ["@", "a", "b.c", ".", "1", "23", "4111111111111111", " ", "-", "+", "+1 (555) 123-4567", "1.2.3.4", "256.1.1.1", "x@y.z", "é", "(", ")", "a@b.c", "\n", "0", "99", 'token = "abcdef0123456789abcdef"', "%"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        got = pii.spans_of(text, automaton)
+        assert {k: got[k] for k in pii.KINDS} == spans_brute(text), text
+
+
+def test_personal_data(spark, docs):
+    for r, d in zip(pii.find(docs).orderBy("doc_id").collect(), docs.orderBy("doc_id").collect()):
+        want = spans_brute(d["text"] or "")
+        listed = ",".join(f"{k}:{a}:{b}" for k in pii.KINDS for a, b in want[k])
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest() and r["spans"].startswith(listed)
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [len(want[k]) for k in pii.KINDS]
+    text = 'mail a@b.c, +1 (555) 123-4567, iban DE89 3704 0044 0532 0130 00, token = "abcdef0123456789abcdef" http://x.y/z?q=a@b.cd. end'
+    out = pii.redact(frame(spark, [text, None])).orderBy("doc_id").collect()
+    assert out[0]["text"] == 'mail <email>, <phone>, iban <iban>, token = "<secret>" <url>. end' and out[0]["n_chars"] == len(out[0]["text"]) and out[1]["text"] is None
+
+
+# --- 8 ----------------------------------------------------------------------------------
+
+
+def test_main_text(spark, folder):
+    import html
+
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    source = {r["page_id"]: r["html"] for r in pages.collect()}
+    for r in html_extract.extract(pages).collect():
+        inner = re.search(r"<article>(.*?)(</article>|<footer>|$)", source[r["page_id"]], re.S)[1]
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", inner))).split())
+        assert r["text"] == want and r["n_chars"] == len(want)
+
+
+def test_main_text_by_template_and_names(spark):
+    shell = "<html><body><div><p>Welcome to our site</p></div><div><p>{}</p><p>A<i>b</i> &lt;c&gt;</p></div><div><p>All about us</p></div></body></html>"
+    rows = [(k, f"http://h.org/{k}", shell.format(f"Story {k}")) for k in range(4)]
+    rows += [(10, "http://x.org", '<header>H</header><div class="content">Hi <b>y</b>ou<p>par<ul><li>one<li>two</ul><div class="comments">no</div><div class=ad>n</div><form>f</form></div><aside>z</aside><script>s</script>'), (11, None, None), (12, "u", "")]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "Story 0 Ab <c>" or got[0].startswith("Story 0")
+    assert got[10] == "Hi you par one two" and got[11] == "" and got[12] == ""
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# --- 9 ----------------------------------------------------------------------------------
+
+
+def test_contamination(spark, docs, folder):
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    flat = lambda t: " ".join((t or "").lower().split())
+    want = {(d["doc_id"], i["item_id"]) for d in docs.collect() for i in items.collect() if flat(i["text"]) in flat(d["text"])}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == want
+    rest = decontaminate.clean(docs, items)
+    assert rest.columns == docs.columns and {r["doc_id"] for r in rest.collect()} == {r["doc_id"] for r in docs.collect()} - {d for d, _ in want}
+    assert {tuple(r) for r in decontaminate.contamination(docs, items, broadcast_rows=0).collect()} == {tuple(r) for r in decontaminate.contamination(docs, items).collect()}
+
+
+def test_reparameterised_questions(spark):
+    question = "A train leaves and {a} is {x} km away from where {b} stands. If {a2} sends {n} cars to the far city of {b2} then what remains of {n2} in the old town hall"
+    items = spark.createDataFrame([(1, question.format(a="Paris", a2="Paris", b="Berlin", b2="Berlin", x=120, n=35, n2=35)), (2, "too short"), (3, None)], "item_id long, text string")
+    same = "intro here. " + question.format(a="London", a2="London", b="Madrid", b2="Madrid", x="7.5", n=12, n2=12) + ". bye"
+    mixed = question.format(a="London", a2="Rome", b="Madrid", b2="Oslo", x=7, n=12, n2=14)
+    texts = [same, mixed, None, "", "nothing of that kind stands in here at all, and Paris is far"]
+    got = {(r["doc_id"], r["item_id"]): r["same"] for r in decontaminate.contamination(frame(spark, texts), items).collect()}
+    assert got == {(0, 1): False}
+    assert decontaminate.contamination(frame(spark, texts), items.limit(0)).count() == 0
+    assert decontaminate.clean(frame(spark, texts), items.limit(0)).count() == 5
+
+
+# --- 10 ---------------------------------------------------------------------------------
+
+
+def repeats_brute(texts, window):
+    seen, out = set(), {}
+    for i in sorted(texts):
+        w = words_of(texts[i])
+        drop = set()
+        for k in range(len(w) - window + 1):
+            key = tuple(w[k : k + window])
+            drop.update(range(k, k + window)) if key in seen else seen.add(key)
+        kept = " ".join(x for k, x in enumerate(w) if k not in drop)
+        out[i] = (len(w), len(drop), hashlib.sha256(kept.encode()).hexdigest(), kept)
+    return out
+
+
+def test_repeats(spark, docs):
+    rng = random.Random(8)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    passage = " ".join(f"q{x}" for x in range(60))
+    texts |= {1000 + k: " ".join(f"r{rng.randint(0, 5)}" for _ in range(rng.randint(0, 90))) for k in range(40)}
+    texts |= {2000 + k: f"start {k} {passage} end {k}" for k in range(40)}
+    texts |= {3000: "z " * 70, 3001: "z " * 25, 3002: None, 3003: "", 3004: "a b " * 30}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    for window, gram in ((20, 5), (7, 3)):
+        got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.remove_repeats(rows, window, gram, bits=1 << 16).collect()}
+        assert got == repeats_brute(texts, window)
+
+
+# --- odd tables -------------------------------------------------------------------------
+
+
+def test_odd_rows(spark, odd, folder):
+    labels, items = spark.read.parquet(f"{folder}/labels.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
+    n = odd.count()
+    assert license_scan.scan(odd).count() == n
+    assert quality_rules.measure(odd).count() == n and set(quality_rules.clean(odd).columns) == set(odd.columns)
+    assert toxicity.score(odd, toxicity.learn(odd, labels)).count() == n
+    assert importance.select(odd, labels, share=1.0).count() == n - 3
+    assert sorted({p["doc_id"] or 0 for p in packing.pack(odd).collect()}) == [0, 1, 2, 3, 4, 6, 7, 8, 9]
+    found = jaccard_join.near_duplicates(odd, sketch_bits=16)
+    assert found.count() == n and {r["component_id"] for r in found.filter("doc_id in (6, 7)").collect()} == {6}
+    assert found.filter("doc_id is null").first()["component_id"] is None
+    kept = jaccard_join.one_of_each(odd, sketch_bits=16)
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 8, 9] and kept.columns == odd.columns
+    assert pii.find(odd).count() == n and pii.redact(odd).columns == odd.columns
+    assert decontaminate.contamination(odd, items).count() == 0 and decontaminate.clean(odd, items).count() == n
+    left = {(r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeats(odd).collect()}
+    assert (7, 60_000) in left and (None, 0) in left
+
+
+def test_empty_tables(spark, odd, folder):
+    labels, items = spark.read.parquet(f"{folder}/labels.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
+    none = odd.limit(0)
+    for out in (
+        license_scan.scan(none), quality_rules.measure(none), quality_rules.clean(none), toxicity.score(none, toxicity.learn(none, labels)), importance.select(none, labels), packing.pack(none),
+        jaccard_join.near_duplicates(none, sketch_bits=16), jaccard_join.one_of_each(none, sketch_bits=16), pii.find(none), pii.redact(none), decontaminate.contamination(none, items), decontaminate.clean(none, items), substring_dedup.remove_repeats(none),
+    ):
+        assert out.count() == 0
