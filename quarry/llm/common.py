@@ -4,33 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.tables import ship
+
 #: White space of the contracts' word classes.
 SPACE = "\\x20\\x09-\\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives executors this package, once for each session, unless they were given it."""
-    context = spark.sparkContext
-    if not getattr(context, "_quarry", False):
-        context._quarry = True
-        root = Path(__file__).resolve().parents[1]
-        name = f"{tempfile.mkdtemp()}/quarry.zip"
-        with zipfile.ZipFile(name, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        context.addPyFile(name)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
