@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .bits import bit_table, holds
+from .common import slices
 from .textnum import Words, mix, place, runs
 
 WINDOW, GRAM, BITS = 20, 5, 1 << 27
@@ -75,29 +76,7 @@ def _count_anchors(window: int, gram: int):
     return run
 
 
-def _bit(anchor: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(anchor) & _U(bits - 1)).astype(np.int64)
-
-
-def _bit_rows(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = np.unique(_bit(batch.column("anchor").to_numpy().view(_U), bits))
-            yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array((_U(1) << (bit & 63).astype(_U)).view(np.int64))], ["at", "mask"])
-
-    return run
-
-
-def _bit_table(anchors: DataFrame, bits: int) -> np.ndarray:
-    """At most bits / 64 rows come to the driver."""
-    rows = anchors.mapInArrow(_bit_rows(bits), "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out = np.zeros(bits // 64, _U)
-    if rows.num_rows:
-        out[rows["at"].to_numpy()] = rows["mask"].to_numpy().view(_U)
-    return out
-
-
-def _candidates(table, window: int, gram: int, bits: int):
+def _candidates(table, window: int, gram: int):
     """Windows with an anchor that occurs twice: one row (h, g, doc, start, 0) for the
     first of equals in a slice, and (0, 0, doc, start, number) for runs of the others."""
 
@@ -108,8 +87,7 @@ def _candidates(table, window: int, gram: int, bits: int):
             starts, at, grams = _anchors(h, counts, window, gram)
             if not len(starts):
                 continue
-            bit = _bit(grams[at], bits)
-            starts = starts[(table.value[bit >> 6] >> (bit & 63).astype(_U)) & _U(1) == 1]
+            starts = starts[holds(table.value, grams[at])]
             if not len(starts):
                 continue
             h1 = runs(h, window)[starts]
@@ -177,8 +155,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits
     )
     found = rows.select("text").mapInArrow(_count_anchors(window, gram), "anchor long, n long")
     twice = found.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
-    table = docs.sparkSession.sparkContext.broadcast(_bit_table(twice, bits))
-    windows = rows.select("id", "copy", "text").mapInArrow(_candidates(table, window, gram, bits), "h long, g long, id long, copy long, start int, sure int")
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(twice, bits))
+    windows = rows.select("id", "copy", "text").mapInArrow(_candidates(table, window, gram), "h long, g long, id long, copy long, start int, sure int")
     equal = Window.partitionBy("h", "g").orderBy("id", "copy", "start")
     again = (
         windows.withColumn("n", F.row_number().over(equal))
