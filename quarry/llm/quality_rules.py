@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from .common import SPACE, SPACE_CHARS
 
 SYMBOLS = "#*$%&|<>"
-STUTTER = r"(?<!\S)(\S+)(?:\s+\1)+(?!\S)"
 BOILERPLATE = (
     "accept (all )?cookies|uses cookies|cookie (policy|settings)|privacy policy|terms (of (use|service)|and conditions)"
     "|all rights reserved|enable javascript|skip to (main )?content|sign (in|up) (to|now)|log ?in to|subscribe to our"
@@ -103,7 +102,10 @@ def _failing(line: Column, n: Column, marks: Column, stutters: Column, rules: Ru
     """marks tells what stands anywhere in the text, so that most lines are spared tests."""
     shouting = marks["shouts"] & (n >= rules.shout_words) & (_count(line, "!") > n * rules.shouts)
     capitals = (n >= rules.shout_words) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}")
-    stutter = stutters & (F.length(F.regexp_replace(line, STUTTER, "")) * 100 < F.length(line) * (100 - rules.stutter_percent))
+    own = words_of(line)
+    rest = F.greatest(F.size(own) - 1, F.lit(0))
+    again = F.size(F.filter(F.zip_with(_shifted(own, 0, rest), _shifted(own, 1, rest), lambda a, b: a == b), lambda x: x))
+    stutter = stutters & (again * 100 > F.size(own) * rules.stutter_percent)
     run_on = (n >= rules.run_on_words) & ~line.rlike(r"[.!?;:,…。]")
     symbols = (marks["n_symbols"] > 0) & (_symbols(line) > n * rules.symbols)
     return symbols | shouting | capitals | run_on | stutter | (marks["phrases"] & F.lower(line).rlike(BOILERPLATE))

@@ -14,7 +14,7 @@ from .jaccard_join import near_duplicates
 from .license_scan import scan
 from .packing import pack
 from .pii import find
-from .quality_rules import measure
+from .quality_rules import BOILERPLATE, measure
 from .substring_dedup import remove_repeats
 from .toxicity import learn, score
 
@@ -84,6 +84,41 @@ FROM words w LEFT JOIN kept USING (doc_id)
 """
 
 
+_OP2 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+windows AS (
+  SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, list_slice(w, k, k + 7)) > 1 AS again
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM w WHERE len(w) >= 8)
+), repeated AS (
+  SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(k, k + 8)) AS k FROM windows WHERE again) GROUP BY doc_id
+), split_lines AS (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d
+), lines AS (
+  SELECT doc_id, line, len(line) - len(replace(line, ' ', '')) + 1 AS n, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw
+  FROM split_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), judged AS (
+  SELECT doc_id, n, line,
+    len(line) - len(regexp_replace(line, '[#*$%&|<>]', '', 'g')) > n * 0.3
+    OR (n >= 5 AND len(line) - len(replace(line, '!', '')) > n * 0.3)
+    OR (n >= 5 AND NOT regexp_matches(line, '\p{{Ll}}') AND regexp_matches(line, '\p{{Lu}}'))
+    OR (n >= 60 AND NOT regexp_matches(line, '[.!?;:,…。]'))
+    OR len(list_filter(range(2, len(lw) + 1), lambda i: lw[i] = lw[i - 1])) * 100 > len(lw) * 50
+    OR regexp_matches(lower(line), '{BOILERPLATE}') AS bad
+  FROM lines
+), by_doc AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS dup, sum(n) AS total, sum(CASE WHEN bad THEN n ELSE 0 END) AS lost FROM judged GROUP BY doc_id
+), m AS (
+  SELECT w.doc_id, len(w.w) AS n_words, len(array_to_string(w.w, '')) AS word_chars, len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(dup, 0) AS dup, coalesce(repeated.n, 0) AS again, coalesce(total, 0) AS total, coalesce(lost, 0) AS lost
+  FROM w LEFT JOIN repeated USING (doc_id) LEFT JOIN by_doc USING (doc_id)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines,
+  CAST(again AS BIGINT) AS n_repeat_words, n_words < 20 OR 100 * again > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * again > 30 * n_words) AND 100 * lost <= 40 * total AS kept, CASE WHEN total > 0 THEN lost / total ELSE 0 END AS lost_share
+FROM m
+"""
+
 _OP6 = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -109,4 +144,4 @@ GROUP BY d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard_join": _OP6, "op10_substring_dedup": _OP10}
+    return {"op2_quality_rules": _OP2, "op6_jaccard_join": _OP6, "op10_substring_dedup": _OP10}
