@@ -64,6 +64,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+#: What the template of the given pages comes to: an article, two kinds of character references.
+_OP8 = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|<footer>|$)', 1), '</?b>', '', 'g') AS inner_html FROM pages),
+t AS (SELECT page_id, url, replace(regexp_replace(inner_html, '<[^>]*(>|$)', ' ', 'g'), '&quot;', '"') AS t FROM a),
+u AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(t, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM t)
+SELECT page_id, url, text, CAST(len(text) AS BIGINT) AS n_chars FROM u
+"""
+
 _OP10 = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -144,4 +152,4 @@ GROUP BY d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _OP2, "op6_jaccard_join": _OP6, "op10_substring_dedup": _OP10}
+    return {"op2_quality_rules": _OP2, "op6_jaccard_join": _OP6, "op8_html_extraction": _OP8, "op10_substring_dedup": _OP10}
