@@ -373,6 +373,11 @@ def test_main_text(spark, folder):
         assert r["text"] == want and r["n_chars"] == len(want)
 
 
+def test_main_text_is_the_same_beyond_the_broadcast(spark, folder):
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    assert sorted(map(tuple, html_extract.extract(pages, hosts=0, salts=3).collect())) == sorted(map(tuple, html_extract.extract(pages).collect()))
+
+
 def test_main_text_by_template_and_names(spark):
     shell = "<html><body><div><p>Welcome to our site</p></div><div><p>{}</p><p>A<i>b</i> &lt;c&gt;</p></div><div><p>All about us</p></div></body></html>"
     rows = [(k, f"http://h.org/{k}", shell.format(f"Story {k}")) for k in range(4)]
