@@ -9,7 +9,7 @@ from compare import duck_rows, spark_rows
 
 sys.path.insert(0, str(Path(__file__).parent))
 import corpus_pipeline  # noqa: E402
-import test_operators as brute  # noqa: E402
+import test_text_operators as brute  # noqa: E402
 
 from quarry.llm import pii, quality_rules  # noqa: E402
 from quarry.llm.queries import oracle_sql, queries  # noqa: E402
