@@ -13,7 +13,9 @@ earlier in the same one.
 3. Windows that pass are compared inside their task first. All but the first of equals
    are repeats; only that first one is shuffled. So a passage in a third of all documents
    is a row for each task and not for each document.
-4. The repeats of a document are put together and its kept words are joined again.
+4. The repeats of a document are put together and its kept words are joined again. A second
+   bit table, of `ID_BITS` bits at most, tells which documents may have repeats; the others
+   are done where they are read.
 
 Suffix automata of reference shards that are broadcast to all documents aren't used: each
 document would have to run through each shard's automaton, which is quadratic in the
@@ -35,10 +37,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bits import bit_table, holds
-from .common import slices
+from .common import slices, written
 from .textnum import Words, mix, place, runs
 
-WINDOW, GRAM, BITS = 20, 5, 1 << 27
+WINDOW, GRAM, BITS, ID_BITS = 20, 5, 1 << 27, 1 << 24
 _U = np.uint64
 
 
@@ -117,6 +119,16 @@ def _rows(h, g, doc, copy, start, sure) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(place(h)), pa.array(g.astype(np.int64)), pa.array(doc), pa.array(copy), pa.array(start.astype(np.int32)), pa.array(sure.astype(np.int32))], ["h", "g", "id", "copy", "start", "sure"])
 
 
+def _sifted(table, inside: bool):
+    """Rows whose id is, or isn't, in a bit table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(holds(table.value, batch.column("id").to_numpy().view(_U)) == inside))
+
+    return run
+
+
 def _strip(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -164,6 +176,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits
         .select("id", "copy", "start", F.greatest("sure", F.lit(1)).alias("n"))
     )
     # a document's repeats are at most as many as its words
-    spans = again.groupBy("id", "copy").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    joined = rows.join(spans, ["id", "copy"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_strip(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    spans = written(again.groupBy("id", "copy").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
+    # only documents that may have repeats are shuffled
+    some = docs.sparkSession.sparkContext.broadcast(bit_table(spans.select("id"), min(bits, ID_BITS)))
+    kind = "doc_id long, id long, copy long, text string"
+    joined = rows.mapInArrow(_sifted(some, True), kind).join(spans, ["id", "copy"], "left").select("doc_id", "text", "spans")
+    whole = rows.mapInArrow(_sifted(some, False), kind).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    out = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    return joined.mapInArrow(_strip(window), out).unionAll(whole.mapInArrow(_strip(window), out))
