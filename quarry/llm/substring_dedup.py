@@ -119,20 +119,29 @@ def _rows(h, g, doc, copy, start, sure) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(place(h)), pa.array(g.astype(np.int64)), pa.array(doc), pa.array(copy), pa.array(start.astype(np.int32)), pa.array(sure.astype(np.int32))], ["h", "g", "id", "copy", "start", "sure"])
 
 
-def _sifted(table, inside: bool):
-    """Rows whose id is, or isn't, in a bit table."""
+def _listed(table, batch: pa.RecordBatch) -> np.ndarray:
+    """Whether each row's id may be in the bit table."""
+    return holds(table.value, batch.column("id").to_numpy().view(_U))
 
+
+def _sifted(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(holds(table.value, batch.column("id").to_numpy().view(_U)) == inside))
+        for batch in slices(batches):
+            yield batch.filter(pa.array(_listed(table, batch)))
 
     return run
 
 
-def _strip(window: int):
+def _strip(window: int, table=None):
+    """Kept words of rows with their spans; or, with a table, of rows that aren't in it and
+    so have none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            w, spans = Words(batch.column("text")), batch.column("spans")
+            if table is not None:
+                batch = batch.filter(pa.array(~_listed(table, batch)))
+            w = Words(batch.column("text"))
+            spans = batch.column("spans") if table is None else pa.nulls(batch.num_rows)
             n, removed, digest, kept_text = [], [], [], []
             for i, span in enumerate(spans):
                 low, high = int(w.first[i]), int(w.first[i + 1])
@@ -180,7 +189,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits
     # only documents that may have repeats are shuffled
     some = docs.sparkSession.sparkContext.broadcast(bit_table(spans.select("id"), min(bits, ID_BITS)))
     kind = "doc_id long, id long, copy long, text string"
-    joined = rows.mapInArrow(_sifted(some, True), kind).join(spans, ["id", "copy"], "left").select("doc_id", "text", "spans")
-    whole = rows.mapInArrow(_sifted(some, False), kind).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    joined = rows.mapInArrow(_sifted(some), kind).join(spans, ["id", "copy"], "left").select("doc_id", "text", "spans")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    return joined.mapInArrow(_strip(window), out).unionAll(whole.mapInArrow(_strip(window), out))
+    return joined.mapInArrow(_strip(window), out).unionAll(rows.mapInArrow(_strip(window, some), out))
