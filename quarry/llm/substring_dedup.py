@@ -22,8 +22,9 @@ document would have to run through each shard's automaton, which is quadratic in
 corpus (see the README for figures). The hashes are of 96 bits.
 
 Null and empty texts have no words and stay as they are. Rows that repeat a doc_id are put
-in order by their text, and then stand for one document after the other. A null doc_id
-comes before all others. Extra columns are ignored. An empty table gives an empty result.
+in order by a hash of their text, and then stand for one document after the other; of rows
+with the same text the first stays whole. They are written once, to number them. A null
+doc_id comes before all others. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -161,19 +162,29 @@ def _strip(window: int, table=None):
     return run
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with their place in the order of id and text as copy. They are dealt by range and
+    written once, so that each row keeps its number and no id's rows meet in one task."""
+    order = ["id", "copy", "_place"]
+    placed = rows.select("doc_id", "id", F.xxhash64("text").alias("copy"), "text", F.monotonically_increasing_id().alias("_place"))
+    dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(dealt.select("doc_id", "id", F.monotonically_increasing_id().alias("copy"), "text"))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = BITS) -> DataFrame:
     """Per row doc_id, n_words, n_removed, kept_sha256 and kept_text, its kept words.
 
     `window` words make a passage; `gram` words an anchor; bits: a power of two.
     """
-    # copy tells apart rows that share a doc_id; where none do, it stays 0, which takes less room
-    unique = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"),
-        (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("copy"),
+        F.lit(0).cast("long").alias("copy"),
         "text",
     )
+    # copy tells apart rows that share an id, also those of one text; where none do, it stays 0, which takes less room
+    if not rows.groupBy("id").count().filter("count > 1").isEmpty():
+        rows = _numbered(rows)
     found = rows.select("text").mapInArrow(_count_anchors(window, gram), "anchor long, n long")
     twice = found.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
     table = docs.sparkSession.sparkContext.broadcast(bit_table(twice, bits))

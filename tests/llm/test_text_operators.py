@@ -443,6 +443,13 @@ def test_repeats(spark, docs):
         assert got == repeats_brute(texts, window)
 
 
+def test_equal_rows_leave_one_whole(spark):
+    passage, other = " ".join(f"q{x}" for x in range(60)), " ".join(f"o{x}" for x in range(40))
+    rows = frame(spark, [passage, passage, passage, other, other, f"{other} end", f"{other} end", passage], [1, 1, 1, None, None, 5, 5, 7]).repartition(3)
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(rows, bits=1 << 16).collect())
+    assert got == [(0, 40, 0), (0, 40, 40), (1, 60, 0), (1, 60, 60), (1, 60, 60), (5, 41, 40), (5, 41, 41), (7, 60, 60)]
+
+
 # --- odd tables -------------------------------------------------------------------------
 
 
