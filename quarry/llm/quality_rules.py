@@ -11,11 +11,14 @@ A line with words fails by
 - punctuation: at least `run_on_words` words without a mark that ends or joins sentences;
 - boilerplate: a phrase of cookie, log-in, copyright or navigation notices.
 
+`clean` keeps the other documents as they are; `without_failures` also removes their failing
+lines, and leaves blank ones.
+
 All of it stays in the row: there is no shuffle. Repeated 8-word windows are found by
 64-bit hashes of the windows of one document.
 
 Null texts count as empty; these have no words and are rejected. Repeated rows are judged
-one by one. Extra columns pass through `clean` and are ignored by `measure`. An empty
+one by one. Extra columns pass through both and are ignored by `measure`. An empty
 table gives an empty result.
 """
 
@@ -111,7 +114,16 @@ def _failing(line: Column, n: Column, marks: Column, stutters: Column, rules: Ru
     return symbols | shouting | capitals | run_on | stutter | (marks["phrases"] & F.lower(line).rlike(BOILERPLATE))
 
 
-def _measured(docs: DataFrame, rules: Rules) -> DataFrame:
+def _may_stutter(again: Column, n_again: Column, rules: Rules) -> Column:
+    """Whether a line may fail by stutter: where more than half of its words follow their
+    like, a word stands three times in a row."""
+    if rules.stutter_percent < 50:
+        return n_again > 0
+    pairs = F.greatest(F.size(again) - 1, F.lit(0))
+    return F.when(n_again > 1, F.exists(F.zip_with(_shifted(again, 0, pairs), _shifted(again, 1, pairs), lambda a, b: a & b), lambda x: x)).otherwise(False)
+
+
+def _measured(docs: DataFrame, rules: Rules, rebuild: bool = False) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     low = F.lower(text)
     first = docs.select(
@@ -128,12 +140,15 @@ def _measured(docs: DataFrame, rules: Rules) -> DataFrame:
     hashed = first.select("*", F.transform(m["words"], lambda w: F.xxhash64(w)).alias("_h"))
     h, size = hashed["_h"], F.size(hashed["_h"])
     again = F.zip_with(_shifted(h, 0, F.greatest(size - 1, F.lit(0))), _shifted(h, 1, F.greatest(size - 1, F.lit(0))), lambda a, b: a == b)
-    second = hashed.select(
+    paired = hashed.select("*", again.alias("_a"))
+    h, size, again = paired["_h"], F.size(paired["_h"]), paired["_a"]
+    n_again = F.size(F.filter(again, lambda x: x))
+    second = paired.select(
         "*",
-        F.struct(size.alias("n"), _run_hashes(h, size, rules.window).alias("hashes"), F.size(F.filter(again, lambda x: x)).alias("n_again")).alias("_2"),
+        F.struct(size.alias("n"), _run_hashes(h, size, rules.window).alias("hashes"), _may_stutter(again, n_again, rules).alias("stutters")).alias("_2"),
     )
     w = second["_2"]
-    stutters = w["n_again"] * 200 > w["n"] * rules.stutter_percent
+    stutters = w["stutters"]
     third = second.select(
         "*",
         F.when(F.size(F.array_distinct(w["hashes"])) == F.size(w["hashes"]), 0).otherwise(_repeated_words(w["hashes"], rules.window)).alias("_3"),
@@ -154,7 +169,13 @@ def _measured(docs: DataFrame, rules: Rules) -> DataFrame:
         (~base & (100 * third["_4"]["lost"] <= rules.lost_percent * third["_4"]["all"])).alias("kept"),
         F.when(third["_4"]["all"] > 0, third["_4"]["lost"] / third["_4"]["all"]).otherwise(0.0).alias("lost_share"),
     )
-    return third.select(*(F.col(f"`{c}`") for c in docs.columns), measures.alias("_quality"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    if not rebuild:
+        return third.select(*own, measures.alias("_quality"))
+    blank = lambda x: F.btrim(x, F.lit(SPACE_CHARS)) == ""
+    passing = F.filter(F.split(text, "\n", -1), lambda x: blank(x) | ~_failing(x, _count(x, " ") + 1, m, stutters, rules))
+    left = F.when(third["_4"]["lost"] > 0, F.array_join(passing, "\n")).otherwise(F.col("text"))
+    return third.select(*own, measures.alias("_quality"), left.alias("_left"))
 
 
 def measure(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -168,3 +189,14 @@ def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     # an explode and no filter: a filter would be moved below the measures, and repeat them
     kept = _measured(rows, rules).select("_row", F.explode(F.when(F.col("_quality.kept"), F.array(F.lit(0)))).alias("_kept"))
     return kept.select("_row.*")
+
+
+def without_failures(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of documents that aren't rejected, without the lines that fail; n_chars, if
+    there, follows the text."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text"))
+    kept = _measured(rows, rules, rebuild=True).select("_row", F.explode(F.when(F.col("_quality.kept"), F.array("_left"))).alias("_left"))
+    row = F.col("_row").withField("text", F.col("_left"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("_left").cast(docs.schema["n_chars"].dataType))
+    return kept.select(row.alias("_row")).select("_row.*")

@@ -134,6 +134,19 @@ def test_quality_verdicts(spark, docs, folder):
     assert share[1] > 0.9 and share[0] < 0.1
 
 
+def test_stutter_is_judged_by_lines(spark):
+    stutter = " ".join((" ".join(["a"] * 13), *(f"b{k}" for k in range(10))))  # 12 of 23 words
+    plain = "\n".join(f"Line{k} has words, of{k} which{k} none{k} repeats{k}." for k in range(4))
+    texts = [f"{stutter}\n{plain}", f"{plain}\n\n{plain.replace('Line', 'Row').replace('has', 'with')}\n{stutter}", plain]
+    share = [23 / 51, 23 / 79, 0.0]
+    rows = frame(spark, texts)
+    got = quality_rules.measure(rows).orderBy("doc_id").collect()
+    assert [r["lost_share"] for r in got] == pytest.approx(share) and [r["kept"] for r in got] == [False, True, True]
+    left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in quality_rules.without_failures(rows).collect()}
+    cut = texts[1].rsplit("\n", 1)[0]
+    assert left == {1: (cut, len(cut)), 2: (plain, len(plain))}
+
+
 # --- 3 ----------------------------------------------------------------------------------
 
 
