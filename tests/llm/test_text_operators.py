@@ -277,6 +277,18 @@ def test_packing_round_trip(spark, docs):
     assert packing.pack(rows.limit(0)).count() == 0
 
 
+def test_long_white_space_is_encoded(monkeypatch):
+    import public_tokenizers as files
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(files.path("byte_bpe_50k.json")), packing.encoder()
+    texts = [" " * 1_100_000 + "x", "a" + "\n" * 1_100_000 + "x"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [encode(x).tolist() for x in texts] == want
+    monkeypatch.setattr(packing, "RUN", 1 << 30)  # so that the engine panics
+    assert [encode(x).tolist() for x in texts] == want
+
+
 # --- 6 ----------------------------------------------------------------------------------
 
 
