@@ -13,12 +13,20 @@ inverted lists.
 
 A list is never expanded into all its pairs. Exact copies are put together first. Then
 each document is compared with the one that leads most of its lists, and what these links
-connect becomes a component; then components that meet in lists are compared by one pair,
-a few times over. Only members of a list that are in different components by then are
-compared with each other. So all pairs of a list are in the end compared, or
-known to be connected; components are exact. Of these pairs most have little in common:
-16 bits of each element, which can only overstate the common part, rule them out before
-whole sets are compared.
+connect becomes a component. A few rounds follow: in each list that has members of several
+components, each member proposes the next one of another component, and of what is proposed
+for two components one pair is compared, so that a round costs less than a comparison for
+each member and at least halves the components that it can connect. Only members that are
+in different components when no round finds links any more are compared with each other.
+So all pairs of a list are in the end compared, or known to be connected; components are
+exact. Before whole sets are compared a pair is ruled out by sizes, by the places of its
+first common element, and by parities: each set has about as many bits as elements, each
+the parity of the elements that hash to it, and two sets differ by as many elements at
+least as bits.
+
+A list with more than `hot` members is dealt over blocks: a round looks at each block by
+itself, in other blocks each time, and the last pass at each pair of blocks, so that a
+list's work is spread over tasks.
 
 How frequent elements are is told by a table of 2 ** `sketch_bits` counters that elements
 share by their hash; it has that size whatever the number of documents, and is broadcast.
@@ -46,13 +54,15 @@ from .bits import bit_table, holds
 from .common import discard, slices, written
 from .textnum import Words, mix, place, runs
 
-WORDS, PERCENT, SUBSETS, BITS, SKETCH_BITS, ROUNDS = 5, 80, 64, 1 << 24, 22, 1
-#: Pairs that are compared for two components in a round.
-TRIES = 4
+WORDS, PERCENT, SUBSETS, BITS, SKETCH_BITS, ROUNDS, HOT = 5, 80, 256, 1 << 24, 22, 3, 4096
+#: Pairs that are compared for two components in a round, and members that a member looks at.
+TRIES, REACH = 3, 256
 #: Counters that go together, and times the mean count from which elements come late.
 CHUNK, LATE = 1 << 16, 1
 #: Members of a list up to which each is looked at with each before the list is written.
 NEAR = 64
+#: Sizes that may be light, and counters for the elements of such sets.
+SMALL, SMALL_COUNTERS = 24, 4 * CHUNK
 _U = np.uint64
 
 
@@ -66,13 +76,25 @@ def least(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def light_size(percent: int = PERCENT, subsets: int = SUBSETS) -> int:
-    """The largest size up to which a set has at most `subsets` subsets to list. Up to it
-    they cost about what a prefix and the comparisons of its lists cost."""
-    n = 1
-    while sum(math.comb(n + 1, c) for c in range(least(n + 1, percent), n + 2)) <= subsets:
-        n += 1
-    return n
+def subsets_of(n: int, percent: int = PERCENT) -> int:
+    """How many subsets a light set of n elements lists."""
+    return sum(math.comb(n, c) for c in range(least(n, percent), n + 1))
+
+
+def light_size(sizes: dict[int, int], shared: float, percent: int = PERCENT, subsets: int = SUBSETS) -> int:
+    """The boundary between light and heavy sets that costs least: a light set costs a row
+    for each subset; a heavy one, for each element of its prefix, a row and a look at the
+    other sets of that element's list. sizes: how many sets of each size there are; shared:
+    how many small sets an element has; subsets: what a set may list at most."""
+    heavy = lambda n: (n - least(n, percent) + 1) * (1 + shared)
+    best, saved, most = 1, 0.0, 0.0
+    for n in range(2, SMALL + 1):
+        if subsets_of(n, percent) > subsets:
+            break
+        saved += sizes.get(n, 0) * (heavy(n) - subsets_of(n, percent))
+        if saved > most:
+            best, most = n, saved
+    return best
 
 
 def _sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,23 +137,39 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
 
+def _parities(value: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """For each set bits that tell whether an odd number of its elements hash to them; as
+    many as the power of two from its size on, 64 at least."""
+    n = np.diff(first)
+    bits = np.left_shift(1, np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64))
+    base = np.concatenate([np.zeros(1, np.int64), np.cumsum(bits)])
+    row = np.repeat(np.arange(len(n)), n)
+    at = base[row] + (mix(value + _U(11)) & (bits[row] - 1).astype(_U)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=base[-1]) & 1).astype(bool), bitorder="little")
+    return [packed[a >> 3 : b >> 3].tobytes() for a, b in zip(base[:-1], base[1:])]
+
+
 def _describe(words: int, sketch_bits: int):
-    """For each row doc_id, n, f1 and f2, its set's size and digests. At a task's end rows
-    (chunk, counts) with its counters, deflated."""
+    """For each row doc_id, n, f1, f2 and parity, its set's size, digests and parities. At
+    a task's end rows (chunk, counts) with its counters, deflated; the last SMALL_COUNTERS
+    of these are for small sets alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << sketch_bits, np.uint32)
-        names = ["doc_id", "n", "f1", "f2", "chunk", "counts"]
+        counters = np.zeros((1 << sketch_bits) + SMALL_COUNTERS, np.uint32)
+        names = ["doc_id", "n", "f1", "f2", "parity", "chunk", "counts"]
         for batch in slices(batches, most=8 << 20):
             value, first = _sets(batch.column("text"), words)
-            at, times = np.unique(_counter(value, sketch_bits), return_counts=True)
-            counters[at] += times.astype(np.uint32)
             n, nothing = np.diff(first), [None] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(place(_digest(value, first, 1))), pa.array(place(_digest(value, first, 2))), pa.array(nothing, pa.int32()), pa.array(nothing, pa.binary())], names)
+            small = value[np.repeat((n > 1) & (n <= SMALL), n)]
+            for k, own in ((_counter(value, sketch_bits), 0), ((mix(small) % _U(SMALL_COUNTERS)).astype(np.int64), 1 << sketch_bits)):
+                at, times = np.unique(k, return_counts=True)
+                counters[at + own] += times.astype(np.uint32)
+            columns = [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(place(_digest(value, first, 1))), pa.array(place(_digest(value, first, 2))), pa.array(_parities(value, first), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(nothing, pa.int32()), pa.array(nothing, pa.binary())], names)
         if counters.any():
             parts = [zlib.compress(x.tobytes(), 1) for x in counters.reshape(-1, CHUNK)]
-            empty = pa.array([None] * len(parts), pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary())], names)
+            empty = pa.nulls(len(parts), pa.int64())
+            yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.nulls(len(parts), pa.binary()), pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary())], names)
 
     return run
 
@@ -141,26 +179,35 @@ def _counter(value: np.ndarray, sketch_bits: int) -> np.ndarray:
 
 
 def _add_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of each chunk, as one byte for each counter: 0 or the logarithm's digits."""
+    """Sums of each chunk, of its counts and of their squares, and one byte for each
+    counter: 0 or the logarithm's digits."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
             own = np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint32)
             sums[chunk] = sums.get(chunk, 0) + own.astype(np.int64)
     for chunk, own in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([own.sum()], pa.int64()), pa.array([np.round(4 * np.log2(own + 1)).astype(np.uint8).tobytes()], pa.binary())], ["chunk", "total", "levels"])
+        levels = np.round(4 * np.log2(own + 1)).astype(np.uint8).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([own.sum()], pa.int64()), pa.array([(own.astype(float) ** 2).sum()]), pa.array([levels], pa.binary())], ["chunk", "total", "squares", "levels"])
 
 
-def _levels(parts: DataFrame, sketch_bits: int) -> np.ndarray:
+def _levels(parts: DataFrame, sketch_bits: int) -> tuple[np.ndarray, float]:
     """For each counter 0, or a number that grows with its count where that is over the
-    mean by more than chance. One byte for each counter comes to the driver."""
-    rows = parts.repartition("chunk").mapInArrow(_add_counters, "chunk int, total long, levels binary").toArrow()
+    mean by more than chance; and how many small sets an element of such has, the mean over
+    the sets' elements. One byte for each counter comes to the driver."""
+    rows = parts.repartition("chunk").mapInArrow(_add_counters, "chunk int, total long, squares double, levels binary").toArrow()
     out = np.zeros(1 << sketch_bits, np.uint8)
-    for chunk, levels in zip(rows["chunk"].to_pylist(), rows["levels"]):
-        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(levels.as_buffer(), np.uint8)
-    mean = sum(rows["total"].to_pylist()) / len(out)
+    total, small, squares = 0, 0, 0.0
+    for chunk, count, square, levels in zip(rows["chunk"].to_pylist(), rows["total"].to_pylist(), rows["squares"].to_pylist(), rows["levels"]):
+        if chunk * CHUNK < len(out):
+            total += count
+            out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(levels.as_buffer(), np.uint8)
+        else:
+            small, squares = small + count, squares + square
+    mean = total / len(out)
     out[out < round(4 * math.log2(mean + LATE * (4 * mean**0.5 + 4) + 1))] = 0
-    return out
+    # what chance puts into a counter beside an element goes
+    return out, max(1.0, squares / small - small / SMALL_COUNTERS) if small else 1.0
 
 
 def _shares(levels, words: int, percent: int, light: int):
@@ -259,110 +306,157 @@ def _lists(percent: int):
     return run
 
 
-def _across(percent: int, most: int = 1 << 16):
-    """From lists sorted by key, n and id, pairs of members in different components whose
-    sizes and places let them link."""
-
-    def pairs(i, n, at, comp) -> Iterator[pa.RecordBatch]:
-        found, size = [], 0
-        for a in range(len(i)):
-            # members are sorted by n, so partners that come later have up to n / t
-            stop = int(np.searchsorted(n, int(n[a]) * 100 // percent, "right"))
-            b = np.arange(a + 1, stop)
-            b = b[comp[b] != comp[a]]
-            b = b[fits(n[a : a + 1], at[a : a + 1], n[b], at[b], percent)]
-            if len(b):
-                found.append((np.minimum(i[a], i[b]), np.maximum(i[a], i[b])))
-                size += len(b)
-            if size > most:
-                yield _batch(a=np.concatenate([x for x, _ in found]), b=np.concatenate([y for _, y in found]))
-                found, size = [], 0
-        if found:
-            yield _batch(a=np.concatenate([x for x, _ in found]), b=np.concatenate([y for _, y in found]))
+def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[list]:
+    """The columns of rows that agree in `by`, of sorted rows; small groups come together,
+    with a last column that numbers them."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rest = rows if rest is None else pa.concat_tables([rest, rows])
+        if rest.num_rows < NEAR * NEAR:
+            continue
+        begins = _begins(rest, by)
+        whole = int(begins[-1])
+        if whole:
+            yield [*_columns(rest.slice(0, whole), columns), np.searchsorted(begins, np.arange(whole), "right")]
+            rest = rest.slice(whole)
+    if rest is not None and rest.num_rows:
+        yield [*_columns(rest, columns), np.searchsorted(_begins(rest, by), np.arange(rest.num_rows), "right")]
+
+
+def _begins(rows: pa.Table, by: tuple[str, ...]) -> np.ndarray:
+    new = np.ones(rows.num_rows, bool)
+    new[1:] = False
+    for c in by:
+        x = rows.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _columns(rows: pa.Table, columns: tuple[str, ...]) -> list:
+    return [rows.column(c).combine_chunks() if c == "parity" else rows.column(c).to_numpy() for c in columns]
+
+
+def _differ(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """By how many elements linked sets of n and m elements differ at most."""
+    n, m = n.astype(np.int64), m.astype(np.int64)
+    return n + m - 2 * -(-percent * (n + m) // (100 + percent))
+
+
+class Parities:
+    """Parities of sets, as many 64-bit words for each as a power of two."""
+
+    def __init__(self, column: pa.Array):
+        _, offsets, data = column.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        self.words = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(_U)
+        self.first, self.width = (offsets[:-1] - offsets[0]) >> 3, np.diff(offsets) >> 3
+
+    def _rows(self, x: np.ndarray, width: int, to: int) -> np.ndarray:
+        out = self.words[self.first[x][:, None] + np.arange(width)]
+        while out.shape[1] > to:  # as if made with half the bits
+            half = out.shape[1] // 2
+            out = out[:, :half] ^ out[:, half:]
+        return out
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """By how many elements the sets x[k] and y[k] differ at least."""
+        out = np.zeros(len(x), np.int64)
+        widths = self.width[x] << 32 | self.width[y]
+        for both in np.unique(widths):
+            v, w = int(both >> 32), int(both & 0xFFFFFFFF)
+            own = np.flatnonzero(widths == both)
+            step = max(1, (1 << 20) // max(v, w))
+            for k in range(0, len(own), step):
+                i = own[k : k + step]
+                out[i] = np.bitwise_count(self._rows(x[i], v, min(v, w)) ^ self._rows(y[i], w, min(v, w))).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _proposals(percent: int):
+    """From lists' blocks, sorted, for each member the one of another component that seems
+    most alike among those about it: (a, b, ca, cb, room), room telling how much further
+    the sets might differ than their parities do, as a share of their sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, members in _runs(batches):
-            yield from pairs(*members)
+        for i, n, at, comp, parity, group in _groups(batches, ("key", "block"), ("id", "n", "at", "component", "parity")):
+            parity = Parities(parity)
+            best, partner = np.full(len(i), -1.0), np.zeros(len(i), np.int64)
+            x = np.arange(len(i) - 1)
+            for d in range(1, REACH):
+                x = x[x + d < len(i)]
+                x = x[group[x] == group[x + d]]
+                if not len(x):
+                    break
+                a = x[comp[x] != comp[x + d]]
+                a = a[fits(n[a], at[a], n[a + d], at[a + d], percent)]
+                if len(a):
+                    room = (_differ(n[a], n[a + d], percent) - parity.apart(a, a + d)) / (n[a] + n[a + d])
+                    for own, other in ((a, a + d), (a + d, a)):
+                        more = room > best[own]
+                        best[own[more]], partner[own[more]] = room[more], other[more]
+            x = np.flatnonzero(best >= 0)
+            if len(x):
+                y = partner[x]
+                swap = comp[x] > comp[y]
+                x, y, room = np.where(swap, y, x), np.where(swap, x, y), best[x]
+                yield _batch(a=i[x], b=i[y], ca=comp[x], cb=comp[y], room=room)
 
     return run
 
 
-def _between(percent: int, turn: int):
-    """From lists sorted by key, n and id, pairs of members of a list's components: one
-    member of each, told by key and turn, with that of the list's first component and that
-    of the component before it."""
+def _across(percent: int, most: int = 1 << 16):
+    """From pairs of lists' blocks, sorted, pairs of members in different components whose
+    sizes, places and parities let them link; of two blocks only pairs across them."""
 
-    def pairs(key: int, i, n, at, comp) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(comp, kind="stable")
-        begins = np.flatnonzero(np.diff(comp[order], prepend=comp[order[0]] - 1))
-        sizes = np.diff(np.append(begins, len(order)))
-        draw = mix(comp[order[begins]].view(_U) ^ _U(key & 0xFFFFFFFFFFFFFFFF) ^ _U(turn << 7))
-        own = order[begins + (draw % sizes.astype(_U)).astype(np.int64)]
-        x, y = np.concatenate([np.full(len(own) - 1, own[0]), own[1:-1]]), np.concatenate([own[1:], own[2:]])
-        x, y = np.minimum(x, y), np.maximum(x, y)
-        good = fits(n[x], at[x], n[y], at[y], percent)
-        x, y = x[good], y[good]
-        return i[x], i[y], comp[x], comp[y]
+    def pairs(a: int, b: int, i, n, at, comp, own, parity: Parities) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        for x in range(a, b):
+            # members are sorted by n, so partners that come later have up to n / t
+            y = np.arange(x + 1, a + int(np.searchsorted(n[a:b], int(n[x]) * 100 // percent, "right")))
+            y = y[(comp[y] != comp[x]) & ((own[y] != own[x]) | (own[x] < 0))]
+            y = y[fits(n[x : x + 1], at[x : x + 1], n[y], at[y], percent)]
+            if len(y):
+                y = y[parity.apart(np.full(len(y), x), y) <= _differ(n[x : x + 1], n[y], percent)]
+            if len(y):
+                found.append((np.minimum(i[x], i[y]), np.maximum(i[x], i[y])))
+                size += len(y)
+            if size > most or (found and x == b - 1):
+                yield _batch(a=np.concatenate([x for x, _ in found]), b=np.concatenate([y for _, y in found]))
+                found, size = [], 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, members in _runs(batches):
-            if (members[3] != members[3][0]).any():
-                a, b, ca, cb = pairs(key, *members)
-                if len(a):
-                    swap = ca > cb
-                    yield _batch(a=np.where(swap, b, a), b=np.where(swap, a, b), ca=np.where(swap, cb, ca), cb=np.where(swap, ca, cb))
+        for i, n, at, comp, low, high, own, parity, group in _groups(batches, ("key", "low", "high"), ("id", "n", "at", "component", "low", "high", "block", "parity")):
+            own = np.where(low == high, -1, own)
+            ends = np.flatnonzero(np.diff(group, append=group[-1] + 1)) + 1
+            parity = Parities(parity)
+            for a, b in zip(np.concatenate([[0], ends[:-1]]), ends):
+                yield from pairs(a, b, i, n, at, comp, own, parity)
 
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
-    """The key and the members (id, n, at, component) of each list, of rows sorted by key."""
-    key, members = None, []
-    for batch in batches:
-        k, *rest = (batch.column(c).to_numpy() for c in ("key", "id", "n", "at", "component"))
-        cuts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]]) if len(k) else [0]
-        for low, high in zip(cuts[:-1], cuts[1:]):
-            if key != k[low] and members:
-                yield key, tuple(np.concatenate(x) for x in zip(*members))
-                members = []
-            key = int(k[low])
-            members.append(tuple(x[low:high] for x in rest))
-    if members:
-        yield key, tuple(np.concatenate(x) for x in zip(*members))
-
-
-def _blobs(words: int, table, short: bool):
-    """(id, elements) for documents whose id may be in the bit table; short: 16 bits of each."""
+def _blobs(words: int, table):
+    """(id, elements) for documents whose id may be in the bit table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=8 << 20):
             batch = batch.filter(pa.array(holds(table.value, batch.column("doc_id").to_numpy().view(_U))))
             value, first = _sets(batch.column("text"), words)
-            if short:
-                value = (value >> _U(48)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([value[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], ["id", "elements"])
 
     return run
 
 
-def _common_short(x: np.ndarray, y: np.ndarray) -> int:
-    """The common part of two sorted arrays in which values can repeat."""
-    a, n = np.unique(x, return_counts=True)
-    b, m = np.unique(y, return_counts=True)
-    _, i, k = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    return int(np.minimum(n[i], m[k]).sum())
-
-
-def _verify(percent: int, short: bool):
-    """Pairs (a, b, left, right) whose sets link, or may link by their short elements."""
-    kind = np.uint16 if short else _U
+def _verify(percent: int):
+    """Pairs (a, b, left, right) whose sets link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("left"), batch.column("right")):
-                x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
-                both = _common_short(x, y) if short else len(np.intersect1d(x, y, assume_unique=True))
+                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             batch = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"])
@@ -370,36 +464,89 @@ def _verify(percent: int, short: bool):
     return run
 
 
+def _may_link(percent: int):
+    """Of rows with two sets' sizes and parities (a, b, n, left, m, right) pairs that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = np.arange(batch.num_rows)
+            apart = Parities(pa.concat_arrays([batch.column("left"), batch.column("right")])).apart(k, k + len(k))
+            keep = apart <= _differ(batch.column("n").to_numpy(), batch.column("m").to_numpy(), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) that may link by their sizes and parities."""
+    left = sets.select(F.col("doc_id").alias("a"), "n", F.col("parity").alias("left"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("parity").alias("right"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(_may_link(percent), "a long, b long")
+
+
 def _links(docs: DataFrame, pairs: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
-    """Those of pairs (a, b) that link, by comparing their sets, short elements first. Sets
-    are made where documents are read, for those that a bit table lets through."""
+    """Those of pairs (a, b) that link, by comparing their sets, which are made where
+    documents are read, for those that a bit table lets through."""
     pairs = written(pairs.filter("a < b").distinct())
-    for short in (True, False):
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        table = docs.sparkSession.sparkContext.broadcast(bit_table(ids, bits))
-        sets = written(docs.mapInArrow(_blobs(words, table, short), "id long, elements binary"))
-        left, right = sets.toDF("a", "left"), sets.toDF("b", "right")
-        found = written(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(percent, short), "a long, b long").distinct())
-        discard(sets)
-        discard(pairs)
-        pairs = found
-    return pairs
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(ids, bits))
+    sets = written(docs.mapInArrow(_blobs(words, table), "id long, elements binary"))
+    left, right = sets.toDF("a", "left"), sets.toDF("b", "right")
+    found = written(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(percent), "a long, b long").distinct())
+    discard(sets)
+    discard(pairs)
+    return found
+
+
+def _stars(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """What links (a, b) of a task connect, as links of each id with the smallest one."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def stars() -> pa.RecordBatch:
+        ids = [x for x in up if up[x] != x]
+        return _batch(a=np.array(ids, np.int64), b=np.array([top(x) for x in ids], np.int64))
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            x, y = top(a), top(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        if len(up) > most:
+            yield stars()
+            up.clear()
+    yield stars()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for the ids of links (a, b), component the smallest id that links
-    reach. Labels spread along links and then jump to their own label's label, so that
-    the number of rounds grows with the logarithm of a component's width."""
-    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = written(both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("id"), F.least("a", "near").alias("component")))
+    reach. Links become stars around smallest ids, in each task by itself first; then in
+    turn each id's larger neighbours and its smaller ones are linked with its smallest one
+    instead, until each id has one link and no centre has a larger one."""
+    kind = "a long, b long"
+    edges = written(links.select("a", "b").filter("a <> b").mapInArrow(_stars, kind))
+    made = [edges]
     while True:
-        spread = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        low = labels.join(spread, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        after = written(low.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
-        labels = after.select("id", "component")
-        if after.filter("old <> component").isEmpty():
-            return labels
+        ends = edges.select(F.col("a").alias("id"), F.col("b").alias("low"), F.lit(False).alias("centre")).union(edges.select("b", F.lit(None), F.lit(True)))
+        ends = ends.groupBy("id").agg(F.min("low").alias("low"), F.max("low").alias("high"), F.max("centre").alias("centre"))
+        if ends.filter("low < high or low is not null and centre").isEmpty():
+            break
+        near = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("b"), F.least("a", "low").alias("low"))
+        larger = edges.join(near, "b").select("a", F.col("low").alias("b")).distinct()
+        low = larger.groupBy("a").agg(F.min("b").alias("low"))
+        smaller = larger.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("x")).select("x.*")
+        edges = written(smaller.filter("a <> b").distinct().mapInArrow(_stars, kind))
+        made.append(edges)
+    out = edges.distinct()
+    out = written(out.select(F.col("a").alias("id"), F.col("b").alias("component")).union(out.select("b", "b")).distinct())
+    for edges in made:
+        discard(edges)
+    return out
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -410,24 +557,28 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(known.union(merged.join(labels, "id", "left_anti").select("id", "component")))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS, subsets: int = SUBSETS, bits: int = BITS, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS, subsets: int = SUBSETS, bits: int = BITS, rounds: int = ROUNDS, hot: int = HOT) -> DataFrame:
     """Per row doc_id, n_shingles and component_id, the smallest doc_id that links reach.
 
     words: of a shingle; percent: the similarity from which sets link; sketch_bits: of the
     number of counters that tell frequent elements, 16 at least; subsets: what a light set may
     list at most; bits: of the tables that let through documents whose sets are compared;
-    rounds: of comparisons between components by one pair, before all pairs.
+    rounds: of comparisons between components by one pair, at most, before all pairs; hot:
+    members of a list from which it is dealt over blocks of about so many.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.filter("doc_id is not null")
-    light = light_size(percent, subsets)
-    rows = written(docs.mapInArrow(_describe(words, sketch_bits), "doc_id long, n long, f1 long, f2 long, chunk int, counts binary"))
+    rows = written(docs.mapInArrow(_describe(words, sketch_bits), "doc_id long, n long, f1 long, f2 long, parity binary, chunk int, counts binary"))
     sets = rows.filter("chunk is null").select("doc_id", "n", "f1", "f2")
-    levels = spark.sparkContext.broadcast(_levels(rows.filter("chunk is not null").select("chunk", "counts"), sketch_bits))
+    full = sets.filter("n > 0 and doc_id is not null")
+    bit_sets = rows.filter("chunk is null and n > 0 and doc_id is not null").select("doc_id", "n", "parity")
+    levels, shared = _levels(rows.filter("chunk is not null").select("chunk", "counts"), sketch_bits)
+    levels = spark.sparkContext.broadcast(levels)
+    sizes = {r["n"]: r["count"] for r in full.filter(F.col("n") <= SMALL).groupBy("n").count().collect()}  # SMALL rows
+    light = light_size(sizes, shared, percent, subsets)
 
     # equal sets count as their smallest doc_id; also rows that share a doc_id
-    full = sets.filter("n > 0 and doc_id is not null")
     same = written(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")))
     copies = full.join(same, ["n", "f1", "f2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     copies = written(copies)
@@ -442,34 +593,61 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     fit = (F.col("lead_n") * 100 >= F.col("n") * percent) & (after * (100 + percent) >= percent * (F.col("n") + F.col("lead_n")))
     led = lists.filter(fit & (F.col("id") != F.col("lead"))).groupBy("id", "lead").count()
     first = led.groupBy("id").agg(F.max(F.struct("count", "lead")).alias("x")).select(F.least("id", "x.lead").alias("a"), F.greatest("id", "x.lead").alias("b"))
-    labels = components(_links(known, first, words, percent, bits).union(copies))
+    labels = components(_links(known, _likely(first, bit_sets, percent), words, percent, bits).union(copies))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Of lists those with members of several components, and their sizes."""
+        own = rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        several = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high")
+        return own.join(several.select("key", "size"), "key")
 
-    def rest() -> DataFrame:
-        """Lists with members of several components, by key."""
-        own = lists.select("key", "id", "n", "at").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-        return own.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key", "n", "id")
+    def with_parities(rows: DataFrame) -> DataFrame:
+        own = bit_sets.select(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "parity")
+        return rows.join(own, ["id", "n"])
 
+    rest = written(mixed(lists.select("key", "id", "n", "at")))
+    discard(lists)
+    blocks, tried = F.ceil(F.col("size") / hot), None
     for turn in range(rounds):
-        # of pairs between the same two components some that share the most lists
-        some = rest().mapInArrow(_between(percent, turn), "a long, b long, ca long, cb long").groupBy("a", "b", "ca", "cb").count()
-        best = Window.partitionBy("ca", "cb").orderBy(F.desc("count"), F.xxhash64("a", "b"))
-        some = some.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= TRIES).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        draw = F.xxhash64("id", F.lit(turn))
+        dealt = with_parities(rest.withColumn("block", F.pmod(draw, blocks)).drop("size")).repartition("key", "block").sortWithinPartitions("key", "block", "n", F.xxhash64("id", F.lit(turn)))
+        some = dealt.select("key", "block", "id", "n", "at", "component", "parity").mapInArrow(_proposals(percent), "a long, b long, ca long, cb long, room double").distinct()
+        some = some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ca", "cb", "room")
+        if tried is not None:
+            some = some.join(tried, ["a", "b"], "left_anti")
+        # for two components the pairs that seem most alike
+        best = Window.partitionBy("ca", "cb").orderBy(F.desc("room"), "a", "b")
+        some = written(some.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= TRIES).select("a", "b").distinct())
         more = _links(known, some, words, percent, bits)
+        tried = some if tried is None else written(tried.union(some))
         if more.isEmpty():
             break
         labels = _merged(labels, more)
-    last = _links(known, rest().mapInArrow(_across(percent), "a long, b long"), words, percent, bits)
+        before, rest = rest, written(mixed(rest.drop("component", "size")))
+        discard(before)
+    # each pair of a list's blocks; most lists are one block
+    across = with_parities(rest.withColumn("block", F.pmod(F.xxhash64("id"), blocks))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    across = across.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "n", "at", "component", "parity")
+    across = across.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "id")
+    last = across.mapInArrow(_across(percent), "a long, b long")
+    if tried is not None:
+        last = last.distinct().join(tried, ["a", "b"], "left_anti")
+    last = _links(known, last, words, percent, bits)
     final = _merged(labels, last).select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
+    discard(rest)
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of documents without near duplicates, and of each group of these the row
-    with the smallest doc_id; of rows that share it one, and all rows without a doc_id."""
+    """The rows of documents without near duplicates, of each group of these the document
+    with the smallest doc_id, and all rows without a doc_id. Of a document's rows (they share
+    the doc_id) those with the same text count once: the one whose columns, as JSON, come first."""
     found = near_duplicates(docs, **parameters)
     gone = written(found.filter("component_id <> doc_id").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    kept = rows.join(gone, rows["_id"] == gone["doc_id"], "left_anti")
     if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
+        return kept.select("_row.*")
+    order = Window.partitionBy("_id", F.sha2("_row.text", 256)).orderBy(F.to_json("_row"))
+    one = kept.filter("_id is not null").withColumn("_k", F.row_number().over(order)).filter("_k = 1").select("_row.*")
+    return one.union(kept.filter("_id is null").select("_row.*"))
