@@ -4,10 +4,10 @@
    into pieces of `length` ids and a rest. Only (document, start, length, checksum) goes
    on, not the ids.
 2. The histogram of piece lengths, which has `length` rows at most, comes to the driver.
-   Lengths are placed longest first: into the pattern with the least room that fits the
-   rest of a length's count, and otherwise a new pattern starts. Patterns and counts are
-   updated for all documents of a length at once, so the work depends on the number of
-   lengths and not on documents.
+   Lengths are placed longest first, each into the shortest pack, the pattern with the most
+   room, if it fits there; else a new pattern starts. Patterns and counts are updated for
+   all documents of a length at once, so the work depends on the number of lengths and not
+   on documents.
 3. Each piece gets its rank among pieces of its length and with it the pattern, sequence
    and offset. Ranks are counted within buckets of documents and the buckets' sizes are
    added up, so one length that a third of all pieces have doesn't meet in one task.
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,11 +38,12 @@ _WHITE = re.compile(r"\s+")
 
 
 def encoder(vocabulary: str = VOCABULARY):
-    """A function from texts to ids. The ranks file has the same vocabulary and gives the
-    same ids as the tokenizers file at a fifth of the cost; texts that its pattern engine
-    refuses go through the other. vocabulary: a name in the public tokenizers, or a path
-    without its ending."""
+    """A function from texts to ids, those of the tokenizers file by its own defaults: an
+    added token in a text is one id. The ranks file has the same vocabulary and gives the
+    same ids at a fifth of the cost; texts that its pattern engine refuses go through the
+    other. vocabulary: a name in the public tokenizers, or a path without its ending."""
     import base64
+    import json
 
     import public_tokenizers as files
     import tiktoken
@@ -50,13 +51,17 @@ def encoder(vocabulary: str = VOCABULARY):
 
     at = (lambda end: vocabulary + end) if "/" in vocabulary else (lambda end: files.path(vocabulary + end))
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(at(".tiktoken"), "rb"))}
-    fast = tiktoken.Encoding("ranks", pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(at(".json"), encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    fast = tiktoken.Encoding("ranks", pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     slow: list[Tokenizer] = []
 
     def encode(text: str) -> np.ndarray:
         # beyond its stack the pattern engine panics on white space
         if len(text) <= RUN or max(map(len, _WHITE.findall(text)), default=0) <= RUN:
             try:
+                if any(t in text for t in added):
+                    return np.array(fast.encode(text, allowed_special="all"), np.uint32)
                 return np.array(fast.encode_ordinary(text), np.uint32)
             except BaseException as refused:  # the pattern engine's own limit
                 # a panic is no Exception, and its type can't be imported
@@ -64,7 +69,6 @@ def encoder(vocabulary: str = VOCABULARY):
                     raise
         if not slow:
             slow.append(Tokenizer.from_file(at(".json")))
-            slow[0].encode_special_tokens = True
         return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
@@ -91,42 +95,39 @@ def _pieces(length: int, end: int, vocabulary: str):
 
 def plan(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths in order) and how many sequences each has, by shortest pack first:
-    lengths are placed longest first, and each into the open pattern that is fullest among
-    those with room; what is left over of a count starts a pattern of its own."""
-    open_by_room: dict[int, list[tuple[tuple[int, ...], int]]] = {length: []}
+    each length, from the longest on, goes into the open pattern with the most room, and
+    where even that has too little starts a new one."""
+    open_by_room: dict[int, dict[tuple[int, ...], int]] = {}
     rooms: list[int] = []  # rooms with open patterns, sorted
+
+    def add(room: int, pattern: tuple[int, ...], n: int) -> None:
+        if room not in open_by_room:
+            insort(rooms, room)
+            open_by_room[room] = {}
+        open_by_room[room][pattern] = open_by_room[room].get(pattern, 0) + n
+
     for size in sorted((s for s, n in histogram.items() if n), reverse=True):
         left = histogram[size]
-        made: list[tuple[int, tuple[int, ...], int]] = []
         while left:
-            k = bisect_left(rooms, size)
-            if k < len(rooms):
-                room = rooms[k]
-                pattern, n = open_by_room[room].pop()
+            if rooms and rooms[-1] >= size:
+                room = rooms[-1]
+                pattern, n = open_by_room[room].popitem()
                 if not open_by_room[room]:
-                    rooms.pop(k)
+                    del open_by_room[rooms.pop()]
                 used = min(n, left)
                 if n > used:
-                    if not open_by_room[room]:
-                        insort(rooms, room)
-                    open_by_room[room].append((pattern, n - used))
-                # as many of this length as still fit, if there are enough for all
-                times = max(1, min(room // size, left // used))
-                made.append((room - times * size, pattern + (size,) * times, used))
-                left -= used * times
+                    add(room, pattern, n - used)
+                add(room - size, (*pattern, size), used)
+                left -= used
             else:
+                # one after the other each new pack is the shortest until it is full
                 times = min(length // size, left)
                 n = left // times
-                made.append((length - times * size, (size,) * times, n))
+                add(length - times * size, (size,) * times, n)
                 left -= n * times
-        for room, pattern, n in made:
-            own = open_by_room.setdefault(room, [])
-            if not own:
-                insort(rooms, room)
-            own.append((pattern, n))
     merged: dict[tuple[int, ...], int] = {}
     for own in open_by_room.values():
-        for pattern, n in own:
+        for pattern, n in own.items():
             merged[pattern] = merged.get(pattern, 0) + n
     return sorted(merged.items())
 
