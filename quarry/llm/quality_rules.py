@@ -11,14 +11,14 @@ A line with words fails by
 - punctuation: at least `run_on_words` words without a mark that ends or joins sentences;
 - boilerplate: a phrase of cookie, log-in, copyright or navigation notices.
 
-`clean` keeps the other documents as they are; `without_failures` also removes their failing
-lines, and leaves blank ones.
+`clean` returns the other documents without the lines that fail; blank lines stay, and a
+document of which no line fails stays as it is.
 
-All of it stays in the row: there is no shuffle. Repeated 8-word windows are found by
-64-bit hashes of the windows of one document.
+All of it stays in the row: there is no shuffle. Texts are split into lines and these into
+words once. Repeated 8-word windows are found by 64-bit hashes of the windows of one document.
 
 Null texts count as empty; these have no words and are rejected. Repeated rows are judged
-one by one. Extra columns pass through both and are ignored by `measure`. An empty
+one by one. Extra columns pass through `clean` and are ignored by `measure`. An empty
 table gives an empty result.
 """
 
@@ -101,17 +101,18 @@ def _repeated_words(hashes: Column, window: int) -> Column:
     return F.aggregate(gaps, F.lit(window).cast("int"), lambda x, g: x + g)
 
 
-def _failing(line: Column, n: Column, marks: Column, stutters: Column, rules: Rules) -> Column:
-    """marks tells what stands anywhere in the text, so that most lines are spared tests."""
+def _failing(line: Column, own: Column, marks: Column, stutters: Column, rules: Rules) -> Column:
+    """Whether a line, whose words are own, fails. marks tells what stands anywhere in the
+    text, so that most lines are spared tests."""
+    n = F.size(own)
     shouting = marks["shouts"] & (n >= rules.shout_words) & (_count(line, "!") > n * rules.shouts)
     capitals = (n >= rules.shout_words) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}")
-    own = words_of(line)
-    rest = F.greatest(F.size(own) - 1, F.lit(0))
+    rest = F.greatest(n - 1, F.lit(0))
     again = F.size(F.filter(F.zip_with(_shifted(own, 0, rest), _shifted(own, 1, rest), lambda a, b: a == b), lambda x: x))
-    stutter = stutters & (again * 100 > F.size(own) * rules.stutter_percent)
+    stutter = stutters & (again * 100 > n * rules.stutter_percent)
     run_on = (n >= rules.run_on_words) & ~line.rlike(r"[.!?;:,…。]")
     symbols = (marks["n_symbols"] > 0) & (_symbols(line) > n * rules.symbols)
-    return symbols | shouting | capitals | run_on | stutter | (marks["phrases"] & F.lower(line).rlike(BOILERPLATE))
+    return (n > 0) & (symbols | shouting | capitals | run_on | stutter | (marks["phrases"] & F.lower(line).rlike(BOILERPLATE)))
 
 
 def _may_stutter(again: Column, n_again: Column, rules: Rules) -> Column:
@@ -123,21 +124,22 @@ def _may_stutter(again: Column, n_again: Column, rules: Rules) -> Column:
     return F.when(n_again > 1, F.exists(F.zip_with(_shifted(again, 0, pairs), _shifted(again, 1, pairs), lambda a, b: a & b), lambda x: x)).otherwise(False)
 
 
-def _measured(docs: DataFrame, rules: Rules, rebuild: bool = False) -> DataFrame:
+def _measured(docs: DataFrame, rules: Rules) -> DataFrame:
+    """docs with _quality, measures and verdict, and _left, the text without failing lines."""
     text = F.coalesce(F.col("text"), F.lit(""))
     low = F.lower(text)
     first = docs.select(
         "*",
         F.struct(
-            words_of(text).alias("words"),
-            F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "").alias("lines"),
+            F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("text"), words_of(x).alias("words"))).alias("lines"),
             _symbols(text).alias("n_symbols"),
             F.contains(text, F.lit("!")).alias("shouts"),
             reduce(or_, [F.contains(low, F.lit(k)) for k in BOILERPLATE_KEYS]).alias("phrases"),
         ).alias("_1"),
     )
     m = first["_1"]
-    hashed = first.select("*", F.transform(m["words"], lambda w: F.xxhash64(w)).alias("_h"))
+    words = first.select("*", F.flatten(m["lines"]["words"]).alias("_w"))
+    hashed = words.select("*", F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
     h, size = hashed["_h"], F.size(hashed["_h"])
     again = F.zip_with(_shifted(h, 0, F.greatest(size - 1, F.lit(0))), _shifted(h, 1, F.greatest(size - 1, F.lit(0))), lambda a, b: a == b)
     paired = hashed.select("*", again.alias("_a"))
@@ -148,34 +150,28 @@ def _measured(docs: DataFrame, rules: Rules, rebuild: bool = False) -> DataFrame
         F.struct(size.alias("n"), _run_hashes(h, size, rules.window).alias("hashes"), _may_stutter(again, n_again, rules).alias("stutters")).alias("_2"),
     )
     w = second["_2"]
-    stutters = w["stutters"]
     third = second.select(
         "*",
         F.when(F.size(F.array_distinct(w["hashes"])) == F.size(w["hashes"]), 0).otherwise(_repeated_words(w["hashes"], rules.window)).alias("_3"),
-        F.aggregate(
-            F.transform(m["lines"], lambda x: F.struct(x.alias("text"), (_count(x, " ") + 1).alias("n"))),
-            F.struct(F.lit(0).alias("all"), F.lit(0).alias("lost")),
-            lambda sums, x: F.struct((sums["all"] + x["n"]).alias("all"), (sums["lost"] + F.when(_failing(x["text"], x["n"], m, stutters, rules), x["n"]).otherwise(0)).alias("lost")),
-        ).alias("_4"),
+        F.transform(m["lines"], lambda x: F.struct(x["text"].alias("text"), F.size(x["words"]).alias("n"), _failing(x["text"], x["words"], m, w["stutters"], rules).alias("bad"))).alias("_4"),
     )
-    n, base = w["n"], (w["n"] < rules.min_words) | (100 * third["_3"] > rules.repeat_percent * w["n"])
+    judged = third["_4"]
+    worded = F.filter(judged, lambda x: x["n"] > 0)["text"]
+    fourth = third.select("*", F.aggregate(judged, F.lit(0), lambda lost, x: lost + F.when(x["bad"], x["n"]).otherwise(0)).alias("_5"), F.struct(F.size(worded).alias("n"), F.size(F.array_distinct(worded)).alias("different")).alias("_6"))
+    n, lost = w["n"], fourth["_5"]
+    base = (n < rules.min_words) | (100 * third["_3"] > rules.repeat_percent * n)
     measures = F.struct(
         n.cast("long").alias("n_words"),
-        F.length(F.array_join(m["words"], "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         m["n_symbols"].cast("long").alias("n_symbols"),
-        (F.size(m["lines"]) - F.size(F.array_distinct(m["lines"]))).cast("long").alias("n_dup_lines"),
+        (fourth["_6"]["n"] - fourth["_6"]["different"]).cast("long").alias("n_dup_lines"),
         third["_3"].cast("long").alias("n_repeat_words"),
         base.alias("base_failed"),
-        (~base & (100 * third["_4"]["lost"] <= rules.lost_percent * third["_4"]["all"])).alias("kept"),
-        F.when(third["_4"]["all"] > 0, third["_4"]["lost"] / third["_4"]["all"]).otherwise(0.0).alias("lost_share"),
+        (~base & (100 * lost <= rules.lost_percent * n)).alias("kept"),
+        F.when(n > 0, lost / n).otherwise(0.0).alias("lost_share"),
     )
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    if not rebuild:
-        return third.select(*own, measures.alias("_quality"))
-    blank = lambda x: F.btrim(x, F.lit(SPACE_CHARS)) == ""
-    passing = F.filter(F.split(text, "\n", -1), lambda x: blank(x) | ~_failing(x, _count(x, " ") + 1, m, stutters, rules))
-    left = F.when(third["_4"]["lost"] > 0, F.array_join(passing, "\n")).otherwise(F.col("text"))
-    return third.select(*own, measures.alias("_quality"), left.alias("_left"))
+    left = F.when(lost > 0, F.array_join(F.filter(judged, lambda x: ~x["bad"])["text"], "\n")).otherwise(F.col("text"))
+    return fourth.select(*(F.col(f"`{c}`") for c in docs.columns), measures.alias("_quality"), left.alias("_left"))
 
 
 def measure(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -184,19 +180,13 @@ def measure(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of documents that aren't rejected, unchanged."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text"))
-    # an explode and no filter: a filter would be moved below the measures, and repeat them
-    kept = _measured(rows, rules).select("_row", F.explode(F.when(F.col("_quality.kept"), F.array(F.lit(0)))).alias("_kept"))
-    return kept.select("_row.*")
-
-
-def without_failures(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of documents that aren't rejected, without the lines that fail; n_chars, if
-    there, follows the text."""
+    there, follows the text where lines went."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text"))
-    kept = _measured(rows, rules, rebuild=True).select("_row", F.explode(F.when(F.col("_quality.kept"), F.array("_left"))).alias("_left"))
-    row = F.col("_row").withField("text", F.col("_left"))
+    # an explode and no filter: a filter would be moved below the measures, and repeat them
+    kept = _measured(rows, rules).select("_row", F.explode(F.when(F.col("_quality.kept"), F.array(F.struct(F.col("_left").alias("text"), (F.col("_quality.lost_share") > 0).alias("changed"))))).alias("_left"))
+    row = F.col("_row").withField("text", F.col("_left.text"))
     if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.length("_left").cast(docs.schema["n_chars"].dataType))
+        n = F.when(F.col("_left.changed"), F.length("_left.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+        row = row.withField("n_chars", n)
     return kept.select(row.alias("_row")).select("_row.*")

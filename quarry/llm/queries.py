@@ -103,8 +103,7 @@ windows AS (
 ), split_lines AS (
   SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d
 ), lines AS (
-  SELECT doc_id, line, len(line) - len(replace(line, ' ', '')) + 1 AS n, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw
-  FROM split_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+  SELECT doc_id, line, len(lw) AS n, lw FROM (SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM split_lines) WHERE len(lw) > 0
 ), judged AS (
   SELECT doc_id, n, line,
     len(line) - len(regexp_replace(line, '[#*$%&|<>]', '', 'g')) > n * 0.3
