@@ -10,12 +10,19 @@ item must always have the same counterpart in the document, or the hit doesn't c
 document is contaminated by an item if hits on one distance number `hits` at least, or all
 windows of the item if these are fewer.
 
+Only windows with `solid` words that aren't placeholders tell anything. Items without such
+a window are found otherwise. One of fewer than `window` words, `solid` of them plain, is
+one window of its own length. Any other, very short or mostly numbers, is found where it
+stands with its own values: its windows are of words as they are, and all of them must hit.
+Documents have windows of the lengths that such items need, and no more.
+
 The benchmark is broadcast after its size was checked; beyond `broadcast_rows` windows its
 side is shuffled. Documents' windows are joined where they are read and aren't shuffled
 then; only hits are.
 
-Items with fewer than `window` words, or whose windows have fewer than `solid` words that
-aren't placeholders, can't be found. Null and empty texts contain nothing. Rows that share
+Names are told by their capital, so a copy in lower case shares only windows without names.
+Items without words and null and empty texts contain nothing. Repeated items count once;
+items that share an id and differ in text are put together. Rows that share
 a doc_id are told apart by their text; in `contamination` their results are put together.
 Extra columns are ignored by it and kept by `clean`. An empty table of either side gives
 an empty result, and leaves all documents clean.
@@ -27,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .quality_rules import window_hashes
+from .quality_rules import _run_hashes, _shifted
 
 WINDOW, SOLID, HITS, BROADCAST_ROWS = 8, 5, 4, 1 << 20
 NAME, NUMBER, UNIT = "0name", "0num", "0unit"
@@ -40,7 +47,7 @@ UNITS = (
 
 def _valued(text: Column) -> Column:
     """Words between single spaces; names and numbers begin with their marks."""
-    marked = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;] )(?=\p{Lu}\p{Ll})", NAME)
+    marked = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{N},;]\s{1,4})", NAME)
     low = F.lower(marked)
     joined = F.when(low.rlike("[0-9][.,][0-9]"), F.regexp_replace(low, "(?<=[0-9])[.,](?=[0-9])", "d")).otherwise(low)
     return F.btrim(F.regexp_replace(joined, r"[^\p{L}\p{M}\p{N}]+", " "))
@@ -54,6 +61,10 @@ def _plain(valued: Column) -> Column:
     return F.when(valued.rlike("[0-9]"), names).otherwise(valued)
 
 
+def _unnamed(valued: Column) -> Column:
+    return F.regexp_replace(valued, r"(?<![^ ])0name", "")
+
+
 def _words(c: Column) -> Column:
     return F.when(c != "", F.split(c, " ")).otherwise(F.array().cast("array<string>"))
 
@@ -62,62 +73,124 @@ def _is_slot(word: Column) -> Column:
     return word.isin(NAME, NUMBER, UNIT)
 
 
-def _windows(texts: DataFrame, key: list[str], window: int) -> DataFrame:
-    """A row (key, at, h) for each window."""
+def _runs(hashes: Column, words: Column, length: int) -> Column:
+    """Hashes of all runs of `length` words: of the powers of two it is made of."""
+    out, have = None, 0
+    for k in range(length.bit_length()):
+        if length >> k & 1:
+            own = _run_hashes(hashes, words, 1 << k)
+            if out is None:
+                out = own
+            else:
+                n = F.greatest(words - (have + (1 << k) - 1), F.lit(0))
+                out = F.zip_with(_shifted(out, 0, n), _shifted(own, have, n), lambda a, b: F.xxhash64(a, b))
+            have += 1 << k
+    return out
+
+
+def _windows(texts: DataFrame, key: list[str], window: int, others: list[tuple[bool, int]] = ()) -> DataFrame:
+    """A row (key, at, h) for each window of plain words, and for those of `others`: whether
+    words keep their values, and how many they are."""
     valued = texts.select(*key, _valued(F.col("text")).alias("valued"))
-    words = valued.select(*key, _words(_plain(F.col("valued"))).alias("words"))
-    return words.select(*key, F.posexplode(window_hashes(F.col("words"), window)).alias("at", "h"))
+    words = valued.select(*key, _words(_unnamed(F.col("valued"))).alias("values") if any(own for own, _ in others) else F.lit(None).alias("values"), _words(_plain(F.col("valued"))).alias("words"))
+    hashed = words.select(*key, F.size("words").alias("n"), *(F.transform(c, lambda w: F.xxhash64(w)).alias(c) for c in (["words", "values"] if any(own for own, _ in others) else ["words"])))
+    main = _runs(F.col("words"), F.col("n"), window)
+    if not others:
+        return hashed.select(*key, F.posexplode(main).alias("at", "h"))
+    numbered = F.transform(main, lambda h, i: F.struct(i.alias("at"), h.alias("h")))
+    for own, length in others:
+        runs = _runs(F.col("values" if own else "words"), F.col("n"), length)
+        numbered = F.concat(numbered, _numbered(runs, _salt(own, length)))
+    return hashed.select(*key, F.inline(numbered).alias("at", "h"))
+
+
+def _salt(valued: bool, length: int) -> int:
+    """What tells windows of other kinds from the main ones and from each other."""
+    return 2 * length + valued
+
+
+def _numbered(runs: Column, salt: int) -> Column:
+    return F.transform(runs, lambda h, i: F.struct(i.alias("at"), F.xxhash64(h, F.lit(salt)).alias("h")))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, solid: int) -> DataFrame:
-    """(h, item_id, item_at, slots, n_windows) for each window of an item; slots: a string
-    for each word, its value where it is a placeholder and else null."""
+    """(h, item_id, item_at, slots, n_windows, valued, length, all_of) for each window of an
+    item that tells anything; slots: an entry for each word, its value where it is a
+    placeholder and else null; all_of: whether all of the item's windows must hit."""
     items = benchmark.filter("text is not null").select("item_id", _valued(F.col("text")).alias("valued"))
-    items = items.select("item_id", _words(F.col("valued")).alias("values"), _words(_plain(F.col("valued"))).alias("words"))
-    rows = items.select("*", F.posexplode(window_hashes(F.col("words"), window)).alias("item_at", "h"))
-    own = F.slice("words", F.col("item_at") + 1, window)
-    rows = rows.withColumn("slots", F.zip_with(own, F.slice("values", F.col("item_at") + 1, window), lambda w, v: F.when(_is_slot(w), v)))
-    rows = rows.filter(F.size(F.filter("slots", lambda x: x.isNull())) >= solid)
-    sizes = rows.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
-    return rows.select("h", "item_id", "item_at", "slots").distinct().join(sizes, "item_id")
+    items = items.select("item_id", _words(F.col("valued")).alias("values"), _words(_unnamed(F.col("valued"))).alias("own"), _words(_plain(F.col("valued"))).alias("words")).withColumns({"n": F.size("words"), "version": F.xxhash64("values")}).filter("n > 0").distinct()
+    hashed = items.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("plain_hashes"), F.transform("own", lambda w: F.xxhash64(w)).alias("value_hashes"))
+    slots = F.zip_with("words", "values", lambda w, v: F.when(_is_slot(w), v))
+    hashed = hashed.withColumn("all_slots", slots)
+    n_solid = lambda a: F.size(F.filter(a, lambda x: x.isNull()))
+    own = F.slice("all_slots", F.col("at") + 1, F.lit(window))
+    main = hashed.select("*", F.posexplode(_runs(F.col("plain_hashes"), F.col("n"), window)).alias("at", "h")).withColumn("slots", own).filter(n_solid("slots") >= solid)
+    main = main.select("h", "item_id", F.col("at").alias("item_at"), "slots", F.lit(False).alias("valued"), F.lit(window).alias("length"), F.lit(False).alias("all_of"), "version")
+    # items that share an id and differ in text are told apart by version
+    rest = hashed.join(main.select("version").distinct(), "version", "left_anti")
+    parts = [main]
+    for length in range(1, window + 1):
+        for valued in (False, True):
+            if length < window:
+                fit = (F.col("n") == length) & (F.lit(valued) | (n_solid("all_slots") >= solid))
+            elif valued:
+                fit = F.col("n") >= window
+            else:
+                continue
+            runs = _runs(F.col("value_hashes" if valued else "plain_hashes"), F.col("n"), length)
+            numbered = _numbered(runs, _salt(valued, length))
+            nothing = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda _: F.lit(None).cast("string"))
+            part = rest.filter(fit).select("*", F.inline(numbered).alias("at", "h"))
+            parts.append(part.select("h", "item_id", F.col("at").alias("item_at"), (nothing if valued else F.col("all_slots")).alias("slots"), F.lit(valued).alias("valued"), F.lit(length).alias("length"), F.lit(True).alias("all_of"), "version"))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.union(part)
+    rows = rows.distinct()
+    return rows.join(rows.groupBy("version").agg(F.countDistinct("item_at").alias("n_windows")), "version")
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, window: int, solid: int, broadcast_rows: int) -> DataFrame:
-    """(id, copy, at, item_id, item_at, n_windows, same) for all windows that stand in an
-    item with slots that agree; same: their values are the item's own."""
+    """(id, copy, at, item_id, version, item_at, n_windows, all_of, same) for all windows
+    that stand in an item with slots that agree; same: their values are the item's own."""
     texts = docs.filter("text is not null").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("copy"), "text")
     items = written(benchmark_windows(benchmark, window, solid))
+    others = [(r["valued"], r["length"]) for r in items.filter("all_of").select("valued", "length").distinct().orderBy("valued", "length").collect()]  # 2 * window at most
     keys = items.select("h").distinct()
     if keys.count() <= broadcast_rows:
         keys = F.broadcast(keys)
-    found = written(_windows(texts, ["id", "copy"], window).join(keys, "h").distinct())
+    found = written(_windows(texts, ["id", "copy"], window, others).join(keys, "h").distinct())
     hits = found.join(items, "h").withColumn("slotted", F.exists("slots", lambda x: x.isNotNull()))
-    plain = hits.filter("not slotted").select("id", "copy", "at", "item_id", "item_at", "n_windows", F.lit(True).alias("same"))
-    slotted = hits.filter("slotted")
+    columns = ["id", "copy", "at", "item_id", "version", "item_at", "n_windows", "all_of"]
+    plain = hits.filter("not slotted").select(*columns, F.lit(True).alias("same"))
+    slotted = hits.filter("slotted").select(*columns, "length", "slots")
     # the document's values, from the texts of those few documents that need them
-    wanted = written(slotted.select("id", "copy", "at").distinct())
-    by_doc = wanted.groupBy("id", "copy").agg(F.collect_set("at").alias("ats"))
+    wanted = written(slotted.select("id", "copy", "at", "length").distinct())
+    by_doc = wanted.groupBy("id", "copy").agg(F.collect_set(F.struct("at", "length")).alias("ats"))
     t = texts.alias("t").join(by_doc.alias("w"), F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.copy") == F.col("w.copy"))).select("t.id", "t.copy", "w.ats", _words(_valued(F.col("t.text"))).alias("values"))
-    own = t.select("id", "copy", "values", F.explode("ats").alias("at")).select("id", "copy", "at", F.slice("values", F.col("at") + 1, window).alias("values")).distinct()
+    own = t.select("id", "copy", "values", F.inline("ats").alias("at", "length")).select("id", "copy", "at", "length", F.slice("values", F.col("at") + 1, F.col("length")).alias("values")).distinct()
     s, o = slotted.alias("s"), own.alias("o")
-    both = s.join(o, F.col("s.id").eqNullSafe(F.col("o.id")) & (F.col("s.copy") == F.col("o.copy")) & (F.col("s.at") == F.col("o.at"))).select("s.id", "s.copy", "s.at", "s.item_id", "s.item_at", "s.n_windows", "s.slots", "o.values")
-    match = ["id", "copy", "item_id", "distance"]
-    pairs = both.withColumn("distance", F.col("at") - F.col("item_at")).withColumn("pair", F.explode(F.filter(F.zip_with("slots", "values", lambda a, b: F.struct(a.alias("item"), b.alias("doc"))), lambda p: p["item"].isNotNull())))
+    both = s.join(o, F.col("s.id").eqNullSafe(F.col("o.id")) & (F.col("s.copy") == F.col("o.copy")) & (F.col("s.at") == F.col("o.at")) & (F.col("s.length") == F.col("o.length")))
+    both = both.select(*(f"s.{c}" for c in columns), "s.slots", "o.values").withColumn("distance", F.col("at") - F.col("item_at"))
+    match = ["id", "copy", "item_id", "version", "distance"]
+    pairs = both.withColumn("pair", F.explode(F.filter(F.zip_with("slots", "values", lambda a, b: F.struct(a.alias("item"), b.alias("doc"))), lambda p: p["item"].isNotNull())))
     broken = pairs.groupBy(*match, "pair.item").agg(F.min("pair.doc").alias("low"), F.max("pair.doc").alias("high")).filter("low <> high").select(*match, "item")
     broken = written(broken.groupBy(*match).agg(F.collect_set("item").alias("items")))
-    b, k = both.withColumn("distance", F.col("at") - F.col("item_at")).alias("b"), broken.alias("k")
-    judged = b.join(k, F.col("b.id").eqNullSafe(F.col("k.id")) & (F.col("b.copy") == F.col("k.copy")) & (F.col("b.item_id").eqNullSafe(F.col("k.item_id"))) & (F.col("b.distance") == F.col("k.distance")), "left")
+    b, k = both.alias("b"), broken.alias("k")
+    equal = F.col("b.copy") == F.col("k.copy")
+    for c in ("id", "item_id", "version", "distance"):
+        equal &= F.col(f"b.{c}").eqNullSafe(F.col(f"k.{c}"))
+    judged = b.join(k, equal, "left")
     agreed = judged.filter(F.col("k.items").isNull() | ~F.arrays_overlap("b.slots", "k.items"))
     same = F.forall(F.zip_with("b.slots", "b.values", lambda x, y: x.isNull() | (x == y)), lambda x: x)
-    return plain.union(agreed.select("b.id", "b.copy", "b.at", "b.item_id", "b.item_at", "b.n_windows", same.alias("same")))
+    return plain.union(agreed.select(*(f"b.{c}" for c in columns), same.alias("same")))
 
 
 def _matches(docs: DataFrame, benchmark: DataFrame, window: int, solid: int, hits: int, broadcast_rows: int) -> DataFrame:
     found = _hits(docs, benchmark, window, solid, broadcast_rows)
-    matches = found.groupBy("id", "copy", "item_id", (F.col("at") - F.col("item_at")).alias("distance")).agg(
-        F.countDistinct("item_at").alias("n_hits"), F.max("n_windows").alias("n_windows"), F.min("at").alias("first_word"), F.min("same").alias("same")
+    matches = found.groupBy("id", "copy", "item_id", "version", (F.col("at") - F.col("item_at")).alias("distance")).agg(
+        F.countDistinct("item_at").alias("n_hits"), F.max("n_windows").alias("n_windows"), F.max("all_of").alias("all_of"), F.min("at").alias("first_word"), F.min("same").alias("same")
     )
-    return matches.filter(F.col("n_hits") >= F.least(F.lit(hits), F.col("n_windows")))
+    return matches.filter(F.col("n_hits") >= F.when(F.col("all_of"), F.col("n_windows")).otherwise(F.least(F.lit(hits), F.col("n_windows"))))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, solid: int = SOLID, hits: int = HITS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
