@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import corpus_pipeline  # noqa: E402
 import test_text_operators as brute  # noqa: E402
 
-from quarry.llm import pii, quality_rules  # noqa: E402
+from quarry.llm import pii  # noqa: E402
 from quarry.llm.queries import oracle_sql, queries  # noqa: E402
 
 
@@ -27,8 +27,8 @@ def test_names():
 def test_pipeline_against_brute_force(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    kept = {r["doc_id"] for r in quality_rules.measure(docs).filter("kept").collect()}
-    texts = {i: t for i, t in texts.items() if i in kept}
+    verdicts = {i: brute.verdict_brute(t) for i, t in texts.items()}
+    texts = {i: left for i, (kept, _, left) in verdicts.items() if kept}
     groups = brute.groups_brute(texts)
     texts = {i: t for i, t in texts.items() if groups[i][1] == i}
     flat = lambda t: " ".join(t.lower().split())

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, html_extract, importance, jaccard_join, license_scan, packing, pii, quality_rules, substring_dedup, toxicity
@@ -115,10 +116,52 @@ def quality_brute(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered), failed
 
 
+def fails_brute(line, rules=quality_rules.Rules()):
+    own = words_of(line)
+    n = len(own)
+    if not n:
+        return False
+    return (
+        sum(c in "#*$%&|<>" for c in line) > n * rules.symbols
+        or n >= rules.shout_words and line.count("!") > n * rules.shouts
+        or n >= rules.shout_words and not regex.search(r"\p{Ll}", line) and bool(regex.search(r"\p{Lu}", line))
+        or n >= rules.run_on_words and not re.search("[.!?;:,…。]", line)
+        or 100 * sum(a == b for a, b in zip(own, own[1:])) > rules.stutter_percent * n
+        or bool(re.search(quality_rules.BOILERPLATE, line.lower()))
+    )
+
+
+def verdict_brute(text):
+    """kept, the share that is lost, and what is left."""
+    n, *_, failed = quality_brute(text)
+    lines = (text or "").split("\n")
+    bad = [fails_brute(x) for x in lines]
+    lost = sum(len(words_of(x)) for x, b in zip(lines, bad) if b)
+    return not failed and 100 * lost <= 40 * n, lost / n if n else 0.0, "\n".join(x for x, b in zip(lines, bad) if not b) if lost else text
+
+
 def test_quality_measures(spark, docs, odd):
     for rows in (docs, odd):
-        got = sorted(tuple(r)[:7] for r in quality_rules.measure(rows).collect() if r["doc_id"] is not None)
-        assert got == sorted((r["doc_id"], *quality_brute(r["text"])) for r in rows.collect() if r["doc_id"] is not None)
+        got = sorted((tuple(r)[:7], r["kept"], round(r["lost_share"], 9)) for r in quality_rules.measure(rows).collect() if r["doc_id"] is not None)
+        texts = [(r["doc_id"], r["text"]) for r in rows.collect() if r["doc_id"] is not None]
+        assert got == sorted(((i, *quality_brute(t)), verdict_brute(t)[0], round(verdict_brute(t)[1], 9)) for i, t in texts)
+        left = sorted((r["doc_id"], r["text"]) for r in quality_rules.clean(rows).collect() if r["doc_id"] is not None)
+        assert left == sorted((i, verdict_brute(t)[2]) for i, t in texts if verdict_brute(t)[0])
+
+
+def test_lines_are_judged_alone(spark):
+    plain = [f"Line{k} has words{k} that none{k} repeats{k}." for k in range(14)]
+    texts = [
+        "\n".join([*plain, *(f"{w} {w} {w} {w} {w}{k} {w}{k} {w}{k}" for k, w in enumerate("abcdefghijkl"))]),  # stutter in half of the lines
+        "\n".join([*plain[:7], "This site uses cookies to work.", "", *plain[7:]]),
+        "\n".join(" " * 80 + " ".join(x.split()[:4]).rstrip(".") for x in plain),  # white space isn't words
+    ]
+    got = quality_rules.measure(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [(r["kept"], r["lost_share"]) for r in got] == [(v[0], pytest.approx(v[1])) for v in map(verdict_brute, texts)]
+    assert [r["kept"] for r in got] == [False, True, True] and got[0]["lost_share"] > 0.4 and got[2]["lost_share"] == 0
+    left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in quality_rules.clean(frame(spark, texts)).collect()}
+    cut = "\n".join([*plain[:7], "", *plain[7:]])
+    assert left == {1: (cut, len(cut)), 2: (texts[2], len(texts[2]))}
 
 
 def test_quality_verdicts(spark, docs, folder):
@@ -142,7 +185,7 @@ def test_stutter_is_judged_by_lines(spark):
     rows = frame(spark, texts)
     got = quality_rules.measure(rows).orderBy("doc_id").collect()
     assert [r["lost_share"] for r in got] == pytest.approx(share) and [r["kept"] for r in got] == [False, True, True]
-    left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in quality_rules.without_failures(rows).collect()}
+    left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in quality_rules.clean(rows).collect()}
     cut = texts[1].rsplit("\n", 1)[0]
     assert left == {1: (cut, len(cut)), 2: (plain, len(plain))}
 
@@ -242,12 +285,38 @@ def test_plan_places_all():
             assert placed == histogram
 
 
+def shortest_pack_first(histogram, length):
+    """One length after the other."""
+    packs = []
+    for size in sorted(histogram, reverse=True):
+        for _ in range(histogram[size]):
+            k = min(range(len(packs)), key=lambda k: sum(packs[k]), default=None)
+            if k is not None and sum(packs[k]) + size <= length:
+                packs[k].append(size)
+            else:
+                packs.append([size])
+    return Counter(map(tuple, packs))
+
+
+def test_plan_is_shortest_pack_first():
+    assert dict(packing.plan({700: 1, 600: 1, 300: 1}, 1024)) == {(700,): 1, (600, 300): 1}
+    rng = random.Random(6)
+    for _ in range(200):
+        histogram = {rng.randint(1, 60): rng.randint(1, 9) for _ in range(rng.randint(1, 12))}
+        got = Counter({sum(p): 0 for p, _ in packing.plan(histogram, 64)})
+        for p, n in packing.plan(histogram, 64):
+            got[sum(p)] += n
+        want = Counter()
+        for p, n in shortest_pack_first(histogram, 64).items():
+            want[sum(p)] += n
+        assert got == want
+
+
 def check_packed(pieces, texts, length=1024):
     import public_tokenizers as files
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(files.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for i, x in texts.items()}
     own, sequences = defaultdict(list), defaultdict(list)
     for p in pieces:
@@ -271,7 +340,7 @@ def check_packed(pieces, texts, length=1024):
 
 def test_packing_round_trip(spark, docs):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    texts |= {-1: None, -2: "", -3: "<|endoftext|> x", -4: "  \n" * 3000, -5: "a" * 5000}
+    texts |= {-1: None, -2: "", -3: "<|endoftext|> x", -6: "a <|endoftext|><|endoftext|>b", -4: "  \n" * 3000, -5: "a" * 5000}
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert check_packed(packing.pack(rows).collect(), texts) > 0.97
     assert packing.pack(rows.limit(0)).count() == 0
@@ -282,7 +351,8 @@ def test_long_white_space_is_encoded(monkeypatch):
     from tokenizers import Tokenizer
 
     t, encode = Tokenizer.from_file(files.path("byte_bpe_50k.json")), packing.encoder()
-    texts = [" " * 1_100_000 + "x", "a" + "\n" * 1_100_000 + "x"]
+    assert encode("<|endoftext|> x").tolist() == [50256, 2124]
+    texts = [" " * 1_100_000 + "x", "a" + "\n" * 1_100_000 + "x", "b<|endoftext|>" + " " * 1_100_000]
     want = [t.encode(x, add_special_tokens=False).ids for x in texts]
     assert [encode(x).tolist() for x in texts] == want
     monkeypatch.setattr(packing, "RUN", 1 << 30)  # so that the engine panics
@@ -331,15 +401,52 @@ def test_jaccard_components(spark, docs):
         texts[3000 + k] = " ".join(f"p{x}" for x in range(40)) + " " + " ".join(f"u{k}_{x}" for x in range(rng.randint(1, 60)))
     texts |= {4000: None, 4001: "", 4002: "A b", 4003: "a B", 4004: "a b c"}
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(rows, sketch_bits=16).collect()}
-    assert got == groups_brute(texts)
+    want = groups_brute(texts)
+    for parameters in ({}, {"rounds": 1, "hot": 5, "subsets": 1}):  # also lists dealt over blocks
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(rows, sketch_bits=16, **parameters).collect()}
+        assert got == want
     kept = {r["doc_id"] for r in jaccard_join.one_of_each(rows, sketch_bits=16).collect()}
     assert kept == {c for _, c in got.values()}
 
 
+def test_one_of_each_keeps_a_documents_rows(spark):
+    base = " ".join(f"t{k}" for k in range(30))
+    rows = [(1, base, "a"), (1, base, "b"), (1, "another text", "a"), (2, f"{base} end", "a"), (3, "third text", "z"), (None, base, "a"), (None, base, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(3)
+    got = sorted(tuple(map(str, r)) for r in jaccard_join.one_of_each(df, sketch_bits=16).collect())
+    assert got == sorted(tuple(map(str, r)) for r in (rows[0], rows[2], rows[4], rows[5], rows[6]))
+
+
+def test_links_become_stars(spark):
+    rng = random.Random(4)
+    links = [(k, k + 1) for k in range(200, 0, -1)] + [(rng.randint(500, 900), rng.randint(500, 900)) for _ in range(300)]
+    up = {x: x for pair in links for x in pair}
+    for _ in up:
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    for parts in (1, 7):
+        df = spark.createDataFrame(links, "a long, b long").repartition(parts)
+        got = {r["id"]: r["component"] for r in jaccard_join.components(df).collect()}
+        assert got == {x: c for x, c in up.items() if any(x in pair and pair[0] != pair[1] for pair in links)}
+
+
+def test_parities_understate_differences():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (1, 3, 70, 90, 200, 300, 1000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 1 << 62, 1 + len(s) // 10).astype(np.uint64)])) for s in sets]
+    first = np.cumsum([0, *map(len, sets)])
+    p = jaccard_join.Parities(pa.array(jaccard_join._parities(np.concatenate(sets), first), pa.binary()))
+    for a, x in enumerate(sets):
+        apart = p.apart(np.full(len(sets), a), np.arange(len(sets)))
+        assert apart[a] == 0 and all(d <= len(np.setxor1d(x, y)) for d, y in zip(apart, sets))
+    assert p.apart(np.array([6]), np.array([13]))[0] > 100
+
+
 def test_light_sets_list_subsets():
-    n = jaccard_join.light_size()
-    assert n >= 5 and sum(math.comb(n, c) for c in range(jaccard_join.least(n), n + 1)) <= jaccard_join.SUBSETS
+    light = lambda sizes, shared: jaccard_join.light_size(sizes, shared)
+    sizes = dict.fromkeys(range(30), 100)
+    assert light({}, 9.0) == 1 and light(sizes, 1.0) < light(sizes, 5.0) <= light(sizes, 500.0)
+    assert jaccard_join.subsets_of(light(sizes, 500.0)) <= jaccard_join.SUBSETS
     for a in range(1, 30):
         for b in range(jaccard_join.least(a), a + 1):
             c = jaccard_join.needed(a, b)
@@ -413,6 +520,60 @@ def test_main_text_by_template_and_names(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def site(rng, name, n):
+    """Pages without an article or telling names, and their main texts."""
+    say = lambda k: " ".join(rng.choice("alder birch cedar dune ember fjord grove heath inlet knoll".split()) + str(rng.randint(0, 99)) for _ in range(k))
+    pages = []
+    for k in range(n):
+        entries = "".join(f"<li><p>{say(2)}</p><p>Open</p></li>" for _ in range(rng.randint(1, 4)))
+        story = [say(rng.randint(20, 40)) for _ in range(rng.randint(1, 4))]
+        body = "".join(f"<p>{p}</p>" for p in story)
+        html = f"<html><head><title>T</title></head><body><div id=x1><p>Our site</p><ul>{entries}</ul></div><div id=x2><h2>{say(3)}</h2>{body}<div id=x5><p>Filed under news</p></div></div><div id=x3><p>{say(3)}</p></div></body></html>"
+        head = re.search("<h2>(.*?)</h2>", html)[1]
+        pages.append((f"http://{name}/{k}", html, " ".join([head, *story])))
+    return pages
+
+
+def test_main_slot_of_a_template(spark):
+    rng = random.Random(12)
+    rows = [*site(rng, "a.org", 9), *site(rng, "b.org", 5)]
+    rows += [("http://a.org/none", None, ""), ("http://a.org/empty", "", ""), ("http://a.org/404", "<html><body><p>Not found</p></body></html>", "Not found")]
+    rows += [(u, h, t) for u, h, t in rows[:1]]  # a page that repeats
+    rows.append(("http://open.org/", "<html><head><title>x<body><div class=content><p>Text of it</p></div></body>", "Text of it"))
+    want = {k: t for k, (_, _, t) in enumerate(rows)}
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h, _) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()} == want
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(pages, hosts=0, salts=2).collect()} == want
+
+
+def test_classes_equal_vectors(spark):
+    rows = [(u, h) for u, h, _ in [*site(random.Random(13), "a.org", 8), *site(random.Random(14), "b.org", 4)]]
+    counts = defaultdict(lambda: defaultdict(dict))
+    for k, (u, h) in enumerate(rows):
+        blocks, tags = html_extract.blocks_of(h)
+        for token, n in Counter([*tags, *(f"{p}>{t}" for t, p, _ in blocks)]).items():
+            counts[u.split("/")[2]][html_extract._key(token)][k] = n
+    want = set()
+    for host, tokens in counts.items():
+        n, groups = len({k for v in tokens.values() for k in v}), defaultdict(set)
+        for token, v in tokens.items():
+            if len(v) >= 3 and 2 * len(v) >= n:
+                groups[tuple(sorted(v.items()))].add(token)
+        want |= {(host, frozenset(g)) for g in groups.values()}
+    pages = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    got = {(r["host"], frozenset(t["token"] for t in r["tokens"])) for r in html_extract.classes(pages).collect()}
+    assert got <= want and all(len(g) == 1 for _, g in want - got) and len(got) >= 6  # all but blocks without an element
+
+
+def test_odd_pages(spark):
+    long = "<div><p>" + "word " * 200_000 + "</p></div>" * 2
+    rows = [(1, "http://x.org/1", long), (1, "http://x.org/1", long), (None, None, None), (2, "", "no tags"), (3, "::", "<p>open"), (4, "http://x.org/2", "<" * 5000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "template", "salt", "key", "fixed", "main", "token", "n", "vector")})
+    got = sorted(((r["page_id"] or 0, r["url"], r["text"][:9], r["n_chars"]) for r in html_extract.extract(df).collect()), key=str)
+    words = ("word word", 999_999)
+    assert got == sorted([(1, "http://x.org/1", *words), (1, "http://x.org/1", *words), (0, None, "", 0), (2, "", "no tags", 7), (3, "::", "open", 4), (4, "http://x.org/2", "<" * 9, 5000)], key=str)
+
+
 # --- 9 ----------------------------------------------------------------------------------
 
 
@@ -427,6 +588,84 @@ def test_contamination(spark, docs, folder):
     assert {tuple(r) for r in decontaminate.contamination(docs, items, broadcast_rows=0).collect()} == {tuple(r) for r in decontaminate.contamination(docs, items).collect()}
 
 
+def test_short_and_numeric_items(spark):
+    items = spark.createDataFrame(
+        [(1, "What is the capital of France"), (2, "Compute 12 + 35 + 47 + 81 and then divide by 7"), (3, "Yes"), (4, ""), (5, "..."), (1, "What is the capital of France"), (6, "seven plain words stand in this one"), (6, "Name 3"), (None, "odd little item")],
+        "item_id long, text string",
+    )
+    texts = [
+        "He asked, What is the capital of\nFrance and left", "what is the CAPITAL of france", "Then: what is the capital of Spain?", "compute 12 + 35 + 47 + 81 and then divide by 7!", "compute 12 + 35 + 47 + 82 and then divide by 7",
+        "compute 12 + 35 + 47 + 81 and then", "oh yes", "so seven plain words stand in this one. Name 3", "an odd little item", "yesterday", None,
+    ]
+    for rows in (1 << 20, 0):
+        got = {(r["doc_id"], r["item_id"]): (r["n_hits"], r["coverage"], r["same"]) for r in decontaminate.contamination(frame(spark, texts), items, broadcast_rows=rows).collect()}
+        assert got == {(0, 1): (1, 1.0, True), (1, 1): (1, 1.0, True), (2, 1): (1, 1.0, False), (3, 2): (3, 1.0, True), (6, 3): (1, 1.0, True), (7, 6): (1, 1.0, True), (8, None): (1, 1.0, True)}
+    assert {r["doc_id"] for r in decontaminate.clean(frame(spark, texts), items).collect()} == {4, 5, 9, 10}
+
+
+WORDS_OF_ITEM = re.compile(r"[^\W_]+")
+
+
+def typed(text):
+    """(word, value) for each word, value None where it isn't a placeholder."""
+    low, out = text, []
+    for m in WORDS_OF_ITEM.finditer(re.sub("(?<=[0-9])[.,](?=[0-9])", "d", low)):
+        w, before = m[0], re.sub(r"\s+", " ", text[: m.start()])
+        if re.fullmatch("[0-9][0-9d]*", w):
+            out.append(("#", w))
+        elif out and out[-1][0] == "#" and w.lower() in decontaminate.UNITS:
+            out.append(("%", w.lower()))
+        elif w[:1].isupper() and w[1:2].islower() and re.search("[a-z0-9,;] $", before):
+            out.append(("@", w.lower()))
+        else:
+            out.append((w.lower(), None))
+    return out
+
+
+def contaminated_brute(texts, items, window=8, solid=5, hits=4):
+    found = {}
+    for i, text in texts.items():
+        doc = typed(text)
+        for j, item in items.items():
+            own = typed(item)
+            at = [k for k in range(len(own) - window + 1) if sum(v is None for _, v in own[k : k + window]) >= solid]
+            best = []
+            for distance in range(-len(own), len(doc)):
+                pairs = {k: list(zip(own[k : k + window], doc[k + distance : k + distance + window])) for k in at if 0 <= k + distance <= len(doc) - window}
+                pairs = {k: p for k, p in pairs.items() if all(a[0] == b[0] for a, b in p)}
+                counterparts = defaultdict(set)
+                for a, b in (x for p in pairs.values() for x in p if x[0][1] is not None):
+                    counterparts[a[1]].add(b[1])
+                good = [p for p in pairs.values() if all(a[1] is None or len(counterparts[a[1]]) == 1 for a, _ in p)]
+                if len(good) >= min(hits, len(at)) and good:
+                    best.append((len(good), all(a[1] == b[1] for p in good for a, b in p)))
+            if best:
+                found[i, j] = (max(n for n, _ in best), any(same for _, same in best))
+    return found
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(9)
+    plain = "the of trains moves towards old cities while people count their coins and walk along rivers until night falls over hills".split()
+    names, units = ["Paris", "Rome", "Oslo", "Lima"], ["km", "kg", "hours"]
+
+    def word():
+        r = rng.random()
+        return rng.choice(names) if r < 0.12 else str(rng.randint(1, 4)) if r < 0.22 else f"{rng.randint(1, 3)} {rng.choice(units)}" if r < 0.28 else rng.choice(plain) + rng.choice(["", "", "", ",", "."])
+
+    items = {k: " ".join(["so", *(word() for _ in range(rng.randint(14, 26)))]) for k in range(12)}
+
+    def again(item):
+        change = {x: rng.choice(names) for x in names} | {str(x): str(rng.randint(1, 4)) for x in range(1, 5)}
+        keep = rng.random() < 0.6
+        return re.sub(r"\w+", lambda m: m[0] if m[0] not in change else change[m[0]] if keep else rng.choice(names if m[0] in names else ["1", "2"]), item)
+
+    texts = {k: " ".join(filter(None, ["and", word(), rng.choice([items[k % 12], again(items[k % 12]), again(items[k % 12]), ""]), word(), word()])) for k in range(60)}
+    got = {(r["doc_id"], r["item_id"]): (r["n_hits"], r["same"]) for r in decontaminate.contamination(frame(spark, list(texts.values())), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    want = contaminated_brute(texts, items)
+    assert got == want and len(want) > 20 and {same for _, same in want.values()} == {True, False}
+
+
 def test_reparameterised_questions(spark):
     question = "A train leaves and {a} is {x} km away from where {b} stands. If {a2} sends {n} cars to the far city of {b2} then what remains of {n2} in the old town hall"
     items = spark.createDataFrame([(1, question.format(a="Paris", a2="Paris", b="Berlin", b2="Berlin", x=120, n=35, n2=35)), (2, "too short"), (3, None)], "item_id long, text string")
@@ -490,7 +729,7 @@ def test_odd_rows(spark, odd, folder):
     assert found.count() == n and {r["component_id"] for r in found.filter("doc_id in (6, 7)").collect()} == {6}
     assert found.filter("doc_id is null").first()["component_id"] is None
     kept = jaccard_join.one_of_each(odd, sketch_bits=16)
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 8, 9] and kept.columns == odd.columns
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 8, 9, 9] and kept.columns == odd.columns
     assert pii.find(odd).count() == n and pii.redact(odd).columns == odd.columns
     assert decontaminate.contamination(odd, items).count() == 0 and decontaminate.clean(odd, items).count() == n
     left = {(r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeats(odd).collect()}
