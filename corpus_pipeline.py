@@ -18,7 +18,7 @@ from quarry.sources.tables import ship
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Lines that the quality rules reject go, and documents that lose too much with them."""
     return quality_rules.clean(docs)
 
 

@@ -17,32 +17,41 @@ from pyspark.sql import functions as F
 STOP_WORDS = "a an and are as at be by for from in into is it of on or that the their there this to was were with".split()
 
 
+# The english dictionary's endings, in the order in which they are tried. A word
+# longer than `least` that has the ending (and not `unless`) loses `cut` letters and gets
+# `more`; `vowel`: only if what is left has a vowel.
+ENDINGS = [
+    # ending, least, cut, more, vowel, unless
+    ("ies", 5, 3, "y", False, None),
+    ("sses", 5, 2, "", False, None),
+    ("ing", 4, 3, "", True, None),
+    ("ed", 4, 2, "", True, None),
+    ("es", 4, 2, "", False, None),
+    ("s", 3, 1, "", False, "ss"),
+]
+VOWELS = "[aeiouy]"
+
+
 def words(text: Column) -> Column:
     """Runs of letters, digits and underscores."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{Nd}_]+"), F.lit(0))
 
 
 def _stem(w: Column) -> Column:
-    """Common endings, by length: -ies, -sses, -ing, -ed (after a vowel), -es, -s."""
-    n = F.length(w)
-    cut = lambda k: F.substring(w, F.lit(1), n - k)
-    vowel = lambda k: cut(k).rlike("[aeiouy]")
-    return (
-        F.when((n > 5) & w.endswith("ies"), F.concat(cut(3), F.lit("y")))
-        .when((n > 5) & w.endswith("sses"), cut(2))
-        .when((n > 4) & w.endswith("ing") & vowel(3), cut(3))
-        .when((n > 4) & w.endswith("ed") & vowel(2), cut(2))
-        .when((n > 4) & w.endswith("es"), cut(2))
-        .when((n > 3) & w.endswith("s") & ~w.endswith("ss"), cut(1))
-        .otherwise(w)
-    )
+    out = w
+    for ending, least, cut, more, vowel, unless in reversed(ENDINGS):
+        left = F.substring(w, F.lit(1), F.length(w) - cut)
+        fits = (F.length(w) > least) & w.endswith(ending)
+        fits = fits & ~w.endswith(unless) if unless else fits
+        out = F.when(fits & left.rlike(VOWELS) if vowel else fits, F.concat(left, F.lit(more))).otherwise(out)
+    return out
 
 
 def _stem_word(w: str) -> str:
-    for longer, ending, cut, more, needs in ((5, "ies", 3, "y", False), (5, "sses", 2, "", False), (4, "ing", 3, "", True), (4, "ed", 2, "", True), (4, "es", 2, "", False)):
-        if len(w) > longer and w.endswith(ending) and (not needs or re.search("[aeiouy]", w[:-cut])):
+    for ending, least, cut, more, vowel, unless in ENDINGS:
+        if len(w) > least and w.endswith(ending) and not (unless and w.endswith(unless)) and (not vowel or re.search(VOWELS, w[:-cut])):
             return w[:-cut] + more
-    return w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w
+    return w
 
 
 def normalise(word: str, config: str = "simple") -> str:

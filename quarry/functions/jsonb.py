@@ -2,7 +2,8 @@
 
 A JSON null is a value, and differs from SQL's null. Numbers are compared by value, so 1
 and 1.0 are equal. Constant right-hand sides and paths are taken apart on the driver and
-become column expressions; changes to documents go through small Arrow functions.
+become column expressions, and so do changes to documents: what stands along a constant
+path is rebuilt, and everything else is kept as it is.
 """
 
 from __future__ import annotations
@@ -10,10 +11,8 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def parse(text: Column) -> Column:
@@ -120,13 +119,15 @@ def has_all(v: Column, keys: list[str]) -> Column:
     return out
 
 
-_PATH = re.compile(r"\.(\w+)|\[\s*(\d+)\s*\]|\[\s*(\*)\s*\]|\['((?:[^'])*)'\]|\s*\?\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)")
+_PATH = re.compile(r"\.\.(\w+|\*)|\.(\w+)\(\s*\)|\.(\w+)|\[\s*(-?\d+)\s*\]|\[\s*(-?\d+)\s+to\s+(-?\d+)\s*\]|(?:\[\s*(\*)\s*\]|\.\*)|\[(?:'([^']*)'|\"([^\"]*)\")\]|\s*\?\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)")
 _TEST = re.compile(r"^\s*@((?:\.\w+|\[\d+\]|\['[^']*'\])*)\s*(==|!=|<=|>=|<|>)\s*(.+?)\s*$")
 
 
 def path_values(v: Column, path: str) -> Column:
-    """The values at a path, as an array: members, [n], [*], ['k'] and ? (tests joined by &&
-    or ||, on @ and what is below it)."""
+    """The values at a path, as an array: members, ['k'], [n] (from the end if negative),
+    [n to m], [*] and .* (an array's elements or an object's values), ..k and ..* (at any
+    depth), type(), size() and length(), and ? (tests joined by && or ||, on @ and what is
+    below it)."""
     text = re.sub(r"^\s*(?:strict|lax)?\s*\$", "", path)
     out, at = F.when(v.isNotNull(), F.array(v)).otherwise(F.array().cast("array<variant>")), 0
     while at < len(text.rstrip()):
@@ -134,16 +135,72 @@ def path_values(v: Column, path: str) -> Column:
         if not m:
             raise ValueError(f"this path isn't supported: {path!r}")
         at = m.end()
-        member, index, every, quoted, test = m.groups()
+        deep, method, member, index, low, high, _, single, double, test = m.groups()
         if test is not None:
             out = _passing(out, test)
-        elif every:
-            out = F.flatten(F.transform(out, lambda e: elements(e)))
+        elif deep:
+            out = _descendants(v, out) if deep == "*" else _below(F.concat(out, _descendants(v, out)), deep)
+        elif method:
+            out = _method(out, method)
+        elif index:
+            out = _at(out, int(index), int(index))
+        elif low:
+            out = _at(out, int(low), int(high))
+        elif member or single is not None or double is not None:
+            out = _below(out, next(k for k in (member, single, double) if k is not None))
         else:
-            out = _below(out, int(index) if index else member or quoted)
+            out = F.flatten(F.transform(out, _children))
     return out
 
 
+def _children(e: Column) -> Column:
+    return F.concat(elements(e), F.coalesce(F.map_values(_members(e)), F.array().cast("array<variant>")))
+
+
+def _members(v: Column) -> Column:
+    """An object's members as a map, null for anything else."""
+    return F.when(type_of(v) == "object", F.try_variant_get(v, "$", "map<string,variant>"))
+
+
+def _descendants(v: Column, values: Column) -> Column:
+    """All that stands below values in v, level by level. No value is deeper than v has
+    opening brackets."""
+    text = F.coalesce(F.to_json(v), F.lit(""))
+    levels = F.sequence(F.lit(0), F.length(text) - F.length(F.translate(text, "[{", "")))
+    none = F.array().cast("array<variant>")
+    start = F.struct(F.coalesce(values, none).alias("level"), none.alias("found"))
+
+    def down(state: Column, _: Column) -> Column:
+        below = F.flatten(F.transform(state["level"], _children))
+        return F.struct(below.alias("level"), F.concat(state["found"], below).alias("found"))
+
+    return F.aggregate(levels, start, down)["found"]
+
+
+def _at(values: Column, low: int, high: int) -> Column:
+    """Elements from low to high, which count from the end where they are negative."""
+
+    def own(e: Column) -> Column:
+        n = F.size(elements(e))
+        first = F.lit(low) if low >= 0 else F.greatest(n + low, F.lit(0) if low != high else n + low)
+        last = F.lit(high) if high >= 0 else n + high
+        return F.when((first >= 0) & (last >= first), F.slice(elements(e), first + 1, last - first + 1)).otherwise(F.array().cast("array<variant>"))
+
+    return F.flatten(F.transform(values, own))
+
+
+def _method(values: Column, name: str) -> Column:
+    if name == "type":
+        return F.transform(values, lambda e: F.parse_json(F.concat(F.lit('"'), type_of(e), F.lit('"'))))
+    if name == "size":
+        n = lambda e: F.when(type_of(e) == "array", F.size(elements(e)))
+    elif name == "length":
+        n = lambda e: F.when(type_of(e) == "array", F.size(elements(e))).when(type_of(e) == "object", F.size(_members(e))).when(type_of(e) == "string", F.length(F.try_variant_get(e, "$", "string")))
+    else:
+        raise ValueError(f"this method isn't supported: {name!r}")
+    return F.filter(F.transform(values, lambda e: F.parse_json(n(e).cast("string"))), lambda x: x.isNotNull())
+
+
 def _passing(values: Column, test: str) -> Column:
     return F.filter(values, lambda e: F.coalesce(_test(e, test), F.lit(False)))
 
@@ -182,88 +239,93 @@ def path_exists(v: Column, path: str) -> Column:
 # --- changes: JSON text in, JSON text out, keys in order ---------------------------------
 
 
-def _dump(x) -> str:
-    return json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+def _value(x) -> Column:
+    return F.parse_json(F.lit(json.dumps(x)))
 
 
-def _place(node, key: str | int):
-    """The key as node has it; an index from the end may be negative."""
-    if isinstance(node, list):
-        try:
-            i = int(key)
-        except ValueError:
-            return None
-        return i + len(node) if i < 0 else i
-    return str(key) if isinstance(node, dict) else None
+def _packed(nested: Column) -> Column:
+    return F.to_variant_object(nested)
 
 
-def _changed(doc, path: list, change):
-    """doc with change(parent, key) applied at the path's parent; unchanged without one."""
-    node = doc
-    for key in path[:-1]:
-        k = _place(node, key)
-        if k is None or (k not in node if isinstance(node, dict) else not 0 <= k < len(node)):
-            return doc
-        node = node[k]
-    if path and (k := _place(node, path[-1])) is not None:
-        change(node, k)
-    return doc
+def _index(key: str | int, size: Column) -> Column | None:
+    """A key's place in an array, from the end if negative; None if it isn't a number."""
+    try:
+        i = int(key)
+    except ValueError:
+        return None
+    return F.lit(i) if i >= 0 else size + i
 
 
-def _arrow(change):
-    @F.pandas_udf(StringType())
-    def run(doc: pd.Series) -> pd.Series:
-        return doc.map(lambda d: None if d is None else _dump(change(json.loads(d))))
+def _rebuilt(v: Column, path: list[str | int], in_object, in_array) -> Column:
+    """v with a change at a path. in_object(members, key) and in_array(elements, place) give
+    the parent's new members or elements; values on the way that lack the key stay."""
+    key, rest = str(path[0]), path[1:]
+    members, own = _members(v), elements(v)
+    place = _index(path[0], F.size(own))
+    if rest:
+        inside = _packed(F.transform_values(members, lambda k, x: F.when(k == key, _rebuilt(x, rest, in_object, in_array)).otherwise(x)))
+        among = v if place is None else _packed(F.transform(own, lambda x, i: F.when(i == place, _rebuilt(x, rest, in_object, in_array)).otherwise(x)))
+    else:
+        inside = _packed(in_object(members, key))
+        among = v if place is None else _packed(in_array(own, place))
+    return F.when(type_of(v) == "object", inside).when(type_of(v) == "array", among).otherwise(v)
 
-    return run
 
+def _text(v: Column) -> Column:
+    return F.to_json(v)
 
-def delete_path(doc: Column, path: list[str | int]) -> Column:
-    def drop(node, k):
-        if isinstance(node, dict):
-            node.pop(k, None)
-        elif 0 <= k < len(node):
-            del node[k]
 
-    return _arrow(lambda d: _changed(d, path, drop))(doc)
+def _without(members: Column, key: str) -> Column:
+    return F.map_filter(members, lambda k, _: k != key)
+
+
+def _with(members: Column, key: str, value: Column) -> Column:
+    return F.map_concat(_without(members, key), F.create_map(F.lit(key), value))
+
+
+def delete_path(doc: Column, path: list[str | int]) -> Column:
+    if not path:
+        return _text(parse(doc))
+    return _text(_rebuilt(parse(doc), path, _without, lambda own, place: F.filter(own, lambda _, i: i != place)))
 
 
 def set_path(doc: Column, path: list[str | int], value, create: bool = True) -> Column:
-    def put(node, k):
-        if isinstance(node, dict):
-            if create or k in node:
-                node[k] = value
-        elif 0 <= k < len(node):
-            node[k] = value
-        elif create:
-            node.insert(0 if k < 0 else len(node), value)
+    """Without create only what is there changes; an index past an array's ends adds there."""
+    if not path:
+        return _text(parse(doc))
+    new = _value(value)
 
-    return _arrow(lambda d: _changed(d, path, put))(doc)
+    def put(members: Column, key: str) -> Column:
+        return _with(members, key, new) if create else F.when(F.map_contains_key(members, key), _with(members, key, new)).otherwise(members)
 
+    def put_at(own: Column, place: Column) -> Column:
+        out = F.transform(own, lambda x, i: F.when(i == place, new).otherwise(x))
+        return F.when(place < 0, F.concat(F.array(new), own)).when(place >= F.size(own), F.concat(own, F.array(new))).otherwise(out) if create else out
 
-def insert_path(doc: Column, path: list[str | int], value, after: bool = False) -> Column:
-    def put(node, k):
-        if isinstance(node, dict):
-            node.setdefault(k, value)
-        else:
-            node.insert(min(max(k + after, 0), len(node)), value)
+    return _text(_rebuilt(parse(doc), path, put, put_at))
 
-    return _arrow(lambda d: _changed(d, path, put))(doc)
 
+def insert_path(doc: Column, path: list[str | int], value, after: bool = False) -> Column:
+    """A member that is there stays; an array's elements make room."""
+    if not path:
+        return _text(parse(doc))
+    new = _value(value)
 
-def merge(left: Column, right: Column) -> Column:
-    """left || right: members of both objects, the right ones win; else arrays end to end."""
+    def put(members: Column, key: str) -> Column:
+        return F.when(F.map_contains_key(members, key), members).otherwise(_with(members, key, new))
 
-    @F.pandas_udf(StringType())
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x, y):
-            if x is None or y is None:
-                return None
-            x, y = json.loads(x), json.loads(y)
-            if isinstance(x, dict) and isinstance(y, dict):
-                return _dump(x | y)
-            return _dump((x if isinstance(x, list) else [x]) + (y if isinstance(y, list) else [y]))
+    def put_at(own: Column, place: Column) -> Column:
+        n = F.least(F.greatest(place + int(after), F.lit(0)), F.size(own))
+        return F.concat(F.slice(own, F.lit(1), n), F.array(new), F.slice(own, n + 1, F.size(own) - n))
 
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=object)
+    return _text(_rebuilt(parse(doc), path, put, put_at))
 
-    return run(left, right)
+
+def merge(left: Column, right: Column) -> Column:
+    """left || right: members of both objects, the right ones win; else arrays end to end."""
+    a, b = parse(left), parse(right)
+    m, n = _members(a), _members(b)
+    both = _packed(F.map_concat(F.map_filter(m, lambda k, _: ~F.map_contains_key(n, k)), n))
+    listed = lambda v: F.when(type_of(v) == "array", elements(v)).otherwise(F.array(v))
+    merged = F.when((type_of(a) == "object") & (type_of(b) == "object"), both).otherwise(_packed(F.concat(listed(a), listed(b))))
+    return F.when(a.isNotNull() & b.isNotNull(), _text(merged))

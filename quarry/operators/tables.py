@@ -8,10 +8,14 @@ current). A commit table (lsn, ts) tells the times.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.recursive import kept
+
 
 class ConstraintError(ValueError):
     """A change would break a constraint."""
@@ -63,9 +67,11 @@ def delete(df: DataFrame, where: Column | None) -> DataFrame:
 
 
 def returning(before: DataFrame, after: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """Rows of `after` that `before` lacks or has otherwise."""
-    changed = after.exceptAll(before.select(after.columns))
-    return changed.select(columns)
+    """Rows of `after` whose key `before` lacks, or that it has otherwise. The key is unique."""
+    old = before.select(*(F.col(c).alias(f"_old_{c}") for c in after.columns), F.lit(True).alias("_there"))
+    same = lambda names: reduce(and_, [F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in names], F.lit(True))
+    both = after.join(old, same(key), "left")
+    return both.filter(F.col("_there").isNull() | ~same([c for c in after.columns if c not in key])).select(columns)
 
 
 @dataclass(frozen=True)
@@ -78,29 +84,37 @@ class ForeignKey:
 
 def delete_cascade(tables: dict[str, DataFrame], keys: dict[str, list[ForeignKey]], name: str, where: Column, defaults: dict[str, dict] | None = None, depth: int = 16) -> dict[str, DataFrame]:
     """All tables after rows of one are deleted, by the actions of keys that point to them.
-    Each step is a join for each key; depth bounds chains of tables that point to
-    themselves."""
+    Each step is an anti join by key for each reference. Only the columns of deleted rows
+    that others point to are carried on, written once for each level; depth bounds chains of
+    tables that point to themselves."""
     out = dict(tables)
-    gone: list[tuple[str, DataFrame]] = [(name, tables[name].filter(F.coalesce(where, F.lit(False))))]
+
+    def referred(table: str, rows: DataFrame) -> DataFrame | None:
+        columns = sorted({c for own in keys.values() for fk in own if fk.parent == table for c in fk.parent_key})
+        return kept(rows.select(columns).distinct()) if columns else None
+
+    hit = F.coalesce(where, F.lit(False))
+    out[name] = tables[name].filter(~hit)
+    gone: list[tuple[str, DataFrame | None]] = [(name, referred(name, tables[name].filter(hit)))]
     for _ in range(depth):
-        following: list[tuple[str, DataFrame]] = []
+        following: list[tuple[str, DataFrame | None]] = []
         for table, rows in gone:
-            out[table] = out[table].exceptAll(rows.select(out[table].columns))
-            for child, own in keys.items():
-                for fk in own:
-                    if fk.parent != table:
-                        continue
-                    parents = rows.select(*(F.col(p).alias(c) for p, c in zip(fk.parent_key, fk.columns))).distinct()
-                    hit = out[child].join(parents, list(fk.columns), "left_semi").select(out[child].columns)
-                    if fk.on_delete == "cascade":
-                        following.append((child, hit))
-                    elif fk.on_delete in ("set null", "set default"):
-                        values = {c: F.lit((defaults or {}).get(child, {}).get(c) if fk.on_delete == "set default" else None).cast(dict(hit.dtypes)[c]) for c in fk.columns}
-                        rest = out[child].join(parents, list(fk.columns), "left_anti").select(out[child].columns)
-                        out[child] = rest.unionByName(hit.withColumns(values).select(out[child].columns))
-                    elif not hit.isEmpty():
-                        raise ConstraintError(f"{child} has rows that point to {table}")
-        gone = [(t, r) for t, r in following if not r.isEmpty()]
+            if rows is None:
+                continue
+            for child, fk in ((child, fk) for child, own in keys.items() for fk in own if fk.parent == table):
+                parents = rows.select(*(F.col(p).alias(c) for p, c in zip(fk.parent_key, fk.columns))).distinct()
+                own, on = out[child], list(fk.columns)
+                if fk.on_delete == "cascade":
+                    following.append((child, referred(child, own.join(parents, on, "left_semi"))))
+                    out[child] = own.join(parents, on, "left_anti").select(own.columns)
+                elif fk.on_delete in ("set null", "set default"):
+                    kinds = dict(own.dtypes)
+                    values = {c: F.lit((defaults or {}).get(child, {}).get(c) if fk.on_delete == "set default" else None).cast(kinds[c]) for c in on}
+                    marked = own.join(parents.withColumn("_gone", F.lit(True)), on, "left")
+                    out[child] = marked.select(*(F.when(F.col("_gone"), values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in own.columns))
+                elif not own.join(parents, on, "left_semi").isEmpty():
+                    raise ConstraintError(f"{child} has rows that point to {table}")
+        gone = [(t, r) for t, r in following if r is not None and not r.isEmpty()]
         if not gone:
             return out
     raise ConstraintError("rows point to each other in a cycle, or too deep")

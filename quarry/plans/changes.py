@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import graph
 from quarry.operators import tables as t
 from quarry.operators.recursive import shared_dir
-from quarry.sources.files import copy_in, copy_out, markdown_lines
+from quarry.sources.files import copy_in, copy_out, export_json, markdown_lines
 from quarry.sources.tables import NAMES, read
-from quarry.streaming.ingest import files, ingest, latest
+from quarry.streaming.ingest import files, ingest, ingest_state, latest, run_to_memory, sessions, windowed
 
 
 def _log(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,6 +65,98 @@ def vector_as_of(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("score", score(F.col("embedding"), probe(spark, folder))).orderBy(F.desc("score"), "vec_id").limit(5).select("vec_id", F.round("score", 4).alias("score"))
 
 
+def graph_at_lsn(spark: SparkSession, folder: str) -> DataFrame:
+    """A traversal over the edges that were current at a commit: customers' last orders by
+    then, and these orders' parts."""
+    orders = t.as_of(_history(spark, folder), 700).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("begin_lsn").cast("string")).alias("dst"), F.lit("LAST").alias("type"))
+    lines = read(spark, folder, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("CONTAINS").alias("type"))
+    seeds = orders.select(F.col("src").alias("id")).distinct()
+    return graph.traverse(seeds, orders.unionAll(lines), [graph.Hop("LAST"), graph.Hop("CONTAINS")]).select("source", "node")
+
+
+def rrf_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    """Fused ranks of two signals over rows that were current at a commit."""
+    from quarry.functions.vectors import score
+    from quarry.operators.retrieval import rank_fusion
+    from quarry.plans.retrieval import probe
+
+    now = t.as_of(_history(spark, folder), 700).select(F.col("id").alias("vec_id"), "o_totalprice")
+    first = read(spark, folder, "embeddings").join(now, "vec_id", "left_semi").select("vec_id", F.round(score(F.col("embedding"), probe(spark, folder)), 4).alias("value"))
+    return rank_fusion([first, now.select("vec_id", F.col("o_totalprice").alias("value"))], "vec_id").select("vec_id", F.round("score", 8).alias("score"))
+
+
+def checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Constraints that hold: a check (null passes), no nulls, unique, and a reference."""
+    own = read(spark, folder, "customer").withColumn("c_acctbal", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")))
+    own = t.check_unique(t.check_not_null(t.check(own, F.col("c_acctbal") > 0), "c_name"), "c_custkey")
+    own = t.check_reference(own, t.ForeignKey(("c_nationkey",), "nation", ("n_nationkey",)), read(spark, folder, "nation"))
+    return own.select("c_custkey", "c_acctbal")
+
+
+def compare_and_set(spark: SparkSession, folder: str) -> DataFrame:
+    """A row changes if it has the version that was read."""
+    rows = read(spark, folder, "supplier").select("s_suppkey", "s_acctbal", F.lit(1).cast("long").alias("version"))
+    once = t.update_if_version(rows, F.col("s_suppkey") == 3, 1, {"s_acctbal": F.lit(1.5)})
+    return t.update_if_version(once, F.col("s_suppkey") == 3, 2, {"s_acctbal": F.col("s_acctbal") * 2})
+
+
+def overlay(spark: SparkSession, folder: str) -> DataFrame:
+    """Staged changes with save points: the second is rolled back, the third stays."""
+    own = t.Overlay(read(spark, folder, "supplier").select("s_suppkey", "s_acctbal"), ["s_suppkey"])
+    own.stage(lambda df: t.update(df, {"s_acctbal": F.lit(0.0)}, F.col("s_acctbal") < 0)).savepoint("clean")
+    own.stage(lambda df: t.delete(df, F.col("s_suppkey") > 2)).rollback_to("clean")
+    return own.stage(lambda df: t.delete(df, F.col("s_suppkey") == 1)).release("clean").current
+
+
+def json_export(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders out as JSON lines and in again."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    own = read(spark, folder, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderpriority")).alias("priority"), "o_totalprice")
+    export_json(own, path)
+    return spark.read.schema(own.schema).json(path)
+
+
+def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    base = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    own = read(spark, folder, "events").select("event_type", "user_id", "value", F.timestamp_seconds(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("at"))
+    own.repartition(3, "user_id").write.parquet(base)
+    return files(spark, base, own.schema, per_batch=3)
+
+
+def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts by event type and hour of event time, from a stream."""
+    rows = windowed(_event_stream(spark, folder), "at", "1 hour", "1 day", ["event_type"], F.count("*").alias("n"))
+    found = run_to_memory(rows, f"windows_{uuid.uuid4().hex}")
+    return found.select("event_type", F.unix_timestamp("window.start").alias("start"), "n")
+
+
+def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Users' sessions, which half an hour without events ends, from a stream."""
+    found = run_to_memory(sessions(_event_stream(spark, folder), "at", "30 minutes", "1 day", ["user_id"], F.count("*").alias("n")), f"sessions_{uuid.uuid4().hex}")
+    return found.select("user_id", F.unix_timestamp("session.start").alias("start"), "n")
+
+
+def stream_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """A running state for each user, kept by a function of our own: events and best value."""
+    base = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    ingest_state(_event_stream(spark, folder), f"{base}/out", f"{base}/checkpoint")
+    return latest(spark.read.parquet(f"{base}/out"), ["user_id"]).select("user_id", "n", F.round("best", 4).alias("best"))
+
+
+def catalogue_references(spark: SparkSession, folder: str) -> DataFrame:
+    """What pg_constraint would tell of declared references, with whether each holds."""
+    keys = {
+        "nation": t.ForeignKey(("n_regionkey",), "region", ("r_regionkey",)), "customer": t.ForeignKey(("c_nationkey",), "nation", ("n_nationkey",)), "supplier": t.ForeignKey(("s_nationkey",), "nation", ("n_nationkey",)),
+        "orders": t.ForeignKey(("o_custkey",), "customer", ("c_custkey",)), "lineitem": t.ForeignKey(("l_orderkey",), "orders", ("o_orderkey",)),
+    }
+    out = []
+    for name, fk in keys.items():
+        own, parent = read(spark, folder, name), read(spark, folder, fk.parent)
+        missing = own.join(parent, F.col(fk.columns[0]) == F.col(fk.parent_key[0]), "left_anti").agg(F.count("*").alias("n_missing"))
+        out.append(missing.select(F.lit(name).alias("table_name"), F.lit(fk.columns[0]).alias("column_name"), F.lit(fk.parent).alias("parent"), "n_missing"))
+    return reduce(DataFrame.unionAll, out)
+
+
 def _new_customers(spark: SparkSession, folder: str) -> DataFrame:
     own = read(spark, folder, "customer")
     return own.filter("c_custkey < 10").withColumns({"c_custkey": F.col("c_custkey") + 1495, "c_acctbal": F.lit(0.5), "c_name": F.concat(F.lit("New"), F.col("c_custkey").cast("string"))})
@@ -168,6 +262,31 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         f"""SELECT vec_id, round(CAST(list_cosine_similarity(embedding, q) AS DOUBLE), 4) AS score FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)
             WHERE vec_id IN (SELECT id FROM {_H} h WHERE begin_lsn <= 700) ORDER BY list_cosine_similarity(embedding, q) DESC, vec_id LIMIT 5""",
     ),
+    "graph_at_lsn": (graph_at_lsn, f"SELECT DISTINCT 'c' || id AS source, 'p' || l_partkey AS node FROM {_H} h JOIN lineitem ON l_orderkey = begin_lsn WHERE begin_lsn <= 700 AND (end_lsn IS NULL OR end_lsn > 700)"),
+    "rrf_as_of": (
+        rrf_as_of,
+        f"""WITH h AS (SELECT id, o_totalprice AS price FROM {_H.replace("o_orderstatus,", "o_orderstatus, o_totalprice,")} h WHERE begin_lsn <= 700 AND (end_lsn IS NULL OR end_lsn > 700)),
+            r AS (SELECT vec_id, round(CAST(list_cosine_similarity(embedding, q) AS DOUBLE), 4) AS c FROM embeddings JOIN h ON id = vec_id, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)),
+            a AS (SELECT vec_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY c DESC, vec_id)) AS p FROM r), b AS (SELECT id AS vec_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY price DESC, id)) AS p FROM h)
+            SELECT vec_id, round(sum(p), 8) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) t GROUP BY vec_id""",
+    ),
+    "checked": (checked, "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS c_acctbal FROM customer"),
+    "compare_and_set": (compare_and_set, "SELECT s_suppkey, CASE WHEN s_suppkey = 3 THEN 3.0 ELSE s_acctbal END AS s_acctbal, CAST(CASE WHEN s_suppkey = 3 THEN 3 ELSE 1 END AS BIGINT) AS version FROM supplier"),
+    "overlay": (overlay, "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_suppkey <> 1"),
+    "json_export": (json_export, "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN o_orderpriority END AS priority, o_totalprice FROM orders"),
+    "stream_windows": (stream_windows, "SELECT event_type, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2"),
+    "stream_sessions": (
+        stream_sessions,
+        """WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events),
+            b AS (SELECT user_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s) < 1800 THEN 0 ELSE 1 END AS new_one FROM e),
+            g AS (SELECT user_id, s, sum(new_one) OVER (PARTITION BY user_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM b)
+            SELECT user_id, min(s) AS start, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY user_id, k""",
+    ),
+    "stream_totals": (stream_totals, "SELECT user_id, CAST(count(*) AS BIGINT) AS n, round(max(value), 4) AS best FROM events GROUP BY user_id"),
+    "catalogue_references": (
+        catalogue_references,
+        "SELECT * FROM (VALUES ('nation', 'n_regionkey', 'region'), ('customer', 'c_nationkey', 'nation'), ('supplier', 's_nationkey', 'nation'), ('orders', 'o_custkey', 'customer'), ('lineitem', 'l_orderkey', 'orders')) v(table_name, column_name, parent), (SELECT CAST(0 AS BIGINT) AS n_missing)",
+    ),
     "insert_nothing": (insert_nothing, f"SELECT c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT * FROM {_NEW} n WHERE c_custkey NOT IN (SELECT c_custkey FROM customer)"),
     "upsert": (
         upsert,

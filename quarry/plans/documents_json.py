@@ -42,6 +42,16 @@ def json_path_filter(spark: SparkSession, folder: str) -> DataFrame:
     return _events(spark, folder).filter(found).select("event_id")
 
 
+def json_path_methods(spark: SparkSession, folder: str) -> DataFrame:
+    """Descent to any depth, and methods."""
+    v = F.col("v")
+    first = lambda path: jsonb.get_text(F.element_at(jsonb.path_values(v, path), 1))
+    return _events(spark, folder).select(
+        "event_id", first("$..deep").alias("deep"), F.size(jsonb.path_values(v, "$..*")).cast("long").alias("n_all"), first("$.list.size()").alias("n_list"), first("$.in.type()").alias("kind"), first("$.tag.length()").alias("n_tag"),
+        first("$.list[-1]").alias("last"), F.size(jsonb.path_values(v, "$.list[0 to 1]")).cast("long").alias("n_range"),
+    )
+
+
 def json_types(spark: SparkSession, folder: str) -> DataFrame:
     v = F.col("v")
     kinds = [jsonb.type_of(jsonb.get(v, k)).alias(f"t_{k}") for k in ("k", "tag", "list", "in")]
@@ -49,13 +59,13 @@ def json_types(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def json_each(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _events(spark, folder).filter("event_id < 500")
+    rows = _events(spark, folder)
     out = rows.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("event_id", "key", F.to_json("value").alias("value"))
     return out
 
 
 def json_elements(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _events(spark, folder).filter("event_id < 500").select("event_id", F.explode(jsonb.elements(jsonb.get(F.col("v"), "list"))).alias("e"))
+    rows = _events(spark, folder).select("event_id", F.explode(jsonb.elements(jsonb.get(F.col("v"), "list"))).alias("e"))
     return rows.select("event_id", jsonb.get_text(F.col("e")).alias("element"))
 
 
@@ -68,13 +78,13 @@ def json_build(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def json_change(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _events(spark, folder).filter("event_id < 500")
+    rows = _events(spark, folder)
     doc = jsonb.set_path(jsonb.delete_path(F.col("doc"), ["in", "deep"]), ["tag"], "new")
     return rows.select("event_id", jsonb.insert_path(doc, ["list", 0], True).alias("doc"))
 
 
 def json_merge(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "events").filter("event_id < 500").select("event_id", jsonb.merge(F.col("props"), F.lit('{"z": [1]}')).alias("doc"))
+    return read(spark, folder, "events").select("event_id", jsonb.merge(F.col("props"), F.lit('{"z": [1]}')).alias("doc"))
 
 
 _E = """(SELECT event_id, event_type, user_id, json_extract_string(props, '$.k') AS k, event_id % 5 AS deep,
@@ -85,17 +95,21 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "json_contains": (json_contains, f"SELECT event_id FROM {_E} WHERE json_contains(doc, '{{\"tag\": \"click\", \"in\": {{\"deep\": 3}}, \"list\": [\"x\"]}}')"),
     "json_keys": (json_keys, 'SELECT event_id, true AS has, true AS "any", false AS "all", true AS inside FROM events'),
     "json_path_filter": (json_path_filter, f"SELECT event_id FROM {_E} WHERE deep = 3 AND user_id > 100"),
+    "json_path_methods": (
+        json_path_methods,
+        "SELECT event_id, CAST(event_id % 5 AS VARCHAR) AS deep, CAST(7 AS BIGINT) AS n_all, '2' AS n_list, 'object' AS kind, CAST(len(event_type) AS VARCHAR) AS n_tag, 'x' AS last, CAST(2 AS BIGINT) AS n_range FROM events",
+    ),
     "json_types": (json_types, "SELECT event_id, 'number' AS t_k, 'string' AS t_tag, 'array' AS t_list, 'object' AS t_in, CAST(2 AS BIGINT) AS n, 'in,k,list,tag' AS keys FROM events"),
     "json_each": (
         json_each,
         f"""SELECT event_id, key, CASE key WHEN 'k' THEN k WHEN 'tag' THEN '"' || event_type || '"' WHEN 'list' THEN '[' || user_id || ',"x"]' ELSE '{{"deep":' || deep || '}}' END AS value
-            FROM {_E}, (SELECT unnest(['k', 'tag', 'list', 'in']) AS key) WHERE event_id < 500""",
+            FROM {_E}, (SELECT unnest(['k', 'tag', 'list', 'in']) AS key)""",
     ),
-    "json_elements": (json_elements, f"SELECT event_id, unnest([CAST(user_id AS VARCHAR), 'x']) AS element FROM {_E} WHERE event_id < 500"),
+    "json_elements": (json_elements, f"SELECT event_id, unnest([CAST(user_id AS VARCHAR), 'x']) AS element FROM {_E}"),
     "json_record": (json_record, f"SELECT event_id, CAST(k AS BIGINT) AS k, event_type AS tag FROM {_E}"),
     "json_build": (json_build, """SELECT n_nationkey, '{"name":"' || n_name || '","ids":[' || n_nationkey || ',' || n_regionkey || ']}' AS doc FROM nation"""),
-    "json_change": (json_change, f"""SELECT event_id, '{{"in":{{}},"k":' || k || ',"list":[true,' || user_id || ',"x"],"tag":"new"}}' AS doc FROM {_E} WHERE event_id < 500"""),
-    "json_merge": (json_merge, """SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || ',"z":[1]}' AS doc FROM events WHERE event_id < 500"""),
+    "json_change": (json_change, f"""SELECT event_id, '{{"in":{{}},"k":' || k || ',"list":[true,' || user_id || ',"x"],"tag":"new"}}' AS doc FROM {_E}"""),
+    "json_merge": (json_merge, """SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || ',"z":[1]}' AS doc FROM events"""),
 }
 
 

@@ -130,12 +130,36 @@ def detach_delete(spark: SparkSession, folder: str) -> DataFrame:
     return rest.groupBy("type").agg(F.count("*").alias("n"))
 
 
+def _places(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers with their nations, and these with their regions, by weight."""
+    own = edges(spark, folder).filter("type = 'IN_REGION' or type = 'IN_NATION' and src like 's%'")
+    return own.select("src", "dst", "weight")
+
+
 def leiden(spark: SparkSession, folder: str) -> DataFrame:
-    """Communities of suppliers that share many parts, by shared parts as weights."""
-    parts = edges(spark, folder).filter("type = 'SUPPLIED_BY'").select("src", "dst")
-    a, b = parts.withColumnRenamed("dst", "a"), parts.withColumnRenamed("dst", "b")
-    shared = a.join(b, "src").filter("a < b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").cast("double").alias("weight")).filter("weight > 1")
-    return communities(shared)
+    """Communities of suppliers, nations and regions."""
+    return communities(_places(spark, folder))
+
+
+def leiden_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Communities joined back to a table: suppliers' balances by community."""
+    own = read(spark, folder, "supplier").withColumn("id", F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))).join(leiden(spark, folder), "id")
+    return own.groupBy("community").agg(F.count("*").alias("n"), F.round(F.sum("s_acctbal"), 2).alias("total"))
+
+
+def graph_aggregate(spark: SparkSession, folder: str) -> DataFrame:
+    """Aggregates over the ends of a traversal: customers' parts and what these weigh."""
+    own = edges(spark, folder)
+    ends = graph.traverse(read(spark, folder, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id")), own, [Hop("PLACED"), Hop("CONTAINS")])
+    sizes = read(spark, folder, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"), "p_size")
+    return ends.join(sizes, "node").groupBy("source").agg(F.count("*").alias("n"), F.sum("p_size").alias("size"))
+
+
+def graph_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """(c:customer {segment: BUILDING})-[:PLACED]->(o:order {status: F}): labels and properties of nodes."""
+    c = read(spark, folder, "customer").filter("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
+    o = read(spark, folder, "orders").filter("o_orderstatus = 'F'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
+    return graph.traverse(c, edges(spark, folder), [Hop("PLACED")]).join(o, "node", "left_semi").select("source", "node")
 
 
 _E = """(SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst, 'PLACED' AS type, 1.0::DOUBLE AS weight FROM orders
@@ -197,6 +221,12 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "edge_upsert": (edge_upsert, "SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'IN_REGION' AS type, CASE WHEN n_nationkey = 0 AND n_regionkey = 0 THEN 9.0 ELSE 1.0 END::DOUBLE AS weight FROM nation UNION ALL SELECT 'n99', 'r1', 'IN_REGION', 2.0::DOUBLE"),
     "detach_delete": (detach_delete, f"SELECT type, CAST(count(*) AS BIGINT) AS n FROM {_E} e WHERE type IN ('IN_REGION', 'IN_NATION') AND src NOT IN ('n1', 'n2') AND dst NOT IN ('n1', 'n2') GROUP BY type"),
     "leiden": (leiden, None),
+    "leiden_join": (leiden_join, None),
+    "graph_aggregate": (
+        graph_aggregate,
+        "SELECT 'c' || o_custkey AS source, CAST(count(*) AS BIGINT) AS n, CAST(sum(p_size) AS BIGINT) AS size FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey) t JOIN part ON p_partkey = l_partkey GROUP BY o_custkey",
+    ),
+    "graph_labels": (graph_labels, "SELECT 'c' || c_custkey AS source, 'o' || o_orderkey AS node FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'F'"),
 }
 
 

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.aggregates import array_agg
-from quarry.operators.filters import Query, where
+from quarry.operators.filters import Query, parse_value, where
 from quarry.operators.recursive import closure
+from quarry.operators.retrieval import global_rank
 from quarry.sources.tables import read, sql
 
 SAME = {
@@ -86,10 +87,26 @@ SAME = {
         FROM orders GROUP BY o_orderpriority""",
     "percentile_disc": "SELECT o_orderpriority, percentile_disc(0.25) WITHIN GROUP (ORDER BY o_totalprice) AS q1 FROM orders GROUP BY o_orderpriority",
     "mode": "SELECT mode() WITHIN GROUP (ORDER BY o_orderstatus) AS status FROM orders",
+    "agg_rollup": """
+        SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS BIGINT) AS n, CAST(grouping(o_orderpriority) AS BIGINT) AS is_total
+        FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)""",
+    "agg_cube": "SELECT c_mktsegment, c_nationkey, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)",
+    "agg_grouping_sets": "SELECT p_brand, p_type, CAST(max(p_size) AS BIGINT) AS largest FROM part GROUP BY GROUPING SETS ((p_brand), (p_type), ())",
+    # functions
+    "functions_text": """
+        SELECT p_partkey, upper(p_name) AS up, lower(p_brand) AS low, length(p_name) AS n, substr(p_name, 2, 4) AS part, replace(p_name, 'e', '') AS less, trim('  x ') AS bare,
+               lpad(p_brand, 10, '*') AS padded, reverse(p_type) AS turned, split_part(p_name, ' ', 2) AS second, concat(p_brand, '/', p_type) AS both, repeat('ab', 2) AS twice FROM part""",
+    "functions_math": """
+        SELECT p_partkey, abs(-p_size) AS a, round(sqrt(p_size), 6) AS s, CAST(floor(p_retailprice) AS BIGINT) AS f, CAST(ceil(p_retailprice) AS BIGINT) AS c, round(ln(p_size), 6) AS l, round(exp(p_size / 50.0), 6) AS e,
+               round(power(p_size, 2), 2) AS p, CAST(sign(p_size - 25.0) AS INTEGER) AS g, greatest(p_size, 10) AS most, least(p_size, 10) AS fewest, coalesce(NULLIF(p_size, 3), 0) AS c0 FROM part""",
+    "functions_date": """
+        SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, CAST(date_trunc('month', o_orderdate) AS DATE) AS first_day, CAST(o_orderdate + INTERVAL 3 DAY AS DATE) AS later,
+               EXTRACT(quarter FROM o_orderdate) AS q, last_day(CAST(o_orderdate AS DATE)) AS month_end FROM orders""",
+    "functions_session": "SELECT current_database() IS NOT NULL AS db, current_schema() IS NOT NULL AS own_schema, version() IS NOT NULL AS release, now() IS NOT NULL AS at, current_date IS NOT NULL AS today",
     # windows
     "win_rank": """
         SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr
-        FROM orders WHERE o_custkey < 200 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority DESC NULLS LAST, o_orderkey)""",
+        FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority DESC NULLS LAST, o_orderkey)""",
     "win_peers": "SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS rk, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dr FROM orders",
     "win_distribution": """
         SELECT o_orderkey, round(percent_rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice), 8) AS pr,
@@ -143,6 +160,12 @@ PAIRS = {
         "SELECT c_custkey, o_orderkey, o_orderdate FROM customer c JOIN LATERAL (SELECT o_orderkey, o_orderdate FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1)",
         "SELECT c_custkey, o_orderkey, o_orderdate FROM customer c, LATERAL (SELECT o_orderkey, o_orderdate FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) l",
     ),
+    "functions_nested": (
+        """SELECT p_partkey, size(split(p_name, ' ')) AS n, array_join(array_sort(split(p_name, ' ')), '+') AS sorted, array_contains(split(p_name, ' '), 'red') AS red, map('a', p_size)['a'] AS from_map,
+           array_join(transform(split(p_name, ' '), x -> upper(x)), ' ') AS upped, size(filter(split(p_name, ' '), x -> length(x) > 4)) AS long FROM part""",
+        """SELECT p_partkey, CAST(len(w) AS INTEGER) AS n, array_to_string(list_sort(w), '+') AS sorted, list_contains(w, 'red') AS red, p_size AS from_map,
+           array_to_string(list_transform(w, lambda x: upper(x)), ' ') AS upped, CAST(len(list_filter(w, lambda x: len(x) > 4)) AS INTEGER) AS long FROM (SELECT *, string_split(p_name, ' ') AS w FROM part)""",
+    ),
     "string_agg": (
         "SELECT p_brand, listagg(p_name, ',') WITHIN GROUP (ORDER BY p_name, p_partkey) AS names FROM part WHERE p_size < 5 GROUP BY p_brand",
         "SELECT p_brand, string_agg(p_name, ',' ORDER BY p_name, p_partkey) AS names FROM part WHERE p_size < 5 GROUP BY p_brand",
@@ -156,6 +179,25 @@ def parameters(spark: SparkSession, folder: str) -> DataFrame:
     return sql(spark, folder, text, {"least": 480000.0, "kinds": F.array(F.lit("1-URGENT"), F.lit("5-LOW")), "mark": "p"})
 
 
+def agg_parameter(spark: SparkSession, folder: str) -> DataFrame:
+    """Aggregates of parameters."""
+    text = "SELECT o_orderstatus, CAST(sum(:step) AS BIGINT) AS total, max(:mark) AS mark, round(avg(o_totalprice * :rate), 4) AS mean FROM orders GROUP BY o_orderstatus"
+    return sql(spark, folder, text, {"step": 3, "mark": "p", "rate": 0.5})
+
+
+def filter_parser(spark: SparkSession, folder: str) -> DataFrame:
+    """Conditions whose values come as text."""
+    condition = where().gte("p_size", parse_value("45", "int")).eq("p_brand", parse_value("Brand#2")).contains_any("kinds", parse_value("[ECONOMY, STANDARD]", "string[]"))
+    rows = read(spark, folder, "part").withColumn("kinds", F.array("p_type"))
+    return Query(rows).where(condition).list().select("p_partkey", "p_size", "p_type")
+
+
+def chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """A listing in chunks of 400 rows by key: each chunk's number, first and last key."""
+    rows = global_rank(read(spark, folder, "orders").select("o_orderkey"), [F.asc("o_orderkey")])
+    return rows.groupBy(F.floor((F.col("place") - 1) / 400).alias("chunk")).agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"), F.count("*").alias("n"))
+
+
 def array_agg_nulls(spark: SparkSession, folder: str) -> DataFrame:
     """Elements in order, nulls kept; shown as text."""
     x = F.when(F.col("p_size") % 2 == 0, F.col("p_size"))
@@ -165,7 +207,7 @@ def array_agg_nulls(spark: SparkSession, folder: str) -> DataFrame:
 
 def recursive_union(spark: SparkSession, folder: str) -> DataFrame:
     """A closure over a graph with cycles, which ends since rows don't repeat."""
-    steps = read(spark, folder, "orders").filter("o_orderkey < 3000").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1500).alias("dst"))
+    steps = read(spark, folder, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * 7 % 1499).alias("dst"))
     start = spark.range(1).select(F.lit(7).cast("long").alias("id"))
     return closure(start, lambda new: new.join(steps, new["id"] == steps["src"]).select(F.col("dst").alias("id")))
 
@@ -201,6 +243,12 @@ def rank_unordered(spark: SparkSession, folder: str) -> DataFrame:
 
 
 FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "agg_parameter": (agg_parameter, "SELECT o_orderstatus, CAST(sum(3) AS BIGINT) AS total, 'p' AS mark, round(avg(o_totalprice * 0.5), 4) AS mean FROM orders GROUP BY o_orderstatus"),
+    "filter_parser": (filter_parser, "SELECT p_partkey, p_size, p_type FROM part WHERE p_size >= 45 AND p_brand = 'Brand#2' AND p_type IN ('ECONOMY', 'STANDARD')"),
+    "chunks": (
+        chunks,
+        "SELECT CAST(chunk AS BIGINT) AS chunk, min(o_orderkey) AS first, max(o_orderkey) AS last, CAST(count(*) AS BIGINT) AS n FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 400 AS chunk FROM orders) t GROUP BY chunk",
+    ),
     "parameters": (parameters, "SELECT o_orderkey, 'p' AS mark FROM orders WHERE o_totalprice > 480000.0 AND o_orderpriority IN ('1-URGENT', '5-LOW')"),
     "array_agg_nulls": (
         array_agg_nulls,
@@ -208,7 +256,7 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     ),
     "recursive_union": (
         recursive_union,
-        "WITH RECURSIVE t AS (SELECT CAST(7 AS BIGINT) AS id UNION SELECT o.o_orderkey % 1500 FROM t JOIN orders o ON o.o_custkey = t.id WHERE o.o_orderkey < 3000) SELECT id FROM t",
+        "WITH RECURSIVE t AS (SELECT CAST(7 AS BIGINT) AS id UNION SELECT o.o_orderkey * 7 % 1499 FROM t JOIN orders o ON o.o_custkey = t.id) SELECT id FROM t",
     ),
     "filter_builder": (filter_builder, "SELECT p_partkey, p_type, p_size FROM part WHERE p_brand = 'Brand#2' AND (p_size > 45 OR p_retailprice BETWEEN 900 AND 905) AND NOT (p_type = 'ECONOMY')"),
     "filter_arrays": (

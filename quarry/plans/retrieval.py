@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quarry.functions import fts, vectors
 from quarry.functions.aggregates import vector_avg
 from quarry.operators.filters import Query, where
-from quarry.operators.retrieval import Cells, knn, product_codebooks, product_codes, product_distance, rank_fusion
+from quarry.operators.retrieval import Cells, knn, knn_join, product_codebooks, product_codes, product_distance, rank_fusion, search
+from quarry.operators.retrieval import max_sim as max_sim_by
 from quarry.sources.tables import read, sql
 
 Q = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
@@ -80,10 +81,8 @@ def rrf(spark: SparkSession, folder: str) -> DataFrame:
 
 def max_sim(spark: SparkSession, folder: str) -> DataFrame:
     """Late interaction: vectors of a label are a document's tokens."""
-    rows = read(spark, folder, "embeddings")
-    docs = rows.filter("vec_id < 200").groupBy("label").agg(F.collect_list("embedding").alias("tokens"))
     query = [probe(spark, folder, 0), probe(spark, folder, 1)]
-    return docs.select("label", F.round(vectors.max_sim(query, F.col("tokens")), 4).alias("score"))
+    return max_sim_by(read(spark, folder, "embeddings"), query, "label").select("label", F.round("score", 4).alias("score"))
 
 
 def scalar_quantised(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,20 +98,34 @@ def finite_quantised(spark: SparkSession, folder: str) -> DataFrame:
 
 def cells_search(spark: SparkSession, folder: str) -> DataFrame:
     """A partitioned search; all cells are probed, so it equals the exact one."""
-    cells = Cells(read(spark, folder, "embeddings"), 8)
+    cells = Cells.build(read(spark, folder, "embeddings"), 8)
     return cells.search(probe(spark, folder), 10, "vec_id", probes=8).select("vec_id", F.round("score", 4).alias("score"))
 
 
+def auto_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact or by cells, as the number of rows has it."""
+    rows = read(spark, folder, "embeddings")
+    found = search(rows, probe(spark, folder), 10, "vec_id", Cells.build(rows, 4), exact_below=1 << 30)
+    return found.select("vec_id", F.round("score", 4).alias("score"))
+
+
+def knn_join_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest of each vector whose id is divisible by 100."""
+    rows = read(spark, folder, "embeddings")
+    found = knn_join(rows.filter("vec_id % 100 = 0"), rows, 5, "vec_id", "vec_id")
+    return found.select("query", "id", F.round("score", 4).alias("score"), F.col("place").cast("long").alias("place"))
+
+
 def product_quantised(spark: SparkSession, folder: str) -> DataFrame:
     """Nearest by codes, then exact scores for the best hundred."""
     rows, q = read(spark, folder, "embeddings"), probe(spark, folder)
     books = product_codebooks(rows, 8, 16)
-    near = rows.withColumn("near", product_distance(product_codes(F.col("embedding"), books), q, books)).orderBy("near", "vec_id").limit(100)
+    near = rows.withColumn("near", product_distance(product_codes(F.col("embedding"), books, spark), q, books)).orderBy("near", "vec_id").limit(100)
     return knn(near, q, 10, "vec_id", metric="l2").select("vec_id", F.round("score", 4).alias("score"))
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "documents").filter("lang = 'en'").select("doc_id", fts.vector(F.col("text")).alias("v"))
+    return read(spark, folder, "documents").select("doc_id", fts.vector(F.col("text")).alias("v"))
 
 
 def fts_match(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,7 +150,7 @@ def fts_vector(spark: SparkSession, folder: str) -> DataFrame:
     return items.select("item_id", fts.vector_text(fts.vector(F.col("text"), "english")).alias("vector"))
 
 
-_WORDS = "(SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}_]+') AS w FROM documents WHERE lang = 'en')"
+_WORDS = "(SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}_]+') AS w FROM documents)"
 _STOP = "(" + ", ".join(f"'{w}'" for w in fts.STOP_WORDS) + ")"
 
 
@@ -178,7 +191,7 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "max_sim": (
         max_sim,
         """WITH q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 2),
-           t AS (SELECT label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 200)
+           t AS (SELECT label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
            SELECT label, round(sum(best), 4) AS score FROM (SELECT label, qid, max(list_inner_product(e, q)) AS best FROM t, q GROUP BY label, qid) x GROUP BY label""",
     ),
     "scalar_quantised": (
@@ -193,6 +206,12 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
            SELECT vec_id, round(sum(CAST(CAST(round((tanh(x) + 1) / 2 * (n - 1)) / (n - 1) * 2 - 1 AS FLOAT) AS DOUBLE)), 3) AS total FROM x GROUP BY vec_id""",
     ),
     "cells_search": (cells_search, _nearest(_COS)),
+    "auto_search": (auto_search, _nearest(_COS)),
+    "knn_join": (
+        knn_join_queries,
+        f"""WITH p AS (SELECT a.vec_id AS query, b.vec_id AS id, CAST(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS DOUBLE) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)
+            SELECT query, id, round(s, 4) AS score, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS place FROM p QUALIFY place <= 5""",
+    ),
     "product_quantised": (product_quantised, None),
     "fts_match": (fts_match, f"SELECT doc_id FROM {_WORDS} t WHERE list_contains(w, 'eren') AND NOT list_contains(w, 'tion')"),
     "fts_phrase": (fts_phrase, f"SELECT doc_id FROM {_WORDS} t WHERE list_contains(list_zip(w, w[2:]), ROW('of', 'the'))"),

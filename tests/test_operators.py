@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import itertools
+import json
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -13,7 +16,7 @@ from quarry.operators.communities import communities, modularity
 from quarry.operators.filters import Query, parse_value, where
 from quarry.operators.graph import Hop
 from quarry.operators.recursive import closure
-from quarry.operators.retrieval import Cells, global_rank, knn, knn_join, rank_fusion
+from quarry.operators.retrieval import Cells, global_rank, knn, knn_join, product_codebooks, product_codes, product_distance, rank_fusion, search
 from quarry.streaming.ingest import files, ingest, run_to_memory, windowed
 
 
@@ -67,21 +70,70 @@ def test_rank_fusion_and_global_rank(spark):
 def test_knn_join_equals_knn(spark, folder):
     rows = spark.read.parquet(f"{folder}/embeddings.parquet")
     queries = rows.filter("vec_id % 100 = 0")
-    got = {(r["query"], r["place"]): r["id"] for r in knn_join(queries, rows, 5, "vec_id", "vec_id", block=3).collect()}
+    got = {(r["query"], r["place"]): r["id"] for r in knn_join(queries, rows, 5, "vec_id", "vec_id", block_bytes=2048).collect()}
     for q in queries.collect():
         want = [r["vec_id"] for r in knn(rows, [float(x) for x in q["embedding"]], 5, "vec_id").collect()]
         assert [got[q["vec_id"], k] for k in range(1, 6)] == want
 
 
-def test_cells_recall(spark, folder):
-    rows = spark.read.parquet(f"{folder}/embeddings.parquet").cache()
-    cells, hit, total = Cells(rows, 6), 0, 0
-    for q in rows.filter("vec_id % 100 = 0").collect():
-        v = [float(x) for x in q["embedding"]]
-        want = {r["vec_id"] for r in knn(rows, v, 10, "vec_id").collect()}
-        hit += len(want & {r["vec_id"] for r in cells.search(v, 10, "vec_id", probes=5).collect()})
-        total += 10
-    assert hit / total >= 0.9
+def clustered(spark, n=20_000, size=16, groups=40):
+    """Vectors about centres, as embeddings of texts are."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(groups, size))
+    rows = centres[rng.integers(0, groups, n)] + 0.25 * rng.normal(size=(n, size))
+    return spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": rows.tolist()})).cache()
+
+
+def brute_recall(rows, queries, search, k=10):
+    table = rows.select("vec_id", "embedding").toPandas()
+    matrix, ids = np.stack(table["embedding"].to_numpy()), table["vec_id"].to_numpy()
+    hit = 0
+    for q in queries:
+        v = np.array(q, float)
+        s = ((matrix - v) ** 2).sum(1)
+        hit += len(set(ids[np.lexsort((ids, s))[:k]].tolist()) & {r["vec_id"] for r in search([float(x) for x in q]).collect()})
+    return hit / (k * len(queries))
+
+
+def test_cells_recall_where_most_are_not_read(spark, tmp_path):
+    """A fifth of the cells is read; queries are rows whose id is divisible by 100 (a part of them here)."""
+    rows = clustered(spark)
+    Cells.build(rows, 40, str(tmp_path / "cells"), sample=5000)
+    cells = Cells.open(spark, str(tmp_path / "cells"))
+    assert cells.rows.count() == rows.count()
+    queries = [r["embedding"] for r in rows.filter("vec_id % 1000 = 0").collect()]
+    found = lambda v: cells.search(v, 10, "vec_id", probes=8, metric="l2")
+    assert brute_recall(rows, queries, found) >= 0.9
+    plan = found([float(x) for x in queries[0]])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan.replace("PartitionFilters: [isnotnull(cell", "PartitionFilters: [cell")
+
+
+def test_product_codes_recall(spark):
+    rows = clustered(spark, 6000)
+    books = product_codebooks(rows, 8, 32, sample=3000)
+    coded = rows.withColumn("codes", product_codes(F.col("embedding"), books, spark)).cache()
+    found = lambda v: knn(coded.orderBy(product_distance(F.col("codes"), v, books), "vec_id").limit(200), v, 10, "vec_id", metric="l2")
+    queries = [r["embedding"] for r in rows.filter("vec_id % 300 = 0").collect()]
+    assert brute_recall(rows, queries, found) >= 0.9
+
+
+def test_search_is_exact_below_a_size(spark, folder):
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    v = [float(x) for x in rows.first()["embedding"]]
+    cells = Cells.build(rows, 5)
+    ids = lambda df: [r["vec_id"] for r in df.collect()]
+    assert ids(search(rows, v, 5, "vec_id", cells, exact_below=10**6)) == ids(knn(rows, v, 5, "vec_id"))
+    assert ids(search(rows, v, 5, "vec_id", cells, exact_below=1, probes=1)) == ids(cells.search(v, 5, "vec_id", probes=1))
+    assert ids(search(rows, v, 5, "vec_id", exact_below=1)) == ids(knn(rows, v, 5, "vec_id"))
+
+
+def test_communities_of_suppliers(spark, folder):
+    from quarry.plans import graphs
+
+    edges = graphs._places(spark, folder)
+    found = communities(edges)
+    one = found.select("id", F.lit("0").alias("community"))
+    assert modularity(edges, found) > max(0.6, modularity(edges, one))
 
 
 def test_full_text(spark):
@@ -110,6 +162,50 @@ def test_json(spark):
     assert '"scores":[0]' in one["a"] and '"x"' not in one["b"] and one["c"] == "[1,2]"
 
 
+def test_json_paths_at_any_depth(spark):
+    doc = {"a": {"k": 1, "b": [{"k": 2}, {"c": {"k": [3, 4]}}]}, "k": 5, "s": "text"}
+    rows = spark.createDataFrame([(json.dumps(doc),), ("null",), (None,)], "doc string").withColumn("v", jsonb.parse(F.col("doc")))
+
+    def values(path):
+        out = rows.select(F.transform(jsonb.path_values(F.col("v"), path), lambda e: F.to_json(e)).alias("x")).first()["x"]
+        return sorted(out)
+
+    assert values("$..k") == ["1", "2", "5", "[3,4]"] and values("$..b[*].k") == ["2"] and values("$..c.k[-1]") == ["4"]
+    assert len(values("$..*")) == 12 and values("$.a.*") == sorted(["1", '[{"k":2},{"c":{"k":[3,4]}}]'])
+    assert values("$.a.type()") == ['"object"'] and values("$.a.b.size()") == ["2"] and values("$.s.length()") == ["4"] and values("$.length()") == ["3"]
+    assert values("$.a.b[0 to 5].k") == ["2"] and values('$["k"]') == ["5"] and values("$.s.size()") == []
+    assert [r["n"] for r in rows.select(F.size(jsonb.path_values(F.col("v"), "$..k")).alias("n")).collect()] == [4, 0, 0]
+    with pytest.raises(ValueError):
+        jsonb.path_values(F.col("v"), "$.a.keyvalue()")
+
+
+def changed_brute(doc, path, change):
+    node = doc
+    for key in path[:-1]:
+        node = node[int(key)] if isinstance(node, list) else node[key]
+    change(node, path[-1])
+    return doc
+
+
+def test_json_changes(spark):
+    doc = '{"a":{"b":[1,{"c":2},"x"]},"k":null,"é":"ü"}'
+    rows = spark.createDataFrame([(doc,), (None,), ("[1,2]",)], "doc string")
+    d = F.col("doc")
+    cases = [
+        (jsonb.set_path(d, ["a", "b", 1, "c"], {"z": [1]}), '{"a":{"b":[1,{"c":{"z":[1]}},"x"]},"k":null,"é":"ü"}', "[1,2]"),
+        (jsonb.set_path(d, ["a", "b", -1], None), '{"a":{"b":[1,{"c":2},null]},"k":null,"é":"ü"}', "[1,2]"),
+        (jsonb.set_path(d, ["a", "b", 9], True), '{"a":{"b":[1,{"c":2},"x",true]},"k":null,"é":"ü"}', "[1,2]"),
+        (jsonb.set_path(d, ["a", "b", -9], True), '{"a":{"b":[true,1,{"c":2},"x"]},"k":null,"é":"ü"}', "[1,2]"),
+        (jsonb.set_path(d, ["no", "b"], 1), doc, "[1,2]"), (jsonb.set_path(d, ["new"], 1.5, create=False), doc, "[1,2]"), (jsonb.set_path(d, ["k"], "v"), '{"a":{"b":[1,{"c":2},"x"]},"k":"v","é":"ü"}', "[1,2]"),
+        (jsonb.delete_path(d, ["a", "b", 0]), '{"a":{"b":[{"c":2},"x"]},"k":null,"é":"ü"}', "[1,2]"), (jsonb.delete_path(d, [-1]), doc, "[1]"), (jsonb.delete_path(d, ["k"]), '{"a":{"b":[1,{"c":2},"x"]},"é":"ü"}', "[1,2]"),
+        (jsonb.insert_path(d, ["a", "b", 0], 7, after=True), '{"a":{"b":[1,7,{"c":2},"x"]},"k":null,"é":"ü"}', "[1,2]"), (jsonb.insert_path(d, ["a", "b"], 7), doc, "[1,2]"), (jsonb.insert_path(d, [5], 7), '{"5":7,"a":{"b":[1,{"c":2},"x"]},"k":null,"é":"ü"}', "[1,2,7]"),
+        (jsonb.merge(d, F.lit('{"k":1,"q":[]}')), '{"a":{"b":[1,{"c":2},"x"]},"k":1,"q":[],"é":"ü"}', '[1,2,{"k":1,"q":[]}]'), (jsonb.merge(d, F.lit("[3]")), f"[{doc},3]", "[1,2,3]"),
+    ]
+    got = rows.select(*(c.alias(f"c{k}") for k, (c, *_) in enumerate(cases))).collect()
+    for k, (_, first, last) in enumerate(cases):
+        assert (got[0][k], got[1][k], got[2][k]) == (first, None, last), k
+
+
 def test_graph_patterns(spark):
     e = spark.createDataFrame([("a", "b", "K", 1.0), ("b", "c", "K", 2.0), ("c", "a", "K", 3.0), ("a", "d", "U", 1.0)], "src string, dst string, type string, weight double")
     seeds = spark.createDataFrame([("a",)], "id string")
@@ -152,6 +248,22 @@ def test_constraints(spark):
         tables.as_of(rows, 1, oldest=5)
 
 
+def test_cascades_by_key(spark):
+    own = {"a": spark.createDataFrame([(1,), (2,), (3,)], "id int"), "b": spark.createDataFrame([(10, 1, None), (11, 2, 10), (12, None, 11), (11, 3, 10), (13, 3, 13)], "id int, a int, up int")}
+    keys = {"b": [tables.ForeignKey(("a",), "a", ("id",), "cascade"), tables.ForeignKey(("up",), "b", ("id",), "cascade")]}
+    out = tables.delete_cascade(own, keys, "a", F.col("id") == 1)
+    assert sorted(r["id"] for r in out["a"].collect()) == [2, 3] and sorted(map(tuple, out["b"].collect())) == [(13, 3, 13)]
+    keys = {"b": [tables.ForeignKey(("a",), "a", ("id",), "set default")]}
+    out = tables.delete_cascade(own, keys, "a", F.col("id") > 1, defaults={"b": {"a": 1}})
+    assert sorted(str(r["a"]) for r in out["b"].collect()) == ["1", "1", "1", "1", "None"]
+
+
+def test_returning(spark):
+    before = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "id int, x string")
+    after = spark.createDataFrame([(1, "a"), (2, "b"), (4, None)], "id int, x string")
+    assert sorted(tuple(r) for r in tables.returning(before, after, ["id"], ["id"]).collect()) == [(2,), (4,)]
+
+
 def test_overlay_and_versions(spark):
     base = spark.createDataFrame([(1, "a", 1)], "id int, x string, version int")
     o = tables.Overlay(base, ["id"]).savepoint("s").stage(lambda df: tables.update(df, {"x": F.lit("b")}, F.col("id") == 1))
