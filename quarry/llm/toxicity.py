@@ -1,12 +1,12 @@
 """Toxicity of documents: a learned lexicon in a trie, matched by Levenshtein automata, with
 context windows.
 
-1. Words and word beginnings of labelled rows (not the held-out ones) are counted by label,
-   in toxic rows by the different words around them, so that copies count once;
-   those that favour toxic rows beyond chance (log-likelihood ratio above a bound that
-   grows with the number of terms tested) are the lexicon, beside a few seed terms. It has
-   `terms` terms at most, by their ratio, and is learned from `labelled` rows at most, by
-   a hash of doc_id: these are the model's size and don't grow with the data.
+1. Words and word beginnings are counted in labelled rows (not the held-out ones), toxic and
+   clean ones alike. Copies and near copies count once: of rows with the same label whose
+   smallest hash of five words is the same, the one with the smallest doc_id. Terms that
+   favour toxic rows beyond chance (log-likelihood ratio above a bound that grows with the
+   number of terms tested) are the lexicon, beside a few seed terms. It is learned from
+   `labelled` rows at most, by a hash of doc_id, and so its size doesn't grow with the data.
 2. The terms stand in a trie. Levenshtein automata of all terms run together with it: a
    state is the set of trie nodes with the errors on the way to them, and states are made
    when first met, so that a word costs a table look-up for each letter. Short terms match
@@ -39,10 +39,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, slices
-from .textnum import Words
+from .common import bounded, slices, written
+from .textnum import Words, place, runs
 
-TERMS, LABELLED = 4096, 200_000
+LABELLED = 200_000
 #: Terms that count without any labels.
 SEEDS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "imbecile", "scumbag")
 SEED_WEIGHT = 4.0
@@ -155,28 +155,37 @@ def _bare(word: str) -> str:
     return word.strip("\"'«»“”‘’()[]{}.,;:!?#*$%&|<>-_…")
 
 
+def _kinds_of(words: int = 5):
+    """(doc_id, toxic, kind): kind the smallest hash of `words` words of a row; of all words
+    where there are fewer. Rows that are nearly the same mostly share it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            w = Words(batch.column("text"), lower=True)
+            h, first = w.hashes(), w.first
+            grams = runs(h, words)
+            kinds = np.zeros(batch.num_rows, np.uint64)
+            for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
+                if b > a:
+                    kinds[i] = grams[a : b - words + 1].min() if b - a >= words else runs(h[a:b], int(b - a))[0]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(place(kinds))], ["doc_id", "toxic", "kind"])
+
+    return run
+
+
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, kind, around, clean): of words and beginnings, in how many clean rows of a
-    slice they stand; and for toxic rows a hash of the words around the first place."""
+    """(term, kind, clean, toxic): of words and beginnings, in how many rows of a slice they stand."""
     for batch in slices(batches):
-        clean: Counter[tuple[str, int]] = Counter()
-        found: set[tuple[str, int, int]] = set()
+        counts: tuple[Counter, Counter] = Counter(), Counter()
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            words = [_bare(w) for w in (text or "").lower().split()]
-            places: dict[tuple[str, int], int] = {}
-            for i, w in enumerate(words):
-                if 3 <= len(w) <= 40 and (w, 0) not in places:
-                    places[w, 0] = i
-                    for k in PREFIXES:
-                        if k < len(w):
-                            places.setdefault((w[:k], 2), i)
-            if toxic:
-                found.update((t, kind, zlib.crc32(" ".join(words[max(0, i - 1) : i] + words[i + 1 : i + 2]).encode())) for (t, kind), i in places.items())
-            else:
-                clean.update(places.keys())
-        rows = [(t, kind, None, n) for (t, kind), n in clean.items()] + [(t, kind, c, 0) for t, kind, c in found]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["term", "kind", "around", "clean"])
+            words = {_bare(w) for w in (text or "").lower().split()} - {""}
+            own = {(w, 0) for w in words}
+            own.update((w[:k], 2) for w in words for k in PREFIXES if k < len(w))
+            counts[toxic].update(own)
+        keys = list(counts[0].keys() | counts[1].keys())
+        if keys:
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "kind", "clean", "toxic"])
 
 
 def _hits_of(lexicon: Lexicon):
@@ -296,27 +305,29 @@ def _pruned(weights: dict[tuple[str, int], float]) -> dict[tuple[str, int], floa
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, terms: int = TERMS, labelled: int = LABELLED) -> Lexicon:
-    """The lexicon from labelled rows that aren't held out, at most `labelled` of them; at
-    most `terms` come to the driver."""
+def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Lexicon:
+    """The lexicon from labelled rows that aren't held out, at most `labelled` of them."""
     marks = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = bounded(marks.filter("toxic in (0, 1)"), "doc_id", labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "toxic")
-    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    rows = lambda of: docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(of), "doc_id")
+    kinds = rows(marks).select("doc_id", "toxic", "text").mapInArrow(_kinds_of(), "doc_id long, toxic int, kind long")
+    one = written(kinds.groupBy("toxic", "kind").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct())
+    rows = rows(one).select("text", "toxic")
+    n = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
     n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
     prior = math.log((n_toxic + 1) / (n_clean + 10)) if n_toxic else -2.0
     lexicon = Lexicon({(t, 0): SEED_WEIGHT for t in SEEDS}, min(prior, -1.0))
     if not n_clean or not n_toxic:
         return lexicon
     shape = "term string, kind int, clean long, toxic long"
-    seen = rows.mapInArrow(_terms_of, "term string, kind int, around long, clean long").groupBy("term", "kind", "around").agg(F.sum("clean").alias("clean"))
-    counted = seen.groupBy("term", "kind").agg(F.sum("clean").alias("clean"), F.count("around").alias("toxic"))
+    counted = rows.mapInArrow(_terms_of, shape).groupBy("term", "kind").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counted = counted.withColumn("ratio", _ratio(F.col("clean"), F.col("toxic"), n_clean, n_toxic))
     # beyond chance for all terms that were tested; that are about as many as their rows
     bound = 2 * math.log(1000 * (n_clean + n_toxic)) + 2
     weight = lambda clean, toxic: math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
     chosen = counted.filter(F.col("ratio") >= bound).filter(F.col("toxic") * n_clean > 4 * F.col("clean") * n_toxic)
-    found = {(r["term"], r["kind"]): r for r in chosen.orderBy(F.desc("ratio"), "term", "kind").limit(terms).collect()}
+    # terms come to the driver; each has some of the labelled rows' toxic ones to itself
+    found = {(r["term"], r["kind"]): r for r in chosen.collect()}
     whole = sorted((t, r["toxic"]) for (t, kind), r in found.items() if kind == 0)
     for (term, kind), r in found.items():
         # a beginning has to stand for more words than one
