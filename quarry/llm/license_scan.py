@@ -1,12 +1,13 @@
 """Licence notices in documents, with built-in functions only.
 
 Rules are ordered regular expressions over a text's words (A-Z in lower case, one space
-between words): each licence's name in each of several kinds of notice. A rule has a
+between words): each licence's name in each of several kinds of notice, and sentences of
+licences' texts and file headers, which are written out one by one. A rule has a
 keyword, a phrase that all its matches contain, and is tried only on texts with that
 keyword. Overlapping detections are resolved by priority and containment: one whose words
 lie within those of another of the same or a higher priority goes.
 
-The rules are a small constant table that is broadcast. Only texts with a keyword meet it,
+The rules are a constant table of about 500 rows that is broadcast. Only texts with a keyword meet it,
 only places of detections are shuffled, by document, and the largest group is one
 document's detections.
 
@@ -92,6 +93,99 @@ PLAIN = [
 ]
 
 
+#: Sentences of licences' texts and file headers: label, pattern, keyword.
+TEXTS = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission notice"),
+    ("mit-0", "permission is hereby granted free of charge to any person obtaining a copy .{0,400}to permit persons to whom the software is furnished to do so the software is provided", "permission is hereby granted"),
+    ("x11", "except as contained in this notice the name of .{1,60} shall not be used in advertising or otherwise to promote the sale", "except as contained in this notice"),
+    ("isc", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", "permission to use"),
+    ("0bsd", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted the software is provided", "permission to use"),
+    ("hpnd", "permission to use copy modify and distribute this software and its documentation for any purpose(?: and)?(?: without fee)? is hereby granted", "permission to use"),
+    ("ntp", "permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted", "permission to use"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "permission to use"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must"),
+    ("bsd-3-clause", "neither the name of .{1,80} nor the names of (?:its|his|their|other) contributors may be used to endorse or promote products derived from this software", "neither the name of"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", "all advertising materials"),
+    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following two conditions", "redistribution and use in source"),
+    ("apache-2", "licensed under the apache license version 2 0(?: the license)? you may not use this (?:file|software|work) except in compliance with the license", "apache"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "licen"),
+    ("apache-2", "terms and conditions for use reproduction and distribution 1 definitions license shall mean", "licen"),
+    ("apache-1.1", "products derived from this software may not be called apache nor may apache appear in their name", "apache"),
+    ("gpl", "this (?:program|file|software|package|script) is free software(?: you can redistribute it| and| you can)?.{0,40}under the terms of the gnu general public license", "free software"),
+    ("gpl-1", "gnu general public license as published by the free software foundation either version 1", "free software"),
+    ("gpl-2", "gnu general public license(?: version 2)? as published by the free software foundation (?:either )?version 2", "free software"),
+    ("gpl-2", "gnu general public license version 2(?: only)? as published by the free software foundation", "free software"),
+    ("gpl-3", "gnu general public license(?: version 3)? as published by the free software foundation (?:either )?version 3", "free software"),
+    ("gpl", "you should have received a copy of the gnu general public license along with", "licen"),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", "licen"),
+    ("lgpl", "this (?:library|program|file|software) is free software.{0,40}under the terms of the gnu (?:lesser|library) general public license", "free software"),
+    ("lgpl-2", "gnu library general public license as published by the free software foundation either version 2", "free software"),
+    ("lgpl-2.1", "gnu lesser general public license as published by the free software foundation either version 2 1", "free software"),
+    ("lgpl-3", "gnu lesser general public license as published by the free software foundation either version 3", "free software"),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public license along with", "licen"),
+    ("agpl-3", "gnu affero general public license as published by the free software foundation either version 3", "free software"),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with", "licen"),
+    ("agpl", "your modified version must prominently offer all users interacting with it remotely through a computer network", "your modified version must"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "permission is granted"),
+    ("gfdl", "with no invariant sections(?: with)? no front cover texts and(?: with)? no back cover texts", "with no invariant sections"),
+    ("mpl-1", "the contents of this file are subject to the mozilla public license version 1 0", "licen"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1", "licen"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v(?:ersion)? 2 0", "licen"),
+    ("npl-1.1", "the contents of this file are subject to the netscape public license", "licen"),
+    ("epl-1", "this program and the accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? ?1", "licen"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? ?2", "licen"),
+    ("epl", "the accompanying program is provided under the terms of this eclipse public license", "licen"),
+    ("cpl-1", "the accompanying program is provided under the terms of this common public license", "licen"),
+    ("ipl-1", "the accompanying program is provided under the terms of this ibm public license", "licen"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", "licen"),
+    ("cpal-1", "the contents of this file are subject to the common public attribution license", "licen"),
+    ("eupl", "you may not use this work except in compliance with the licen[cs]e you may obtain a copy of the licen[cs]e at.{0,60}(?:joinup|eupl)", "licen"),
+    ("osl", "licensed under the open software license version", "licen"),
+    ("afl", "licensed under the academic free license version", "licen"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "this software is provided"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", "must not be misrepresented"),
+    ("libpng", "the contributing authors and group 42 inc disclaim all warranties", "the contributing authors"),
+    ("boost-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "permission is hereby granted"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free to copy"),
+    ("wtfpl", "you just do what the fuck you want to", "what the fuck"),
+    ("beerware", "as long as you retain this notice you can do whatever you want with this stuff", "retain this notice"),
+    ("cc0-1", "the person who associated a work with this deed has dedicated the work to the public domain", "public domain"),
+    ("cc0-1", "to the extent possible under law .{1,80} has waived all copyright and related or neighboring rights", "neighboring rights"),
+    ("cc-by", "you are free to share.{0,120}adapt.{0,200}you must give appropriate credit provide a link to the license and indicate if changes were made", "licen"),
+    ("cc-by-sa", "if you remix transform or build upon the material you must distribute your contributions under the same license as the original", "transform or build upon"),
+    ("cc-by-nd", "if you remix transform or build upon the material you may not distribute the modified material", "transform or build upon"),
+    ("cc-by-nc", "you may not use the material for commercial purposes", "for commercial purposes"),
+    ("artistic-1", "the intent of this document is to state the conditions under which a package may be copied", "the intent of this document"),
+    ("artistic-2", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed preamble this license establishes the terms under which a given free software package", "licen"),
+    ("python-2", "psf is making python available to licensee on an as is basis", "licen"),
+    ("python-2", "this license agreement is between the python software foundation", "licen"),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", "openssl"),
+    ("ssleay", "this product includes cryptographic software written by eric young", "this product includes"),
+    ("php-3", "this product includes php software freely available from", "php"),
+    ("ruby", "you may make and give away verbatim copies of the source form of the software without restriction", "give away verbatim copies"),
+    ("vim", "vim is charityware", "vim"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license", "open font"),
+    ("ofl-1.1", "the font software may be sold as part of a larger software package but no copy of one or more of the font software typefaces may be sold by itself", "the font software may"),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license", "licen"),
+    ("sspl-1", "server side public license version 1", "server side public"),
+    ("busl-1.1", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", "licen"),
+    ("elastic-2", "you may not provide the software to third parties as a hosted or managed service", "hosted or managed service"),
+    ("commons-clause", "the license does not grant to you the right to sell the software", "licen"),
+    ("json", "the software shall be used for good not evil", "not evil"),
+    ("ecl-2", "educational community license version 2", "educational community"),
+    ("ncsa", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers", "redistributions of source code must"),
+    ("upl-1", "subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software", "permission is hereby granted"),
+    ("bsl-patent", "subject to the terms and conditions of this license each copyright holder and contributor hereby grants", "licen"),
+    ("proprietary", "(?:this (?:software|document|file) is|contains) (?:the )?(?:confidential and proprietary|proprietary and confidential)", "proprietary"),
+    ("proprietary", "(?:no part of this (?:publication|work|book|document)) may be reproduced", "may be reproduced"),
+    ("proprietary", "unauthori[sz]ed (?:copying|reproduction|distribution|use) of this (?:file|software|work|document)", " unauthori"),
+    ("public-domain", "this (?:work|file|software|document|code|image) is in the public domain", "public domain"),
+    ("public-domain", "the authors? (?:hereby )?disclaims? copyright to this source code", "copyright to this source code"),
+]
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -118,6 +212,7 @@ def rules() -> list[Rule]:
                 out.append(found)
     # short names of their own: three words that hardly stand by chance
     out += [Rule(label, name, "cc by n", 1, 0.6) for label, name, keyword in named if label.startswith("cc-by") and "cc by n" in name]
+    out += [Rule(label, pattern, keyword, 2, 0.9) for label, pattern, keyword in TEXTS]
     return out + [Rule(*x) for x in PLAIN]
 
 
