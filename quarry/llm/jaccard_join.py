@@ -54,7 +54,7 @@ from .bits import bit_table, holds
 from .common import discard, slices, written
 from .textnum import Words, mix, place, runs
 
-WORDS, PERCENT, SUBSETS, BITS, SKETCH_BITS, ROUNDS, HOT = 5, 80, 256, 1 << 24, 22, 3, 4096
+WORDS, PERCENT, SUBSETS, BITS, SKETCH_BITS, ROUNDS, HOT = 5, 80, 256, 1 << 24, 22, 2, 4096
 #: Pairs that are compared for two components in a round, and members that a member looks at.
 TRIES, REACH = 3, 256
 #: Counters that go together, and times the mean count from which elements come late.

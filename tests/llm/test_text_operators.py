@@ -102,6 +102,43 @@ def test_licence_rules_and_containment(spark):
     assert len(license_scan.rules()) > 200
 
 
+def detections_brute(text):
+    """(label, first, end) of all rules' matches that no earlier one of the same or a higher priority contains, and the best score."""
+    words = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())) + " "
+    hits = []
+    for k, rule in enumerate(license_scan.rules()):
+        for m in re.finditer(f"(?<= )(?:{rule.pattern})(?= )", words):
+            first = words[: m.start()].count(" ") - 1
+            hits.append((first, -(first + m[0].count(" ") + 1), -rule.priority, k, rule.label, rule.score))
+    kept = []
+    for h in sorted(hits):
+        if not any(o[1] <= h[1] and o[2] <= h[2] for o in sorted(hits) if o[:4] < h[:4]):
+            kept.append((h[4], h[0], -h[1], h[5]))
+    return kept
+
+
+def test_detections_against_brute_force(spark, docs):
+    rng = random.Random(21)
+    notices = ["SPDX-License-Identifier: {}", "released under the terms of the {} license", "{} licence", "license: {}", "This is licensed under {}."]
+    names = ["MIT", "GPL-2.0", "GNU General Public License v3", "LGPL 2.1", "Apache 2.0", "BSD 3-Clause", "Mozilla Public License 2.0", "CC BY-NC-SA 4.0", "ISC", "EPL 2.0", "zlib"]
+    plain = lambda p: re.sub(r"\?|\.\{[^}]*\}", "", re.sub(r"\(\?:([^()|]*)[^()]*\)", r"\1", re.sub(r"\[(.)[^\]]*\]", r"\1", p)))
+    texts = [plain(p) for _, p, _ in license_scan.TEXTS]
+    extra = [" and ".join([rng.choice(notices).format(rng.choice(names)), *rng.sample(texts, 2), rng.choice(notices).format(rng.choice(names))]) for _ in range(80)]
+    extra += [f"Some words. {t.capitalize()}, then more." for t in texts] + [None, "", "all rights reserved. All rights reserved", "under the MIT license " * 3]
+    rows = frame(spark, extra)
+    want = {k: detections_brute(t) for k, t in enumerate(extra)}
+    got = defaultdict(list)
+    for r in license_scan.detections(rows).collect():
+        got[r["id"]].append((r["label"], r["first"], r["end"], r["score"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items() if v}
+    for r in license_scan.scan(rows).collect():
+        base = licence_brute(extra[r["doc_id"]])
+        assert r["labels"] == ",".join(sorted({*filter(None, base[4].split(",")), *(x[0] for x in want[r["doc_id"]])}))
+        assert r["score"] == max([0.9] * bool(base[4]) + [x[3] for x in want[r["doc_id"]]], default=0.0)
+    found = {x[0] for v in want.values() for x in v}
+    assert len(found) > 50 and len(license_scan.TEXTS) > 80
+
+
 # --- 2 ----------------------------------------------------------------------------------
 
 
