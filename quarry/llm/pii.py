@@ -6,8 +6,10 @@ anchor a parser of its own expands to the borders of an address, number or accou
 validates it. Spans of a kind don't overlap; the leftmost stays. Places are code points.
 
 Base kinds: email, ip (parts up to 255), card (13 to 19 digits that pass Luhn), phone (9
-to 15 digits). The method's own: url (with scheme), secret (a long token after a cue such
-as `token =`), iban (checked by its remainder 97), account (digits after such a cue).
+to 15 digits). The method's own: url (with a scheme of letters, its last 12 if it has more),
+secret (a token of SECRET characters at least, letters and digits among them, after a cue
+such as `token =`), iban (anywhere, told by its country and checked by its remainder 97),
+account (6 to 20 digits and hyphens after a cue such as `account no`).
 
 Documents are handled one by one in Arrow batches; nothing is shuffled. Null texts count
 as empty. Repeated rows are handled one by one. Extra columns are ignored by `find` and
@@ -30,7 +32,14 @@ from .common import slices
 KINDS = ("email", "ip", "card", "phone")
 OWN_KINDS = ("url", "secret", "iban", "account")
 CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "private_key")
-ACCOUNT_CUES = ("account", "acct", "iban", "passport", "ssn")
+ACCOUNT_CUES = ("account", "acct", "passport", "ssn")
+#: The least length of a secret.
+SECRET = 16
+# The countries of account numbers that have a check number.
+COUNTRIES = (
+    "AD AE AL AT AZ BA BE BG BH BI BR BY CH CR CY CZ DE DJ DK DO EE EG ES FI FK FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY"
+    " MC MD ME MK MN MR MT MU NI NL NO OM PK PL PS PT QA RO RS RU SA SC SD SE SI SK SM SO ST SV TL TN TR UA VA VG XK YE"
+).split()
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = frozenset("0123456789")
@@ -39,7 +48,7 @@ _QUAD = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"://[^\s<>\"'|]+")
-_SECRET = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{16,})")
+_SECRET = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{%d,})" % SECRET)
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
 _ACCOUNT = re.compile(r"(?:\s(?:no|nr|number|id))?[.:#=\s]{1,4}([0-9][0-9-]{4,18}[0-9])")
 
@@ -48,6 +57,8 @@ def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for mark, kind in [("@", "email"), ("+", "phone"), ("://", "url"), *((f"{d}", "digit") for d in range(10)), *((f"{d}.", "ip") for d in range(10))]:
         found.add_word(mark, (kind, len(mark)))
+    for country in COUNTRIES:
+        found.add_word(country, ("iban", len(country)))
     for kind, cues in (("secret", CUES), ("account", ACCOUNT_CUES)):
         for cue in cues:
             for form in (cue, cue.upper(), cue.capitalize()):
@@ -64,9 +75,15 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _iban_holds(iban: str) -> bool:
-    s = iban.replace(" ", "")
-    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+def _iban_end(found: str) -> int:
+    """Where the longest account number at the beginning of found ends, which may have words
+    in capitals after it; 0 without any."""
+    ends = [len(found), *(i for i in range(len(found) - 1, 14, -1) if found[i] == " ")]
+    for end in ends:
+        s = found[:end].replace(" ", "")
+        if 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1:
+            return end
+    return 0
 
 
 def spans_of(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tuple[int, int]]]:
@@ -115,12 +132,11 @@ def spans_of(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tupl
                 value = m[1]
                 take("secret", m.start(1), m.end(1), any(c in _DIGITS for c in value) and any(c.isalpha() for c in value))
         elif kind == "account":
-            for pattern, name in ((_IBAN, "iban"), (_ACCOUNT, "account")):
-                m = pattern.search(text, last + 1, last + 48) if name == "iban" else pattern.match(text, last + 1)
-                if m and (start := m.start(1) if m.re.groups else m.start()) >= past[name]:
-                    end = m.end(1) if m.re.groups else m.end()
-                    take(name, start, end, name == "account" or _iban_holds(m[0]))
-                    break
+            if (m := _ACCOUNT.match(text, last + 1)) and m.start(1) >= past["account"]:
+                take("account", m.start(1), m.end(1))
+        elif kind == "iban" and at >= past["iban"] and not (at and text[at - 1].isalnum()):
+            if (m := _IBAN.match(text, at)) and (end := _iban_end(m[0])):
+                take("iban", at, at + end)
     return out
 
 
