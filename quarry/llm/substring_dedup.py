@@ -133,7 +133,7 @@ def _sifted(table):
     return run
 
 
-def _strip(window: int, table=None):
+def _strip(window: int, texts: bool, table=None):
     """Kept words of rows with their spans; or, with a table, of rows that aren't in it and
     so have none."""
 
@@ -156,8 +156,10 @@ def _strip(window: int, table=None):
                 n.append(high - low)
                 removed.append(high - low - len(keep))
                 digest.append(hashlib.sha256(text).hexdigest())
-                kept_text.append(text.decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                if texts:
+                    kept_text.append(text.decode())
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns[: 4 + texts], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + texts])
 
     return run
 
@@ -171,8 +173,9 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return written(dealt.select("doc_id", "id", F.monotonically_increasing_id().alias("copy"), "text"))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = BITS) -> DataFrame:
-    """Per row doc_id, n_words, n_removed, kept_sha256 and kept_text, its kept words.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = BITS, texts: bool = True) -> DataFrame:
+    """Per row doc_id, n_words, n_removed, kept_sha256 and, with `texts`, kept_text, its kept
+    words.
 
     `window` words make a passage; `gram` words an anchor; bits: a power of two.
     """
@@ -201,5 +204,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits
     some = docs.sparkSession.sparkContext.broadcast(bit_table(spans.select("id"), min(bits, ID_BITS)))
     kind = "doc_id long, id long, copy long, text string"
     joined = rows.mapInArrow(_sifted(some), kind).join(spans, ["id", "copy"], "left").select("doc_id", "text", "spans")
-    out = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    return joined.mapInArrow(_strip(window), out).unionAll(rows.mapInArrow(_strip(window, some), out))
+    out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
+    return joined.mapInArrow(_strip(window, texts), out).unionAll(rows.mapInArrow(_strip(window, texts, some), out))
