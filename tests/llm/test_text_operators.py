@@ -274,6 +274,20 @@ def test_toxicity_held_out(spark):
 # --- 4 ----------------------------------------------------------------------------------
 
 
+def test_odd_labels(spark, odd, folder):
+    """Labels that are null, repeated or contradict each other: of several the largest counts."""
+    plain, bad = "words that are plain and calm in here", "you utter nitwit of a man go away"
+    texts = [f"{bad if k % 3 == 0 else plain} {k} {k * 7 % 11}" + f" w{k} v{k % 5}" * 3 for k in range(300)]
+    rows = frame(spark, [*texts, None, ""], [*range(300), 300, 301])
+    marks = [(k, int(k % 3 == 0), k % 2) for k in range(300)] + [(3, 0, None), (3, 1, 1), (3, 1, 1), (None, 1, 1), (4, None, None), (900, 1, 1), (300, 0, 0), (301, 1, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int, quality int")
+    lexicon = toxicity.learn(rows, labels)
+    clean = toxicity.learn(rows, labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    assert lexicon == clean and ("nitwit", 0) in lexicon.weights and all(r["held_out"] is not None for r in toxicity.score(rows, lexicon).collect())
+    kept = importance.select(rows, labels, share=0.5)
+    assert kept.count() == round(0.5 * rows.count()) and importance.select(rows, labels.limit(0), share=0.5).count() in (0, round(0.5 * rows.count()))
+
+
 def test_top_k_equals_sort(spark):
     rng = random.Random(5)
     rows = spark.createDataFrame([(i, float(rng.choice([1, 2, 2, 3, rng.random() * 9]))) for i in range(400)], "doc_id long, key double").cache()
@@ -517,6 +531,45 @@ def test_spans_equal_patterns():
         assert {k: got[k] for k in pii.KINDS} == spans_brute(text), text
 
 
+def iban(country, body):
+    digits = "".join(str(int(c, 36)) for c in f"{body}{country}00")
+    return f"{country}{98 - int(digits) % 97:02d}{body}"
+
+
+def own_spans_brute(text):
+    """Spans of the method's own kinds, by plain patterns."""
+    out = {}
+    out["url"] = [(m.start(), m.start() + len(m[0].rstrip(".,;:!?)"))) for m in re.finditer(r"[A-Za-z]{1,12}://[^\s<>\"'|]+", text)]
+    cues = "|".join(x for c in pii.CUES for x in (c, c.upper(), c.capitalize()))
+    out["secret"] = [m.span(1) for m in re.finditer(rf"(?:{cues})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([A-Za-z0-9+/_.~-]{{16,}})", text) if re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1])]
+    cues = "|".join(x for c in pii.ACCOUNT_CUES for x in (c, c.upper(), c.capitalize()))
+    out["account"] = [m.span(1) for m in re.finditer(rf"(?:{cues})(?:\s(?:no|nr|number|id))?[.:#=\s]{{1,4}}([0-9][0-9-]{{4,18}}[0-9])", text)]
+    found, at = [], 0
+    while m := re.compile(rf"(?<![^\W_])(?:{'|'.join(pii.COUNTRIES)})[0-9]{{2}}").search(text, at):
+        at = m.start() + 1
+        ends = [e for e in range(len(text), m.start(), -1) if re.fullmatch(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", text[m.start() : e])]
+        for e in ends[:1] + [x for x in ends[1:] if text[x : x + 1] == " "]:
+            s = text[m.start() : e].replace(" ", "")
+            if 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1:
+                found.append((m.start(), e))
+                at = e
+                break
+    out["iban"] = found
+    return out
+
+
+def test_own_kinds_against_patterns():
+    rng, automaton = random.Random(17), pii._automaton()
+    secret = lambda n: "".join(rng.choice("abcXYZ019_-") for _ in range(n))
+    body = lambda: "".join(rng.choice("0123456789") for _ in range(18))
+    spaced = lambda s: " ".join(s[k : k + 4] for k in range(0, len(s), 4))
+    for _ in range(6000):
+        makers = [lambda: f"http://h.org/{secret(3)}.", lambda: f"token = '{secret(rng.randint(12, 24))}'", lambda: f"API_KEY: {secret(20)}", lambda: f"account no {rng.randint(10**4, 10**9)}", lambda: "SSN: 123-45-6789", lambda: iban("DE", body()), lambda: spaced(iban("FR", body())) + " THEN", lambda: spaced(iban("NO", "86011117947")), lambda: "DE12 3456", lambda: "plain words", lambda: "IBAN", lambda: "x@y.z"]
+        text = " ".join(rng.choice(makers)() for _ in range(rng.randint(1, 6)))
+        got = pii.spans_of(text, automaton)
+        assert {k: got[k] for k in pii.OWN_KINDS} == own_spans_brute(text), text
+
+
 def test_personal_data(spark, docs):
     for r, d in zip(pii.find(docs).orderBy("doc_id").collect(), docs.orderBy("doc_id").collect()):
         want = spans_brute(d["text"] or "")
