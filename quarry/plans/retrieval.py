@@ -222,7 +222,16 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
             s AS (SELECT doc_id, n, d, CASE WHEN a > 0 AND b > 0 THEN (a + b) / 2.0::DOUBLE ELSE 0 END AS r FROM t)
             SELECT doc_id, round(r, 6) AS plain, round(r / greatest(n, 1), 8) AS by_words, round(r / (1 + ln(greatest(n, 1))) / greatest(d, 1), 8) AS "both" FROM s""",
     ),
-    "fts_vector": (fts_vector, None),
+    "fts_vector": (
+        fts_vector,
+        f"""WITH w AS (SELECT item_id, regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{Nd}}_]+') AS w FROM benchmark),
+            x AS (SELECT item_id, lower(unnest(w)) AS t, unnest(range(1, len(w) + 1)) AS p FROM w),
+            s AS (SELECT item_id, p, CASE WHEN len(t) > 5 AND t LIKE '%ies' THEN left(t, len(t) - 3) || 'y' WHEN len(t) > 5 AND t LIKE '%sses' THEN left(t, len(t) - 2)
+                WHEN len(t) > 4 AND t LIKE '%ing' AND regexp_matches(left(t, len(t) - 3), '[aeiouy]') THEN left(t, len(t) - 3) WHEN len(t) > 4 AND t LIKE '%ed' AND regexp_matches(left(t, len(t) - 2), '[aeiouy]') THEN left(t, len(t) - 2)
+                WHEN len(t) > 4 AND t LIKE '%es' THEN left(t, len(t) - 2) WHEN len(t) > 3 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN left(t, len(t) - 1) ELSE t END AS t FROM x WHERE t NOT IN {_STOP}),
+            g AS (SELECT item_id, t || ':' || string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS part, t FROM s GROUP BY item_id, t), v AS (SELECT item_id, string_agg(part, ' ' ORDER BY t) AS vector FROM g GROUP BY item_id)
+            SELECT b.item_id, coalesce(vector, '') AS vector FROM benchmark b LEFT JOIN v USING (item_id)""",
+    ),
 }
 
 
