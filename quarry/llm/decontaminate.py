@@ -119,33 +119,26 @@ def benchmark_windows(benchmark: DataFrame, window: int, solid: int) -> DataFram
     placeholder and else null; all_of: whether all of the item's windows must hit."""
     items = benchmark.filter("text is not null").select("item_id", _valued(F.col("text")).alias("valued"))
     items = items.select("item_id", _words(F.col("valued")).alias("values"), _words(_unnamed(F.col("valued"))).alias("own"), _words(_plain(F.col("valued"))).alias("words")).withColumns({"n": F.size("words"), "version": F.xxhash64("values")}).filter("n > 0").distinct()
-    hashed = items.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("plain_hashes"), F.transform("own", lambda w: F.xxhash64(w)).alias("value_hashes"))
     slots = F.zip_with("words", "values", lambda w, v: F.when(_is_slot(w), v))
-    hashed = hashed.withColumn("all_slots", slots)
+    hashed = written(items.select("item_id", "version", "n", F.transform("words", lambda w: F.xxhash64(w)).alias("plain_hashes"), F.transform("own", lambda w: F.xxhash64(w)).alias("value_hashes"), slots.alias("all_slots")))
     n_solid = lambda a: F.size(F.filter(a, lambda x: x.isNull()))
     own = F.slice("all_slots", F.col("at") + 1, F.lit(window))
     main = hashed.select("*", F.posexplode(_runs(F.col("plain_hashes"), F.col("n"), window)).alias("at", "h")).withColumn("slots", own).filter(n_solid("slots") >= solid)
-    main = main.select("h", "item_id", F.col("at").alias("item_at"), "slots", F.lit(False).alias("valued"), F.lit(window).alias("length"), F.lit(False).alias("all_of"), "version")
+    main = written(main.select("h", "item_id", F.col("at").alias("item_at"), "slots", F.lit(False).alias("valued"), F.lit(window).alias("length"), F.lit(False).alias("all_of"), "version").distinct())
     # items that share an id and differ in text are told apart by version
     rest = hashed.join(main.select("version").distinct(), "version", "left_anti")
-    parts = [main]
-    for length in range(1, window + 1):
-        for valued in (False, True):
-            if length < window:
-                fit = (F.col("n") == length) & (F.lit(valued) | (n_solid("all_slots") >= solid))
-            elif valued:
-                fit = F.col("n") >= window
-            else:
-                continue
-            runs = _runs(F.col("value_hashes" if valued else "plain_hashes"), F.col("n"), length)
-            numbered = _numbered(runs, _salt(valued, length))
-            nothing = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda _: F.lit(None).cast("string"))
-            part = rest.filter(fit).select("*", F.inline(numbered).alias("at", "h"))
-            parts.append(part.select("h", "item_id", F.col("at").alias("item_at"), (nothing if valued else F.col("all_slots")).alias("slots"), F.lit(valued).alias("valued"), F.lit(length).alias("length"), F.lit(True).alias("all_of"), "version"))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.union(part)
-    rows = rows.distinct()
+
+    def by_length(hashes: str, valued: bool, most: int) -> Column:
+        out = F.array().cast("array<struct<at:int,h:bigint>>")
+        for length in range(1, most + 1):
+            out = F.when(F.least("n", F.lit(most)) == length, _numbered(_runs(F.col(hashes), F.col("n"), length), _salt(valued, length))).otherwise(out)
+        return F.transform(out, lambda x: F.struct(x["at"].alias("at"), x["h"].alias("h"), F.lit(valued).alias("valued")))
+
+    whole = F.when((F.col("n") < window) & (n_solid("all_slots") >= solid), by_length("plain_hashes", False, window - 1)).otherwise(F.array())
+    part = rest.select("*", F.least("n", F.lit(window)).alias("length"), F.inline(F.concat(by_length("value_hashes", True, window), whole)).alias("item_at", "h", "valued"))
+    nothing = F.transform(F.sequence(F.lit(1), F.col("length")), lambda _: F.lit(None).cast("string"))
+    part = part.select("h", "item_id", "item_at", F.when(F.col("valued"), nothing).otherwise(F.col("all_slots")).alias("slots"), "valued", "length", F.lit(True).alias("all_of"), "version")
+    rows = written(main.unionByName(part.distinct()))
     return rows.join(rows.groupBy("version").agg(F.countDistinct("item_at").alias("n_windows")), "version")
 
 
