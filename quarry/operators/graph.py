@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.recursive import kept
+from quarry.operators.tables import upsert
 
 
 @dataclass(frozen=True)
@@ -144,6 +145,20 @@ def shortest_paths(seeds: DataFrame, edges: DataFrame, hop: Hop, undirected: fro
     return out
 
 
+def paths(seeds: DataFrame, edges: DataFrame, hops: list[Hop], undirected: frozenset[str] = frozenset()) -> DataFrame:
+    """(source, node, path): each path of a pattern of single edges, with its nodes, edge
+    types and weights in order. There is a row for each path, not for each end."""
+    start = F.struct(F.array("id").alias("nodes"), F.array().cast("array<string>").alias("edge_types"), F.array().cast("array<double>").alias("edge_weights"))
+    rows = seeds.select(F.col("id").alias("source"), F.col("id").alias("node"), start.alias("path"))
+    for hop in hops:
+        if (hop.least, hop.most) != (1, 1):
+            raise ValueError("paths are of single edges; shortest_paths has bands of several steps")
+        walk = oriented(edges, hop, undirected).select("src", "dst", "type", "weight")
+        grown = F.struct(F.array_append("path.nodes", F.col("dst")).alias("nodes"), F.array_append("path.edge_types", F.col("type")).alias("edge_types"), F.array_append("path.edge_weights", F.col("weight")).alias("edge_weights"))
+        rows = rows.join(walk, rows["node"] == walk["src"]).select("source", F.col("dst").alias("node"), grown.alias("path"))
+    return rows
+
+
 def neighbours(edges: DataFrame, ids: DataFrame, direction: str = "out", kind: str | None = None) -> DataFrame:
     walk = oriented(edges, Hop(kind, direction))
     return walk.join(ids.select(F.col("id").alias("src")), "src", "left_semi")
@@ -196,3 +211,9 @@ def delete_vertices(vertices: DataFrame, edges: DataFrame, ids: DataFrame, detac
 def upsert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     """Edges by (src, dst, type), new ones in place of old ones."""
     return edges.join(new.select("src", "dst", "type"), ["src", "dst", "type"], "left_anti").select(new.columns).unionAll(new)
+
+
+def merge_vertices(vertices: DataFrame, new: DataFrame, on_create: dict[str, Column] | None = None, on_match: dict[str, Column] | None = None) -> DataFrame:
+    """Vertices by id, with new ones added. on_create: columns of added ones; on_match: columns
+    of those that are there, with old.x and excluded.x for both sides' columns."""
+    return upsert(vertices, new.withColumns(on_create or {}), ["id"], on_match or {})

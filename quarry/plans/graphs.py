@@ -109,6 +109,19 @@ def shortest_path(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("source", "target", F.array_join("path.nodes", ">").alias("nodes"), F.array_join("path.edge_types", ">").alias("types"))
 
 
+def graph_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """p = (s)-[:IN_NATION]->(n)-[:IN_REGION]->(r), with its nodes, types and length."""
+    found = graph.paths(seeds(spark, "s1", "s2", "s3"), edges(spark, folder), [Hop("IN_NATION"), Hop("IN_REGION")])
+    return found.select("source", F.array_join("path.nodes", ">").alias("nodes"), F.array_join("path.edge_types", ">").alias("types"), F.size("path.edge_types").cast("long").alias("length"))
+
+
+def vertex_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """MERGE of a vertex that is there and of one that isn't, with what to set for each."""
+    own = read(spark, folder, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.lit(1).cast("long").alias("visits"))
+    new = spark.createDataFrame([("n3", "again"), ("n99", "fresh")], "id string, name string").withColumn("visits", F.lit(0).cast("long"))
+    return graph.merge_vertices(own, new, {"visits": F.lit(10).cast("long")}, {"visits": F.col("old.visits") + 1})
+
+
 def pattern_comprehension(spark: SparkSession, folder: str) -> DataFrame:
     """For each region its nations' ids in order, empty without any."""
     own = edges(spark, folder).filter("type = 'IN_REGION'").select(F.col("dst").alias("id"), F.col("src").alias("nation"))
@@ -218,6 +231,11 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         pattern_comprehension,
         "SELECT 'r' || r_regionkey AS id, coalesce(string_agg(n, ',' ORDER BY n), '') AS nations, CAST(count(n) AS BIGINT) AS n FROM region LEFT JOIN (SELECT 'n' || n_nationkey AS n, n_regionkey FROM nation) x ON n_regionkey = r_regionkey AND n > 'n2' GROUP BY 1",
     ),
+    "graph_paths": (
+        graph_paths,
+        "SELECT 's' || s_suppkey AS source, 's' || s_suppkey || '>n' || s_nationkey || '>r' || n_regionkey AS nodes, 'IN_NATION>IN_REGION' AS types, CAST(2 AS BIGINT) AS length FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey IN (1, 2, 3)",
+    ),
+    "vertex_merge": (vertex_merge, "SELECT 'n' || n_nationkey AS id, n_name AS name, CAST(CASE WHEN n_nationkey = 3 THEN 2 ELSE 1 END AS BIGINT) AS visits FROM nation UNION ALL SELECT 'n99', 'fresh', 10"),
     "edge_upsert": (edge_upsert, "SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'IN_REGION' AS type, CASE WHEN n_nationkey = 0 AND n_regionkey = 0 THEN 9.0 ELSE 1.0 END::DOUBLE AS weight FROM nation UNION ALL SELECT 'n99', 'r1', 'IN_REGION', 2.0::DOUBLE"),
     "detach_delete": (detach_delete, f"SELECT type, CAST(count(*) AS BIGINT) AS n FROM {_E} e WHERE type IN ('IN_REGION', 'IN_NATION') AND src NOT IN ('n1', 'n2') AND dst NOT IN ('n1', 'n2') GROUP BY type"),
     "leiden": (leiden, None),
