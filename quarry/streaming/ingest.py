@@ -47,8 +47,12 @@ def windowed(stream: DataFrame, time: str, width: str, late: str, keys: list[str
 
 
 def sessions(stream: DataFrame, time: str, gap: str, late: str, keys: list[str], *measures: Column) -> DataFrame:
-    """Aggregates by session: events of a key with less than `gap` between them."""
-    return stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("session"), *keys).agg(*measures)
+    """Aggregates by session: events of a key with less than `gap` between them. Spark also
+    joins what is exactly `gap` apart, so its sessions end a microsecond early here, which
+    their ends get back."""
+    rows = stream.withWatermark(time, late).groupBy(F.session_window(time, f"{gap} -1 microseconds").alias("session"), *keys).agg(*measures)
+    whole = F.struct("session.start", (F.col("session.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("end"))
+    return rows.withColumn("session", whole.alias("session", metadata=rows.schema["session"].metadata))
 
 
 def _totals(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
