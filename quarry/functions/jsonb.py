@@ -3,7 +3,9 @@
 A JSON null is a value, and differs from SQL's null. Numbers are compared by value, so 1
 and 1.0 are equal. Constant right-hand sides and paths are taken apart on the driver and
 become column expressions, and so do changes to documents: what stands along a constant
-path is rebuilt, and everything else is kept as it is.
+path is rebuilt, and everything else is kept as it is. What a change needs more than once
+is named by a lambda, so that it is worked out once a row, and expressions that take
+other changes grow by their number.
 """
 
 from __future__ import annotations
@@ -243,6 +245,21 @@ def _value(x) -> Column:
     return F.parse_json(F.lit(json.dumps(x)))
 
 
+def _let(x: Column, use) -> Column:
+    """use(x), with x worked out once."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
+def _as_map(v: Column) -> Column:
+    """An object's members, null for anything else."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _as_array(v: Column) -> Column:
+    """An array's elements, null for anything else."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
 def _packed(nested: Column) -> Column:
     return F.to_variant_object(nested)
 
@@ -260,15 +277,22 @@ def _rebuilt(v: Column, path: list[str | int], in_object, in_array) -> Column:
     """v with a change at a path. in_object(members, key) and in_array(elements, place) give
     the parent's new members or elements; values on the way that lack the key stay."""
     key, rest = str(path[0]), path[1:]
-    members, own = _members(v), elements(v)
-    place = _index(path[0], F.size(own))
-    if rest:
-        inside = _packed(F.transform_values(members, lambda k, x: F.when(k == key, _rebuilt(x, rest, in_object, in_array)).otherwise(x)))
-        among = v if place is None else _packed(F.transform(own, lambda x, i: F.when(i == place, _rebuilt(x, rest, in_object, in_array)).otherwise(x)))
-    else:
-        inside = _packed(in_object(members, key))
-        among = v if place is None else _packed(in_array(own, place))
-    return F.when(type_of(v) == "object", inside).when(type_of(v) == "array", among).otherwise(v)
+    again = lambda x: _rebuilt(x, rest, in_object, in_array)
+
+    def inside(members: Column) -> Column:
+        return F.transform_values(members, lambda k, x: F.when(k == key, again(x)).otherwise(x)) if rest else in_object(members, key)
+
+    def among(own: Column) -> Column:
+        place = _index(path[0], F.size(own))
+        return F.transform(own, lambda x, i: F.when(i == place, again(x)).otherwise(x)) if rest else in_array(own, place)
+
+    def change(x: Column) -> Column:
+        out = [_packed(_let(_as_map(x), inside))]
+        if _index(path[0], F.lit(0)) is not None:
+            out.append(_packed(_let(_as_array(x), among)))
+        return F.coalesce(*out, x)
+
+    return _let(v, change)
 
 
 def _text(v: Column) -> Column:
@@ -323,9 +347,13 @@ def insert_path(doc: Column, path: list[str | int], value, after: bool = False)
 
 def merge(left: Column, right: Column) -> Column:
     """left || right: members of both objects, the right ones win; else arrays end to end."""
-    a, b = parse(left), parse(right)
-    m, n = _members(a), _members(b)
-    both = _packed(F.map_concat(F.map_filter(m, lambda k, _: ~F.map_contains_key(n, k)), n))
-    listed = lambda v: F.when(type_of(v) == "array", elements(v)).otherwise(F.array(v))
-    merged = F.when((type_of(a) == "object") & (type_of(b) == "object"), both).otherwise(_packed(F.concat(listed(a), listed(b))))
-    return F.when(a.isNotNull() & b.isNotNull(), _text(merged))
+    listed = lambda v: F.coalesce(_as_array(v), F.array(v))
+
+    def both(m: Column, n: Column) -> Column:
+        return F.map_concat(F.map_filter(m, lambda k, _: ~F.map_contains_key(n, k)), n)
+
+    def joined(a: Column, b: Column) -> Column:
+        objects = _let(_as_map(a), lambda m: _let(_as_map(b), lambda n: both(m, n)))
+        return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(_packed(objects), _packed(F.concat(listed(a), listed(b)))))
+
+    return _text(_let(parse(left), lambda a: _let(parse(right), lambda b: joined(a, b))))
