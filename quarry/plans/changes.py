@@ -14,7 +14,7 @@ from quarry.operators import tables as t
 from quarry.operators.recursive import shared_dir
 from quarry.sources.files import copy_in, copy_out, export_json, markdown_lines
 from quarry.sources.tables import NAMES, read
-from quarry.streaming.ingest import files, ingest, ingest_state, latest, run_to_memory, sessions, windowed
+from quarry.streaming.ingest import files, ingest, ingest_state, latest, run_to_memory, run_to_table, sessions, windowed
 
 
 def _log(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,7 +132,8 @@ def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Users' sessions, which half an hour without events ends, from a stream."""
-    found = run_to_memory(sessions(_event_stream(spark, folder), "at", "30 minutes", "1 day", ["user_id"], F.count("*").alias("n")), f"sessions_{uuid.uuid4().hex}")
+    base = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    found = run_to_table(sessions(_event_stream(spark, folder), "at", "30 minutes", "1 day", ["user_id"], F.count("*").alias("n")), f"{base}/out", f"{base}/checkpoint")
     return found.select("user_id", F.unix_timestamp("session.start").alias("start"), "n")
 
 

@@ -76,3 +76,14 @@ def ingest_state(stream: DataFrame, target: str, checkpoint: str) -> list[dict]:
 def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_table(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
+    """The whole result after the last micro-batch, which executors write; `run_to_memory`
+    is for results that fit on the driver."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+
+    stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(target)
