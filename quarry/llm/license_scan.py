@@ -3,13 +3,14 @@
 Rules are ordered regular expressions over a text's words (A-Z in lower case, one space
 between words): each licence's name in each of several kinds of notice, and sentences of
 licences' texts and file headers, which are written out one by one. A rule has a
-keyword, a phrase that all its matches contain, and is tried only on texts with that
-keyword. Overlapping detections are resolved by priority and containment: one whose words
-lie within those of another of the same or a higher priority goes.
+keyword and phrases, names or what its pattern has of fixed words: all its matches contain
+the keyword and one of the phrases, and it is tried only on texts that do. Overlapping
+detections are resolved by priority and containment: one whose words lie within those of
+another of the same or a higher priority goes.
 
-The rules are a constant table of about 500 rows that is broadcast. Only texts with a keyword meet it,
-only places of detections are shuffled, by document, and the largest group is one
-document's detections.
+The rules are a constant table of under 1,000 rows that is broadcast. Only texts with a
+keyword meet it, by the longest words of its phrases; only places of detections are
+shuffled, by document, and the largest group is one document's detections.
 
 Null texts count as empty and have no words. Rows with equal doc_id and text have equal
 results, and rows that share only the doc_id are told apart by their text. Extra columns
@@ -18,6 +19,7 @@ are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,52 +28,52 @@ from pyspark.sql import functions as F
 #: The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Licences: label, what its name looks like in words, a phrase in all of these.
+#: Licences: label, what its name looks like in words, phrases: one of them is in each of these, with the spaces around it.
 NAMES = [
-    ("mit", "(?:mit|expat)(?: x11)?", ""),
+    ("mit", "(?:mit|expat)(?: x11)?", " mit | expat "),
     ("apache-1.1", "apache(?: software)?(?: license)?(?: version| v)? ?1 1", "apache"),
     ("apache-2", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?", "apache"),
-    ("bsd-2-clause", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", "bsd"),
+    ("bsd-2-clause", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", " bsd | freebsd "),
     ("bsd-3-clause", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)", "bsd"),
     ("bsd-4-clause", "(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)", "bsd"),
-    ("bsd", "(?:bsd|berkeley software distribution)", ""),
-    ("isc", "(?:isc|internet systems consortium)", ""),
+    ("bsd", "(?:bsd|berkeley software distribution)", " bsd | berkeley software distribution "),
+    ("isc", "(?:isc|internet systems consortium)", " isc | internet systems consortium "),
     ("zlib", "(?:zlib|zlib libpng)", "zlib"),
     ("boost-1", "boost software license(?: version| v)? ?1(?: 0)?", "boost software"),
     ("unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "(?:wtfpl|do what the fuck you want to public license)(?: version| v)?(?: 2)?", ""),
+    ("wtfpl", "(?:wtfpl|do what the fuck you want to public license)(?: version| v)?(?: 2)?", " wtfpl | do what the fuck "),
     ("artistic-1", "(?:perl )?artistic license(?: version| v)? ?1(?: 0)?", "artistic"),
     ("artistic-2", "artistic license(?: version| v)? ?2(?: 0)?", "artistic"),
-    ("ms-pl", "(?:ms pl|microsoft public license)", ""),
-    ("ms-rl", "(?:ms rl|microsoft reciprocal license)", ""),
+    ("ms-pl", "(?:ms pl|microsoft public license)", " ms pl | microsoft public license "),
+    ("ms-rl", "(?:ms rl|microsoft reciprocal license)", " ms rl | microsoft reciprocal license "),
     ("postgresql", "postgresql", "postgresql"),
     ("openssl", "openssl", "openssl"),
     ("php-3", "php license(?: version| v)? ?3(?: 01| 0)?", "php"),
-    ("python-2", "(?:python software foundation|psf)(?: license)?(?: version| v)?(?: 2(?: 0)?)?", ""),
+    ("python-2", "(?:python software foundation|psf)(?: license)?(?: version| v)?(?: 2(?: 0)?)?", " python software foundation | psf "),
     ("ruby", "ruby", "ruby"),
     ("vim", "vim", "vim"),
     ("ofl-1.1", "(?:sil )?open font license(?: version| v)?(?: 1 1)?", "open font"),
     ("odbl-1", "(?:open data commons )?open database license(?: version| v)?(?: 1 0)?", "open database"),
-    ("cc0-1", "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?", ""),
+    ("cc0-1", "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?", " cc0 | creative commons zero "),
 ]
-#: Families with versions: label, name, phrase in it, versions.
+#: Families with versions: label, name, phrases, versions.
 FAMILIES = [
-    ("gpl", "(?:gnu )?(?:general public license|gpl)", "", (1, 2, 3)),
-    ("lgpl", "(?:gnu )?(?:lesser general public license|library general public license|lgpl)", "", (2, "2 1", 3)),
-    ("agpl", "(?:gnu )?(?:affero general public license|agpl)", "", (1, 3)),
-    ("gfdl", "(?:gnu )?(?:free documentation license|gfdl|fdl)", "", ("1 1", "1 2", "1 3")),
-    ("mpl", "(?:mozilla public license|mpl)", "", ("1 0", "1 1", "2 0")),
-    ("epl", "(?:eclipse public license|epl)", "", ("1 0", "2 0")),
-    ("cddl", "(?:common development and distribution license|cddl)", "", ("1 0", "1 1")),
-    ("eupl", "(?:european union public licen[cs]e|eupl)", "", ("1 0", "1 1", "1 2")),
-    ("osl", "(?:open software license|osl)", "", ("1 0", "2 0", "2 1", "3 0")),
-    ("afl", "(?:academic free license|afl)", "", ("1 1", "2 0", "2 1", "3 0")),
-    ("cc-by", "(?:cc by|creative commons attribution)", "", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)", "", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)", "", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)", "", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", "", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)", "", ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("gpl", "(?:gnu )?(?:general public license|gpl)", " general public license | gpl ", (1, 2, 3)),
+    ("lgpl", "(?:gnu )?(?:lesser general public license|library general public license|lgpl)", " lesser general public license | library general public license | lgpl ", (2, "2 1", 3)),
+    ("agpl", "(?:gnu )?(?:affero general public license|agpl)", " affero general public license | agpl ", (1, 3)),
+    ("gfdl", "(?:gnu )?(?:free documentation license|gfdl|fdl)", " free documentation license | gfdl | fdl ", ("1 1", "1 2", "1 3")),
+    ("mpl", "(?:mozilla public license|mpl)", " mozilla public license | mpl ", ("1 0", "1 1", "2 0")),
+    ("epl", "(?:eclipse public license|epl)", " eclipse public license | epl ", ("1 0", "2 0")),
+    ("cddl", "(?:common development and distribution license|cddl)", " common development and distribution license | cddl ", ("1 0", "1 1")),
+    ("eupl", "(?:european union public licen[cs]e|eupl)", " european union public licen| eupl ", ("1 0", "1 1", "1 2")),
+    ("osl", "(?:open software license|osl)", " open software license | osl ", ("1 0", "2 0", "2 1", "3 0")),
+    ("afl", "(?:academic free license|afl)", " academic free license | afl ", ("1 1", "2 0", "2 1", "3 0")),
+    ("cc-by", "(?:cc by|creative commons attribution)", " cc by | creative commons attribution ", ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)", " cc by sa | creative commons attribution share", ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)", " cc by nd | creative commons attribution no", ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)", " cc by nc | creative commons attribution non", ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", " cc by nc sa | creative commons attribution non", ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)", " cc by nc nd | creative commons attribution non", ("1 0", "2 0", "2 5", "3 0", "4 0")),
 ]
 LICENCE = "(?: public)? licen[cs]e"
 VERB = "licensed|released|distributed|available|provided|published|covered|redistributed?"
@@ -193,27 +195,35 @@ class Rule:
     keyword: str
     priority: int
     score: float
+    phrases: tuple[str, ...]
+
+
+def _fixed(pattern: str, keyword: str) -> tuple[str]:
+    """The longest stretch of a pattern that has no group, class or repeat, or its keyword."""
+    whole = None
+    while whole != pattern:
+        whole, pattern = pattern, re.sub(r"\(\?:[^()]*\)\??|\[[^]]*\]|\.\{[^}]*\}|[\w ]\?", "\n", pattern)
+    return (max(keyword, *pattern.split("\n"), key=len),)
 
 
 def rules() -> list[Rule]:
     """All rules in their order."""
-    named = [(label, name, keyword) for label, name, keyword in NAMES]
-    for label, name, keyword, versions in FAMILIES:
-        named.append((label, name, keyword))
+    named = [(label, name, tuple(phrases.split("|"))) for label, name, phrases in NAMES]
+    for label, name, phrases, versions in FAMILIES:
+        phrases = tuple(phrases.split("|"))
+        named.append((label, name, phrases))
         for v in versions:
             version = f"(?:v|version |v )?{v}" if " " in str(v) else f"(?:v|version |v )?{v}(?: 0)?"
             major = str(v).replace(" ", ".").removesuffix(".0")
-            named.append((f"{label}-{major}" if not label.startswith("cc") else label, f"{name} {version}", keyword))
+            named.append((f"{label}-{major}" if not label.startswith("cc") else label, f"{name} {version}", phrases))
     out = []
-    for label, name, keyword in named:
+    for label, name, phrases in named:
         for around, gate, priority, score in NOTICES:
-            found = Rule(label, around.replace("{name}", name), gate if gate.startswith("spdx") else keyword or gate or "under", priority, score)
-            if keyword or gate or "under" in found.pattern:
-                out.append(found)
+            out.append(Rule(label, around.replace("{name}", name), gate, priority, score, phrases))
     # short names of their own: three words that hardly stand by chance
-    out += [Rule(label, name, "cc by n", 1, 0.6) for label, name, keyword in named if label.startswith("cc-by") and "cc by n" in name]
-    out += [Rule(label, pattern, keyword, 2, 0.9) for label, pattern, keyword in TEXTS]
-    return out + [Rule(*x) for x in PLAIN]
+    out += [Rule(label, name, "cc by n", 1, 0.6, phrases) for label, name, phrases in named if label.startswith("cc-by") and "cc by n" in name]
+    out += [Rule(label, pattern, keyword, 2, 0.9, _fixed(pattern, keyword)) for label, pattern, keyword in TEXTS]
+    return out + [Rule(*x, _fixed(x[1], x[2])) for x in PLAIN]
 
 
 def _spaced(text: Column) -> Column:
@@ -246,21 +256,57 @@ def _base(words: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def _starts(phrases: set[str]) -> str:
+    """A pattern for the start of a word where one of the phrases stands. It goes by first
+    letters, and from one space to the next, since alternatives are tried one after the other."""
+    by: dict[str, list[str]] = {}
+    for p in sorted(phrases):
+        by.setdefault(p[0], []).append(p[1:])
+    return " (?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items()) + ")"
+
+
+def _shortest(phrases: set[str]) -> set[str]:
+    """Those that don't begin with another one."""
+    return {p for p in phrases if not any(p.startswith(o) for o in phrases - {p})}
+
+
+def gate() -> str:
+    """A pattern that stands in the words of each text with a match of a rule, and in few others.
+    Grants have no keyword; their verbs stand for them."""
+    keywords = _shortest({r.keyword.strip() for r in rules()} - {""})
+    return _starts(keywords | {f"{verb}(?: only| also)? (?:under|according to|subject to) " for verb in VERB.split("|")})
+
+
+def heads() -> dict[str, str]:
+    """For each phrase of a rule how its longest word begins. No such beginning begins another.
+    What stands first in a phrase may be the end of a word, and counts if there is no other."""
+    longest = {p: max(re.findall("(?<= )[^ ]+", p) or p.split(), key=len) for r in rules() for p in r.phrases}
+    short = _shortest(set(longest.values()))
+    return {p: next(h for h in short if w.startswith(h)) for p, w in longest.items()}
+
+
+def tried(docs: DataFrame) -> DataFrame:
+    """The rules that are tried on each text, one as often as it has phrases there: id, copy, words, and the rule's columns."""
+    head = heads()
+    table = docs.sparkSession.createDataFrame(
+        [(head[p], p, i, r.label, f"(?<= )(?:{r.pattern})(?= )", r.keyword, r.priority, r.score) for i, r in enumerate(rules()) for p in r.phrases],
+        "head string, phrase string, rule int, label string, pattern string, keyword string, priority int, score double",
+    )
+    # as an array's element the words of a text are worked out once. Short names may also be
+    # written out where `cc by n` stands inside a longer word
+    words = F.filter(F.array(_spaced(F.col("text"))), lambda w: w.rlike(gate()) | F.contains(w, F.lit("cc by n")))
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("copy"), F.explode(words).alias("words"))
+    found = F.array_distinct(F.regexp_extract_all("words", F.lit(_starts(set(head.values()))), F.lit(0)))
+    pairs = texts.withColumn("head", F.explode(found)).withColumn("head", F.ltrim("head")).join(F.broadcast(table), "head")
+    return pairs.filter(F.contains("words", F.col("phrase")) & F.contains("words", F.col("keyword"))).drop("head", "phrase", "keyword")
+
+
 def detections(docs: DataFrame) -> DataFrame:
     """Detections that aren't contained in others: id, copy (a hash of the text), label,
     first and end (words from 0), priority, score."""
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(i, r.label, f"(?<= )(?:{r.pattern})(?= )", r.keyword, r.priority, r.score) for i, r in enumerate(rules())], "rule int, label string, pattern string, keyword string, priority int, score double")
-    keywords = sorted({r.keyword for r in rules()})
-    gap = "[^a-zA-Z0-9]+"
-    gate = "(?i)" + "|".join([*(gap.join(k.split()) for k in keywords if k != "under"), f"(?:{VERB}){gap}(?:(?:only|also){gap})?(?:under|according|subject){gap}", f"cc{gap}by{gap}n"])
-    texts = docs.filter(F.col("text").rlike(gate)).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("copy"), _spaced(F.col("text")).alias("words"))
-    # `under` is a common word: it counts only with what else a grant has
-    grant = F.col("words").rlike(f"(?:{VERB}) (?:only |also )?(?:under|according|subject) ")
-    present = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.when(k == "under", grant).otherwise(F.contains(F.col("words"), k)))
-    tried = texts.withColumn("keyword", F.explode(present)).join(F.broadcast(table), "keyword")
     found = (
-        tried.withColumn("hits", F.regexp_extract_all("words", F.col("pattern"), F.lit(0)))
+        tried(docs)
+        .withColumn("hits", F.regexp_extract_all("words", F.col("pattern"), F.lit(0)))
         .filter(F.size("hits") > 0)
         .withColumn("around", F.split("words", F.col("pattern"), -1))
         .select("id", "copy", "rule", "label", "priority", "score", F.posexplode(F.arrays_zip(F.col("hits").alias("hit"), F.slice("around", 1, F.size("hits")).alias("before"))).alias("at", "x"))
